@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import bpe, pii
 from ._shared import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; the files aren't part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_pii": op10_pii}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {"op8_bpe": op8_bpe, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import balance, bpe, pii, token_files
 from ._shared import table
 
 
@@ -19,9 +19,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op10_pii": op10_pii}
+QUERIES = {"op3_token_files": op3_token_files, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

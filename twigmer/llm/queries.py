@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, bpe, pii, token_files
+from . import balance, bpe, pii, token_files, warc
 from ._shared import table
 
 
@@ -19,6 +19,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -31,5 +35,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_token_files": op3_token_files, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op3_token_files": op3_token_files, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

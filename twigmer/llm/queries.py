@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, bpe, pii, token_files, warc
+from . import balance, bpe, decontaminate, pii, token_files, warc
 from ._shared import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_token_files": op3_token_files, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op3_token_files": op3_token_files, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

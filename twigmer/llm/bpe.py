@@ -8,6 +8,8 @@ sides share (see :func:`join_halves` for why that is exact).
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -16,81 +18,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 8192
-_PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
-# White space for which cutting before a blank isn't known to be safe, and control characters that
-# only some libraries call white space.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-# Places that every byte-level pre-tokenizer of this family splits at, whatever stands around them.
+LEAF_CHARS = 32_768
+# Fixed value: the pattern by which byte-level vocabularies of this family split a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Places that the pattern splits at, whatever stands around them.
 _SAFE_CUT = re.compile(r"(?<=[\w!-~])(?=[ \n\t\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _RUN_MARGIN = 12
-_LONG_PIECE = 64
 
 
-class PieceEncoder:
-    """Encodes texts by the library, once for each distinct piece between blanks; the memory of pieces is bounded.
+class ByteEncoder:
+    """Encodes texts under a byte-level BPE file of the tokenizers library, with tiktoken's merge loop.
 
-    ``keep_blanks``: blanks belong to the tokens (byte-level vocabularies), so a piece takes those
-    before it along; otherwise the vocabulary drops white space and pieces are bare words.
+    Ids have to rise with the order of the merges, which is checked; then they serve as ranks.
     """
 
-    def __init__(self, path: str, keep_blanks: bool, pieces_kept: int = 400_000):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.keep_blanks = keep_blanks
-        self.pieces_kept = pieces_kept
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        file = json.loads(self.library.to_str())
+        if file["normalizer"] or file["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("not a plain byte-level vocabulary")
+        vocab, made = file["model"]["vocab"], ["".join(m if isinstance(m, list) else m.split(" ")) for m in file["model"]["merges"]]
+        ids = [vocab[m] for m in made]
+        if ids != sorted(ids):
+            raise ValueError("ids don't follow the order of the merges")
+        self.bytes = token_bytes(self.library)
+        self.sizes = np.array([len(x) for x in self.bytes])
+        self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        ranks = {self.bytes[i]: i for t, i in vocab.items() if t not in self.specials}
+        self.fast = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def splits(self, text: str) -> bool:
-        return not self.keep_blanks or not (_ODD_SPACE.search(text) or any(s in text for s in self.specials))
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [(_PIECES.findall(t) if self.keep_blanks else t.split()) if self.splits(t) else None for t in texts]
-        wanted = set().union(*(p for p in pieces if p)) if any(pieces) else set()
-        if len(self.known) + len(wanted) > self.pieces_kept:
-            self.known = {}
-        known = self.known
-        new = [p for p in wanted if p not in known]
-        long = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(p) <= _LONG_PIECE else long)[p] = np.array(e.ids, dtype="<u4").tobytes()
-        out = []
-        for t, p in zip(texts, pieces, strict=True):
-            if p is None:
-                out.append(self.whole(t))
-            elif long:
-                out.append(np.frombuffer(b"".join([known[x] if x in known else long[x] for x in p]), dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4"))
-        return out
-
-
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
-def encoder(path: str, keep_blanks: bool) -> PieceEncoder:
-    """One encoder for each vocabulary and worker process."""
-    import os
+        """The ids of one text, in which special tokens' spellings are those tokens."""
+        if not any(s in text for s in self.specials):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+_encoders: dict[str, ByteEncoder] = {}
+
 
+def encoder(path: str) -> ByteEncoder:
+    """One encoder for each vocabulary and worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, keep_blanks) not in _encoders:
-        _encoders[path, keep_blanks] = PieceEncoder(path, keep_blanks)
-    return _encoders[path, keep_blanks]
+    if path not in _encoders:
+        _encoders[path] = ByteEncoder(path)
+    return _encoders[path]
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 def token_bytes(library) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    to_byte = {c: b for b, c in enumerate(byte_letters())}
     size = library.get_vocab_size(with_added_tokens=True)
     added = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
     return [added[i].encode() if i in added else bytes(to_byte[c] for c in library.id_to_token(i) or "") for i in range(size)]
@@ -106,8 +93,8 @@ def _tail_bounds(lengths: np.ndarray, n_bytes: int) -> dict[int, int]:
     return out
 
 
-def join_halves(enc: PieceEncoder, sizes: np.ndarray, a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
-    """The tokens of two neighbouring texts together, from the tokens of each. ``sizes``: bytes by id.
+def join_halves(enc: ByteEncoder, a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
+    """The tokens of two neighbouring texts together, from the tokens of each.
 
     A window of characters on each side of the join, doubled until it succeeds, is encoded again.
     The sides agree when the window's tokens and theirs share a boundary on the left and on the right:
@@ -121,7 +108,7 @@ def join_halves(enc: PieceEncoder, sizes: np.ndarray, a: tuple[str, np.ndarray],
 
     If the window reaches both ends, it is the whole text.
     """
-    (ta, ia), (tb, ib) = a, b
+    (ta, ia), (tb, ib), sizes = a, b, enc.sizes
     w = 64
     while w < max(len(ta), len(tb)):
         x, y = ta[-w:], tb[:w]
@@ -147,9 +134,9 @@ def join_halves(enc: PieceEncoder, sizes: np.ndarray, a: tuple[str, np.ndarray],
     return ta + tb, enc.whole(ta + tb)
 
 
-def join_tree(enc: PieceEncoder, sizes: np.ndarray, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
+def join_tree(enc: ByteEncoder, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
     while len(parts) > 1:
-        parts = [join_halves(enc, sizes, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        parts = [join_halves(enc, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0][1]
 
 
@@ -189,29 +176,28 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids
         tall = tall & ~F.col("__text").contains(s)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, True)
+        enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             for a, b in _slices(texts):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids_array(enc.many(texts[a:b]))], ["__rest", "__text", "__ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids_array([enc.whole(t) for t in texts[a:b]])], ["__rest", "__text", "__ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, True)
+        enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("part").to_pylist()
             for a, b in _slices(texts):
                 part = batch.slice(a, b - a)
-                ids = [x.tobytes() for x in enc.many(texts[a:b])]
+                ids = [enc.whole(t).tobytes() for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.binary())], ["__row", "leaf", "part", "ids"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, True)
-        sizes = np.array([len(x) for x in token_bytes(enc.library)])
+        enc = encoder(vocabulary)
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = [(p["part"], np.frombuffer(p["ids"], "<u4")) for p in batch.column("parts")[i].as_py()]
-                ids = join_tree(enc, sizes, parts)
+                ids = join_tree(enc, parts)
                 yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, 1), pa.array(["".join(p for p, _ in parts)], pa.string()), _ids_array([ids])], ["__row", "__text", "__ids"])
 
     schema = packed.schema
@@ -241,7 +227,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
     """Add ``out``, the text of the ids, special tokens included, as the library decodes them (broken UTF-8 becomes U+FFFD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(encoder(vocabulary, True).library)
+        table = encoder(vocabulary).bytes
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
             values, ends = col.values.to_numpy(), col.offsets.to_numpy()

@@ -6,6 +6,8 @@ is answered from file, stripe and row-group statistics and Bloom filters before
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -15,11 +17,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import scratch
-from .bpe import _slices, encoder
+from .bpe import _slices, byte_letters
 
 FILE_SCHEMA = "doc_id long, shard int, slot long, start_in_shard long, ids array<int>"
 STRIPE_BYTES = 32 << 20
 ROWS_PER_INDEX = 1000
+# Characters on which the vocabulary's normalizer only lower-cases letter by letter: ASCII and Latin-1 letters.
+_OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+# The split of the vocabulary file for words of those characters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+class WordEncoder:
+    """Encodes texts by the tokenizers library, once for each distinct word between blanks.
+
+    For vocabularies that drop white space, lower-case, and split words into letters, digits and
+    others. Words of ASCII and Latin-1 letters go to the library's BPE model part by part; all
+    others, and special tokens' spellings, take the whole library. Remembered words are bounded.
+    """
+
+    def __init__(self, path: str, kept: int = 500_000):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.kept = kept
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, p: str) -> bytes:
+        if (ids := self.parts.get(p)) is None:
+            tokens = self.model.tokenize(p if p.isascii() and p.isalnum() else "".join(self.letters[b] for b in p.encode()))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            if len(self.parts) >= self.kept:
+                self.parts.clear()
+            if len(p) <= 64:
+                self.parts[p] = ids
+        return ids
+
+    def word(self, w: str) -> bytes:
+        if "<|" in w or _OTHER.search(w) or any(c in w for c in "\x1c\x1d\x1e\x1f"):
+            ids = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        else:
+            ids = b"".join(map(self.part, _PARTS.findall(w.lower())))
+        if len(w) <= 24:
+            if len(self.words) >= self.kept:
+                self.words.clear()
+            self.words[w] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        get, word = self.words.get, self.word
+        return np.frombuffer(b"".join([get(w) or word(w) for w in _BLANKS.split(text) if w] if _RARE_SPACE.search(text) else [get(w) or word(w) for w in text.split()]), dtype="<u4")
+
+
+# str.split() takes these for blanks, the vocabulary doesn't.
+_RARE_SPACE = re.compile("[\x1c-\x1f]")
+_BLANKS = re.compile("[ \n\t\r]+")
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each vocabulary and worker process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str = "text") -> None:
@@ -35,11 +101,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         from pyspark import TaskContext
 
         shard, slot, start = TaskContext.get().partitionId(), 0, 0
-        enc, end = encoder(vocabulary, False), np.array([end_id], "<u4")
+        enc, end = word_encoder(vocabulary), np.array([end_id], "<u4")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _slices(texts):
-                ids = [x for t in enc.many(texts[a:b]) for x in (t, end)]
+                ids = [x for t in texts[a:b] for x in (enc.encode(t), end)]
                 lengths = np.array([len(ids[i]) + 1 for i in range(0, len(ids), 2)], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 n = b - a

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, bpe, decontaminate, pii, simhash, token_files, toxicity, warc
+from . import balance, bpe, decontaminate, paragraphs, pii, simhash, token_files, toxicity, warc
 from ._shared import table
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_paragraphs": op5_paragraphs, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

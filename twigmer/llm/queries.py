@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, bpe, decontaminate, paragraphs, pii, simhash, token_files, toxicity, warc
+from . import balance, bpe, decontaminate, media, paragraphs, pii, simhash, token_files, toxicity, warc
 from ._shared import table
 
 
@@ -27,6 +27,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,5 +55,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_paragraphs": op5_paragraphs, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op2_media": op2_media, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_paragraphs": op5_paragraphs, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

@@ -112,3 +112,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return base.select(
         "doc_id", "text_key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")

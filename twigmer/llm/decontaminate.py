@@ -89,7 +89,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and no hits; items without words match nothing; items under
     SPAN words match as a whole. Documents are told apart by id (nulls equal) and text, so repeated
-    rows each have their row; an item_id that repeats counts once. Other columns don't matter.
+    rows each have their row; an item_id that repeats counts once, and items
+    without an id count for hits alone. Other columns don't matter.
     """
     from pyspark.sql import Window
 
@@ -103,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_hit = spans.withColumn("reached", reached).groupBy(*key).agg(F.sum(fresh).cast("long").alias("n_hit"))
     owners = windows.select("win", F.col("item_id").cast("string").alias("item")).distinct()
     found = hits.select(*key, "win").distinct().join(owners, "win").select(*key, "item").distinct()
-    found = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    found = found.groupBy(*key).agg(F.count("item").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     base = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), count_words(F.col("text")).cast("long").alias("n_words"))
     for more in (n_hit, found):
         more = more.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key")

@@ -127,7 +127,7 @@ def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, s
         rows, own = passages(round_, scores_of(table @ (soft[:, 1] - soft[:, 0])))
         own = np.array(own)
         share = {c: len(own) / (2 * max(1, int((own == c).sum()))) for c in (0, 1)}
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512)):
+        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512, min(20, len(rows) // 16))):
             words = np.concatenate([rows[i] for i in batch])
             lengths = np.array([len(rows[i]) for i in batch])
             uniq, inverse = np.unique(words, return_inverse=True)

@@ -64,7 +64,8 @@ def test_archives(spark):
         revisit = first is not None and i != first
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     assert by_row(got, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]) == sorted(want, key=str)
-    merged = sorted(got, key=lambda r: (r.range, r.slot))
+    merged = sorted(got, key=lambda r: r.history_rank)
+    assert [r.history_rank for r in merged] == list(range(len(rows)))
     order = [(r.urlkey, r.captured, r.page_id is not None, r.page_id or 0) for r in merged]
     assert order == sorted(order)
     assert {r.urlkey for r in got if r.page_id in (0, 1)} == {"com,x)/a"}
@@ -496,6 +497,23 @@ def test_pipeline_stages(spark):
     assert not pii.find_pii(rest).where(F.exists("pii", lambda s: s["kind"] == "email")).count()
 
 
+@pytest.mark.skipif(not DATA.is_dir(), reason="no driver tables")
+def test_queries_equal_duckdb(spark):
+    import duckdb
+
+    from twigmer.llm import queries
+
+    con = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from '{p}'")
+    for name, sql in queries.ORACLE_SQL.items():
+        rel = con.sql(sql)
+        columns = sorted(rel.columns)
+        df = queries.QUERIES[name](spark, str(DATA))
+        assert sorted(df.columns) == columns
+        assert by_row(df.collect(), columns) == sorted((tuple(dict(zip(rel.columns, r, strict=True))[c] for c in columns) for r in rel.fetchall()), key=str), name
+
+
 def test_budget_of_names():
     from twigmer.llm import queries
 

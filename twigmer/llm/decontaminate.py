@@ -120,3 +120,20 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w, row_number() over () as r from documents),
+b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+bs as (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from b where len(w) > 0),
+win as (select distinct item_id, w[s:s + 9] as win from bs),
+lens as (select distinct len(win) as n from win),
+ds as (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, lens where len(w) >= n),
+hits as (select r, s, n, item_id from (select r, s, n, w[s:s + n - 1] as win from ds) join win using (win)),
+cov as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from hits) group by 1),
+its as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, cast(item_id as varchar) as item from hits where item_id is not null) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cov using (r) left join its using (r)
+"""

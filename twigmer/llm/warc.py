@@ -13,10 +13,10 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import scratch
+from ._shared import scratch, stored
 
 CRLF = "\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -209,10 +209,32 @@ def merge_index(runs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"{RUN_SCHEMA}, range int, slot long")
 
 
+def numbered(merged: DataFrame) -> DataFrame:
+    """Add ``history_rank``, the place in the global order from 0: ranges follow each other, one total for each."""
+    merged = stored(merged)
+    sizes = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return merged.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").withColumn("history_rank", F.col("before") + F.col("slot")).drop("before")
+
+
 def archive_report(pages: DataFrame) -> DataFrame:
     """The op1 contract: writes archives to shared scratch space, reads them back and merges their index."""
     path = scratch(pages.sparkSession)
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
     write_archives(pages.select("page_id", "url", "html", captured.alias("captured")), path)
-    merged = merge_index(read_archives(pages.sparkSession, path))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "run", "offset", "range", "slot")
+    merged = numbered(merge_index(read_archives(pages.sparkSession, path)))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "history_rank")
+
+
+ORACLE_SQL = r"""
+with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex,
+    regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as rest from pages),
+k as (select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':[0-9]+$', '') as host, regexp_replace(rest, '^[^/?]*', '') as path from p),
+d as (select page_id, strlen(payload) as payload_bytes, min(page_id) over (partition by hex) as first, 1700000000 + coalesce(page_id, 0) as captured,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((cast('0x' || substr(hex, cast(i // 4 * 5 + 1 as bigint), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31) + 1, 1)), '') as payload_digest,
+    array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || case when path = '' then '/' else path end as urlkey from k)
+select page_id, payload_bytes, payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+    case when first is null or page_id = first then null else first end as refers_to, urlkey, captured,
+    row_number() over (order by urlkey, captured, page_id nulls first) - 1 as history_rank from d
+"""

@@ -17,8 +17,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-    "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Texts without this character can't hold the kind.
@@ -167,3 +167,47 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def _count(kind: str) -> Column:
     return F.size(F.filter(F.col("pii"), lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the report: gaps and matches of each pattern alternate, hence starts are sums of lengths."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": PATTERNS["iban"].replace(r"\x20", " "),
+        "ssn": PATTERNS["ssn"],
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    digit = f"cast(substr({digits}, len({digits}) - cast(i as int), 1) as int)"
+    luhn = f"list_sum(list_transform(range(len({digits})), lambda i: case when i % 2 = 0 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end)) % 10 = 0"
+    bare = "replace(v, ' ', '')"
+    turned = f"(substr({bare}, 5) || substr({bare}, 1, 4))"
+    places = f"list_transform(range(1, len({turned}) + 1), lambda i: strpos('{_ALNUM}', substr({turned}, cast(i as int), 1)) - 1)"
+    mod97 = f"list_reduce(list_prepend(0, {places}), lambda a, b: (a * case when b > 9 then 100 else 10 end + b) % 97) = 1"
+    near = f"lower(substr(t, greatest(pos - {CONTEXT_CHARS}, 0) + 1, pos - greatest(pos - {CONTEXT_CHARS}, 0)) || ' ' || substr(t, pos + len(v) + 1, {CONTEXT_CHARS}))"
+    valid = {
+        "email": "true",
+        "ip": f"regexp_full_match(v, '(?:{_BYTE}\\.){{3}}{_BYTE}')",
+        "card": f"len({digits}) between 13 and 19 and {luhn}",
+        "phone": f"len({digits}) between 9 and 15",
+        "iban": f"len({bare}) between 15 and 34 and {mod97}",
+        "ssn": f"regexp_matches({near}, '{SCORES['ssn'][2]}')",
+    }
+    parts = []
+    for n, (kind, pattern) in enumerate(plain.items()):
+        parts.append(
+            f"""select r, {n} as k, '{kind}' as kind, pos, v from (
+    select r, t, m[i] as v, cast(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) as int) as pos from (
+        select r, t, m, g, unnest(range(1, len(m) + 1)) as i from (
+            select r, t, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g from d))) where {valid[kind]}"""
+        )
+    listed = "string_agg(kind || ':' || pos || ':' || (pos + len(v)), ',' order by k, pos)"
+    return f"""with d as (select doc_id, coalesce(text, '') as t, row_number() over () as r from documents),
+s as ({" union all ".join(parts)}),
+a as (select r, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE_KINDS)}, {listed} filter (where k < {len(BASE_KINDS)}) as base, {listed} as spans from s group by 1)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (r)"""
+
+
+ORACLE_SQL = _oracle()

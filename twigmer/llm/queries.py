@@ -57,4 +57,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_warc": op1_warc, "op2_media": op2_media, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_paragraphs": op5_paragraphs, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
 #: The other operators train, hash or merge in ways that SQL can't express; tests hold them against brute force.
-ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL}

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ._shared import scratch, stored
 
 CRLF = "\r\n"
+#: Archives are read whole, one a row, and so have to stay small.
+RECORDS_PER_FILE = 10_000
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RUN_SCHEMA = (
     "page_id long, url string, urlkey string, captured long, record_type string, payload_bytes long, "
@@ -73,7 +75,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     ]
     body = F.when(revisit, "").otherwise(F.col("payload"))
     record = F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *head), F.lit(CRLF + CRLF), body, F.lit(CRLF + "\r"))
-    rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    out = rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\n")
+    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 17
 NGRAMS = (3, 4, 5)
 PASSAGE_WORDS = 8
-#: Bounds of the training sample: labelled rows of each class, by the hash of their ids.
-MOST_TOXIC, MOST_CLEAN = 2000, 4000
+#: Bounds of the training sample: labelled rows of each class, by the hash of their ids, and the length of
+#: texts to learn from. Scoring has none: all rows and whole texts are scored.
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 50_000
 FOLDS = 5
 _EDGES = ".,;:!?\"'()[]{}<>|*#%&$-_/\\+=~^`@…“”„«»’"
 
@@ -180,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     train_rows = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = train_rows.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(train_rows.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()  # both bounded
+    short = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= MOST_CHARS)
+    rows = short.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()  # both bounded
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([r.text or "" for r in rows], [int(r.toxic) for r in rows])
 

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 17
 NGRAMS = (3, 4, 5)
 PASSAGE_WORDS = 8
+#: N-grams of fewer training texts have no vector.
+LEAST_TEXTS = 4
 #: Bounds of the training sample: labelled rows of each class, by the hash of their ids, and the length of
 #: texts to learn from. Scoring has none: all rows and whole texts are scored.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 50_000
@@ -107,6 +109,14 @@ def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, s
     held = rng.random(len(docs)) < 1 / FOLDS
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
+    # In how many toxic and clean texts a word is: what few texts have would only be learnt by heart, and
+    # the words that toxic texts have too often say which passages to begin with.
+    within = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, h, t in zip(docs, held, y, strict=True) if not h and t == c)]), minlength=len(vocab)) for c in (0, 1)]
+    total = [max(1, int((y[~held] == c).sum())) for c in (0, 1)]
+    rate = (within[0] + within[1]) / sum(total)
+    excess = (within[1] / total[1] - within[0] / total[0]) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / total[0] + 1 / total[1]))
+    common = np.bincount(places, np.repeat(within[0] + within[1], counts), 1 << BUCKET_BITS) >= LEAST_TEXTS
+    table[~common] = 0
 
     def scores_of(weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights.astype(np.float32)[places], begins[:-1]) / counts if len(vocab) else np.zeros(0)
@@ -116,10 +126,10 @@ def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, s
         for i, d in enumerate(docs):
             if held[i] or not len(d):
                 continue
-            starts = rng.integers(0, max(1, len(d) - PASSAGE_WORDS + 1), 8 if y[i] and round_ < 3 else 2)
-            if round_ >= 3:  # toxic texts teach by their worst passage; clean ones by it and by others
-                worst = worst_passage(scores[d])[1]
-                starts = [worst] if y[i] else [worst, *starts]
+            # toxic texts teach by their worst passage; clean ones by it and by others
+            worst = worst_passage((excess if round_ < 3 else scores)[d])[1]
+            others = rng.integers(0, max(1, len(d) - PASSAGE_WORDS + 1), 2)
+            starts = [worst] if y[i] else [worst, *others]
             rows += [d[s : s + PASSAGE_WORDS] for s in starts]
             own += [int(y[i])] * len(starts)
         return rows, own
@@ -150,7 +160,7 @@ def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, s
             hit, back = np.unique(grams, return_inverse=True)
             to_table = np.stack([np.bincount(back, to_grams[:, j], len(hit)) for j in range(dim)], axis=1).astype(np.float32) + 1e-6 * table[hit]
             seen_table[hit] += (to_table**2).mean(axis=1)
-            table[hit] -= 0.3 * to_table / np.sqrt(seen_table[hit])[:, None]
+            table[hit] -= 0.3 * common[hit, None] * to_table / np.sqrt(seen_table[hit])[:, None]
             to_soft = bag.T.astype(np.float32) @ to_logits
             seen_soft += to_soft**2
             soft -= 0.05 * to_soft / np.sqrt(seen_soft)

@@ -198,6 +198,10 @@ def test_alignment_checks(spark):
         al.check_lengths(alignment(spark, ["A"]).limit(0))
 
 
+def test_unsupported_states(spark):
+    assert [r.header for r in al.unsupported_states(alignment(spark, ["AC-t", "ACX-", "N"]), scoring.DNA).orderBy("seq_idx").collect()] == ["s1", "s2"]
+
+
 @pytest.mark.parametrize("width", [1, 10, 11, 20])
 def test_phylip(spark, tmp_path, width):
     seq = ("ACGTACGTAC" * 3)[:width]
@@ -318,6 +322,20 @@ def test_build_from_files(spark, tmp_path, ghosts):
     assert compare.text_diff(dump, back, params.threshold).count() == 0
 
 
+def test_command_line(spark, tmp_path, capsys):
+    _write_inputs(tmp_path, spark)
+    files = ["-r", str(tmp_path / "a.fasta"), "-t", str(tmp_path / "tree.nwk"), "--ar-dir", str(tmp_path / "ar"), "-k", "3"]
+    for name, omega in (("x", "1.2"), ("y", "1.3")):
+        assert bd.main(["build", *files, "-w", str(tmp_path / name), "--omega", omega, "--on-disk", "--engine", "hof"]) == 0
+    x, y = (str(tmp_path / n / "DB") for n in "xy")
+    capsys.readouterr()
+    assert bd.main(["diff", x, x]) == 0
+    assert bd.main(["diff", x, y, "-v"]) == 1
+    assert "DIFF omega" in capsys.readouterr().out
+    assert bd.main(["dump", x]) == 0
+    assert "\t" in capsys.readouterr().out
+
+
 def test_raising_omega_keeps_a_subset(spark, tmp_path):
     rows = matrix(spark, F2)
     low, high = ({(r.position, r.code) for r in kmers.enumerate_hof(rows, 2, 4, scoring.log_threshold(o, 2, 4)).collect()} for o in (0.5, 1.6))

@@ -26,6 +26,11 @@ def check_lengths(alignment: DataFrame) -> int:
     return width
 
 
+def unsupported_states(alignment: DataFrame, alphabet: str) -> DataFrame:
+    """The rows with other characters than states (in either case) and gaps."""
+    return alignment.where(F.upper("seq").rlike(f"[^{alphabet}\\{GAP}]"))
+
+
 def gap_ratios(alignment: DataFrame) -> DataFrame:
     """``(site, ratio)``: the share of gaps in each column, sites from 0."""
     letters = alignment.select(F.posexplode(F.split("seq", "")).alias("site", "ch")).where("ch <> ''")

@@ -56,11 +56,12 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build(
-    spark: SparkSession, alignment: str, tree: str, workdir: str, params: BuildParams, ar_dir: str | None = None, ar_binary: str | None = None, ar_config: str | None = None, ar_only: bool = False, threads: int = 1, output: str | None = None
+    spark: SparkSession, alignment: str, tree: str, workdir: str, params: BuildParams, ar_dir: str | None = None, ar_binary: str | None = None, ar_config: str | None = None, ar_only: bool = False, threads: int = 1, output: str | None = None, write_reduction: str | None = None
 ) -> str | None:
     """Build a database and return its path; with ``ar_only``, stop after the reconstruction.
 
     ``ar_dir`` has the results of an earlier reconstruction; otherwise the tool runs on the driver.
+    ``write_reduction``: where the alignment without gap columns goes.
     """
     work = Path(workdir)
     original = read_tree(spark, tree)
@@ -68,12 +69,12 @@ def build(
     if not rooted and not params.use_unrooted:
         raise ValueError("the tree isn't rooted; use_unrooted accepts it")
     rows = tf.read_fasta(spark, alignment)
-    if params.states == "amino":
+    if params.convert_uo and params.states == "amino":
         rows = al.to_canonical_amino(rows)
     al.check_lengths(rows)
     if not params.no_reduction:
         rows = al.drop_gap_columns(rows, params.reduction_ratio)
-        al.write_alignment(rows, str(work / "align.reduced.fasta"))
+        al.write_alignment(rows, write_reduction or str(work / "align.reduced.fasta"))
     extended = ordered(spark, tr.extend(original))
     leaves = tr.is_leaf(extended).where("is_leaf").select("label")
     if ar_dir is None:
@@ -95,6 +96,8 @@ def build(
     reconstructed = read_tree(spark, ar_tree)
     if rooted and not tr.is_rooted(reconstructed):
         reconstructed = ordered(spark, tr.reroot(reconstructed.drop("postorder", "preorder")))
+        (work / "AR").mkdir(parents=True, exist_ok=True)
+        (work / "AR" / "ar_tree_rerooted.newick").write_text(newick(reconstructed))
     names = tr.map_nodes(extended, reconstructed)
     ghosts = tr.ghost_mapping(original).where(tr.is_ghost(F.col("label"), params.ghosts))
     wanted = ghosts.join(names, F.col("label") == F.col("ext_label")).join(extended.select("label", F.col("postorder").alias("node_order")), "label")
@@ -125,7 +128,7 @@ def build_database(matrix: DataFrame, branches: DataFrame, tree: DataFrame, para
     header = database.counts(best).join(index).select(
         F.lit(params.states).alias("sequence_type"), "tree_index", F.lit(newick(tree)).alias("tree"), F.lit(params.k).alias("k"), F.lit(params.omega).alias("omega"), "num_kmers", "num_entries"
     )
-    database.write_database(output, best, filtered, header)
+    database.write_database(output, best, filtered, header, "uncompressed" if params.uncompressed else "zstd")
     return output
 
 
@@ -166,8 +169,11 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("ar", "ar-dir", "ar-config"):
         b.add_argument(f"--{name}")
     b.add_argument("-o", "--output")
-    for flag in ("no-reduction", "use-unrooted", "merge-branches", "keep-positions", "ar-only"):
+    b.add_argument("--write-reduction")
+    b.add_argument("-v", "--verbosity", type=int, default=1, help="above 1, Spark's own messages are shown")
+    for flag in ("no-reduction", "use-unrooted", "merge-branches", "keep-positions", "ar-only", "convert-uo", "uncompressed"):
         b.add_argument(f"--{flag}", action="store_true")
+    b.add_argument("--on-disk", action="store_true", help="accepted; Spark spills by itself")
     sub.add_parser("dump").add_argument("database")
     d = sub.add_parser("diff")
     d.add_argument("a")
@@ -177,9 +183,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("twigmer").getOrCreate()
     if o.command == "build":
         params = BuildParams(
-            o.states, o.k, o.omega, o.reduction_ratio, o.no_reduction, o.ghosts, o.use_unrooted, o.merge_branches, o.keep_positions, o.filter, o.mu, o.engine, o.model, o.alpha, o.categories
+            o.states, o.k, o.omega, o.reduction_ratio, o.no_reduction, o.ghosts, o.use_unrooted, o.merge_branches, o.keep_positions, o.filter, o.mu, o.engine, o.model, o.alpha, o.categories, o.convert_uo, o.uncompressed
         )
-        print(build(spark, o.refalign, o.reftree, o.workdir, params, o.ar_dir, o.ar, o.ar_config, o.ar_only, o.threads, o.output) or "reconstruction done")
+        spark.sparkContext.setLogLevel("INFO" if o.verbosity > 1 else "WARN")
+        print(build(spark, o.refalign, o.reftree, o.workdir, params, o.ar_dir, o.ar, o.ar_config, o.ar_only, o.threads, o.output, o.write_reduction) or "reconstruction done")
         return 0
     if o.command == "dump":
         for r in compare.dump_text(dump_database(spark, o.database)).toLocalIterator():

@@ -37,6 +37,8 @@ class BuildParams:
     model: str | None = None
     alpha: float = 1.0
     categories: int = 4
+    convert_uo: bool = False
+    uncompressed: bool = False
 
     def __post_init__(self) -> None:
         if self.states not in ALPHABETS:

@@ -23,10 +23,9 @@ MIN_WORDS = 10
 #: 1 - (1 - 0.8^3)^8: 99.7 % of pairs at the threshold share a band.
 BANDS, ROWS = 8, 3
 BLOCK = 512
-_PRIME = np.uint64((1 << 31) - 1)
 _rng = np.random.default_rng(20)
-_A = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64)
-_B = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
+_odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TURN, _FLIP, _PLACE = _odd(BANDS * ROWS), _odd(BANDS * ROWS), _odd(SHINGLE_WORDS)
 
 
 def tuned_bands(rows: int, similar: float = SIMILAR, recall: float = 0.995) -> int:
@@ -45,22 +44,29 @@ def paragraphs(text: str | None) -> list[tuple[int, int, int, list[bytes]]]:
     return out
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
+def shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of SHINGLE_WORDS words of all paragraphs, repeats included, and where each paragraph's begin (and the end)."""
     import xxhash
 
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + SHINGLE_WORDS])) for i in range(n)], dtype=np.uint64))
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """The band hashes of shingle sets, one row each."""
-    ends = np.cumsum([len(s) for s in sets])
-    x = (np.concatenate(sets) >> np.uint64(33)).astype(np.uint64)  # 31 bits
-    firsts = np.r_[0, ends[:-1]]
-    keys = np.zeros((len(sets), BANDS), np.uint64)
+    words = [w for t in texts for w in t]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    lengths = np.array([len(t) for t in texts])
+    n = lengths - SHINGLE_WORDS + 1
+    ends = np.r_[0, np.cumsum(n)]
+    at = np.arange(ends[-1]) + np.repeat(np.arange(len(texts)) * (SHINGLE_WORDS - 1), n)
+    x = np.zeros(ends[-1], np.uint64)
+    for i in range(SHINGLE_WORDS):
+        x += hashes[at + i] * _PLACE[i]
+        x ^= x >> np.uint64(31)
+    return x * np.uint64(0x9E3779B97F4A7C15), ends
+
+
+def band_keys(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The band hashes of paragraphs' shingles, one row each."""
+    keys = np.zeros((len(ends) - 1, BANDS), np.uint64)
     for b in range(BANDS):
         for r in range(b * ROWS, (b + 1) * ROWS):
-            least = np.minimum.reduceat((x * _A[r] + _B[r]) % _PRIME, firsts)
+            least = np.minimum.reduceat((x ^ _FLIP[r]) * _TURN[r], ends[:-1])
             keys[:, b] = (keys[:, b] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1)
             keys[:, b] ^= keys[:, b] >> np.uint64(29)
     return keys.view(np.int64)
@@ -78,22 +84,25 @@ def _per_paragraph(docs: DataFrame, text: str, what: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[int] = set()  # of a batch: copies of a paragraph make one row there
             for at in range(0, batch.num_rows, 256):
                 ids, texts = batch.column("doc_id").slice(at, 256).to_pylist(), batch.column("text").slice(at, 256)
                 own = [(d, *p) for d, t in zip(ids, texts, strict=True) for p in paragraphs(t.as_py())]
+                names = [_identity(o[4]) for o in own]
+                if what != "places":
+                    first = [i for i, n in enumerate(names) if n not in seen and not seen.add(n)]
+                    own, names = [own[i] for i in first], [names[i] for i in first]
                 if not own:
                     continue
-                names = pa.array([_identity(o[4]) for o in own], pa.int64())
+                names = pa.array(names, pa.int64())
                 if what == "places":
                     cols = [pa.array(c, k) for c, k in zip(list(zip(*own, strict=True))[:4], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array([len(o[4]) for o in own], pa.int32()), names], ["doc_id", "number", "start", "n_chars", "n_words", "id"])
                     continue
-                sets = [shingles(o[4]) for o in own]
+                flat, ends = shingles([o[4] for o in own])
                 if what == "bands":
-                    flat, ends = band_keys(sets).ravel(), np.arange(len(sets) + 1) * BANDS
-                else:
-                    flat, ends = np.concatenate(sets).view(np.int64), np.r_[0, np.cumsum([len(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(ends.astype(np.int32), flat)], ["id", what])
+                    flat, ends = band_keys(flat, ends).ravel(), np.arange(len(own) + 1) * BANDS
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(ends.astype(np.int32), flat.view(np.int64))], ["id", what])
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -146,7 +155,7 @@ def _links(cells: DataFrame) -> DataFrame:
                     close()
                     key = row[:2]
                 ids.append(row[2])
-                sets.append(values[ends[i] : ends[i + 1]].copy())
+                sets.append(np.unique(values[ends[i] : ends[i + 1]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
                 out.clear()

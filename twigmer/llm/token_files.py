@@ -135,7 +135,8 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | No
     """The files' rows, with ``start``: the number of ids of all documents before it.
 
     ``doc_ids``: only these; the predicate reaches the ORC reader. Starts come from one total for
-    each shard, of which there are as many as files.
+    each shard, of which there are as many as files:
+    that is what the broadcast holds.
     """
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
     totals = rows.groupBy("shard").agg(F.max(F.col("start_in_shard") + F.size("ids")).alias("n"))
@@ -143,7 +144,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | No
     totals = totals.select("shard", before.alias("before"))
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(*doc_ids))
-    return rows.join(totals, "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "shard", "slot", "ids")
+    return rows.join(F.broadcast(totals), "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "shard", "slot", "ids")
 
 
 def token_report(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

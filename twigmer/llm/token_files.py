@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,21 +23,42 @@ from .bpe import _slices, byte_letters
 FILE_SCHEMA = "doc_id long, shard int, slot long, start_in_shard long, ids array<int>"
 STRIPE_BYTES = 32 << 20
 ROWS_PER_INDEX = 1000
-# Characters on which the vocabulary's normalizer only lower-cases letter by letter: ASCII and Latin-1 letters.
-_OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
-# The split of the vocabulary file for words of those characters.
+# Anything but characters on which the vocabulary's normalizer only lower-cases letter by letter (ASCII and Latin-1
+# letters), without the control characters that str.split() takes for blanks and the vocabulary doesn't.
+_OTHER = re.compile("[^\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+# The split of the vocabulary file, for lower-case words of those characters.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+_BLANKS = re.compile("[ \n\t\r]+")
+
+
+class Remembered:
+    """A bounded mapping of two generations: what was used since the last turn survives it."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes:
+        """For keys that aren't in ``new``."""
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= 32:
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+        return value
 
 
 class WordEncoder:
     """Encodes texts by the tokenizers library, once for each distinct word between blanks.
 
     For vocabularies that drop white space, lower-case, and split words into letters, digits and
-    others. Words of ASCII and Latin-1 letters go to the library's BPE model part by part; all
-    others, and special tokens' spellings, take the whole library. Remembered words are bounded.
+    others. Texts of ASCII and Latin-1 letters go to the library's BPE model word part by word part;
+    words of other texts, and texts with special tokens' spellings, take the whole library.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -44,39 +66,38 @@ class WordEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.letters = byte_letters()
-        self.kept = kept
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, p: str) -> bytes:
-        if (ids := self.parts.get(p)) is None:
-            tokens = self.model.tokenize(p if p.isascii() and p.isalnum() else "".join(self.letters[b] for b in p.encode()))
-            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-            if len(self.parts) >= self.kept:
-                self.parts.clear()
-            if len(p) <= 64:
-                self.parts[p] = ids
-        return ids
-
-    def word(self, w: str) -> bytes:
-        if "<|" in w or _OTHER.search(w) or any(c in w for c in "\x1c\x1d\x1e\x1f"):
-            ids = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        else:
-            ids = b"".join(map(self.part, _PARTS.findall(w.lower())))
-        if len(w) <= 24:
-            if len(self.words) >= self.kept:
-                self.words.clear()
-            self.words[w] = ids
-        return ids
+        self.words = Remembered(self._word, kept)
+        self.others = Remembered(self._other, kept // 4)
+
+    def _part(self, p: str) -> bytes:
+        written = p if p.isascii() and p.isalnum() else "".join([self.letters[b] for b in p.encode()])
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _word(self, w: str) -> bytes:
+        """A lower-case word of plain characters; its parts are remembered as the words that they would be."""
+        if w.isalpha():
+            return self._part(w)
+        parts = [w[:-1], w[-1]] if w[-1] in ".," and w[:-1].isalpha() else _PARTS.findall(w)
+        if len(parts) == 1:
+            return self._part(w)
+        known, get = self.words.new, self.words.get
+        return b"".join([known[p] if p in known else get(p) for p in parts])
+
+    def _other(self, w: str) -> bytes:
+        return np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        get, word = self.words.get, self.word
-        return np.frombuffer(b"".join([get(w) or word(w) for w in _BLANKS.split(text) if w] if _RARE_SPACE.search(text) else [get(w) or word(w) for w in text.split()]), dtype="<u4")
+        if "<|" in text or _OTHER.search(text):
+            words, memory = [w for w in _BLANKS.split(text) if w], self.others
+        else:
+            words, memory = text.lower().split(), self.words
+        out = []
+        for at in range(0, len(words), 1 << 16):
+            known, get = memory.new, memory.get
+            out += [known[w] if w in known else get(w) for w in words[at : at + (1 << 16)]]
+        return np.frombuffer(b"".join(out), dtype="<u4")
 
 
-# str.split() takes these for blanks, the vocabulary doesn't.
-_RARE_SPACE = re.compile("[\x1c-\x1f]")
-_BLANKS = re.compile("[ \n\t\r]+")
 _encoders: dict[str, WordEncoder] = {}
 
 

@@ -29,9 +29,8 @@ RUN_SCHEMA = (
 ORDER = ["urlkey", "captured", "page_id", "run", "offset"]
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The bare upper-case base32 SHA-1 of a string's UTF-8 bytes, by Spark functions."""
-    digest = F.sha1(payload.cast("binary"))
+def base32_of_sha1(digest: Column) -> Column:
+    """The bare upper-case base32 form of a hexadecimal SHA-1, by Spark functions."""
     parts = [F.lpad(F.upper(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32)), 4, "0") for i in range(8)]
     return F.translate(F.concat(*parts), _HEX32, _BASE32)
 
@@ -55,9 +54,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.coalesce("captured", F.timestamp_seconds(F.lit(0))).alias("captured"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("n", F.octet_length("payload"))
+    rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("n", F.octet_length("payload"))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest")
+    rows = rows.join(first, "digest")  # from here on the digest is a column, not a hash to be computed again
     revisit = (F.col("n") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -66,7 +65,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.concat(F.lit("WARC-Record-ID: "), ident(F.col("page_id"))),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
         F.concat(F.lit("WARC-Date: "), F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_sha1(F.col("digest"))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), ident(F.col("first")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("X-Payload-Length: "), F.col("n").cast("string"))),

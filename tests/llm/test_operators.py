@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigmer.llm import balance, bpe, decontaminate, media, paragraphs, pii, simhash, token_files, toxicity, warc
+from twigmer.llm import balance, bpe, decontaminate, media, near_copies, paragraphs, pii, simhash, token_files, toxicity, warc
 from twigmer.llm._shared import connected_components
 from twigmer.llm.queries import vocabulary
 
@@ -281,6 +281,43 @@ def test_simhash(spark, docs):
     assert simhash.simhash_report(docs.limit(0)).count() == 0
 
 
+# ---- near copies of the pipeline
+
+
+def test_near_copies_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 16)  # several cells in a family
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):  # 3 changed words of 100 leave a similarity of about 0.74 to 0.82, 2 of 0.81 to 0.9
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows.append((5000 + 10 * i, " ".join(base)))
+        for k, changed in enumerate((1, 2, 2, 3)):
+            new = list(base)
+            for p in rng.sample(range(100), changed):
+                new[p] = "new"
+            rows.append((5001 + 10 * i + k, " ".join(new)))
+    common = [f"c{i}" for i in range(100)]
+    rows += [(9000 + i, " ".join([*common[: (p := rng.randrange(100))], f"x{i}", *common[p + 1 :]])) for i in range(60)]
+    rows += [(9900, "a b c d"), (9901, "A  b c\nd"), (9902, "a b c e")]
+    more = docs.unionByName(spark.createDataFrame([(d, t, "en", "", len(t)) for d, t in rows], docs.schema))
+    texts = {tuple(near_copies.words_of(r.text)) for r in more.collect()}
+    sets = {t: frozenset(zip(*[t[i:] for i in range(5)], strict=False)) for t in texts}
+    names = sorted(texts)
+    near = [(a, b) for i, b in enumerate(names) for a in names[:i] if 0 < len(sets[a] & sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = _components(near, names)
+    assert sum((_fingerprint(" ".join(w.decode() for w in a)) ^ _fingerprint(" ".join(w.decode() for w in b))).bit_count() > 3 for a, b in near) > 100
+    found = {}
+    for r in near_copies.near_copies(more).join(more.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).select("text_key", "text").distinct(), "text_key").collect():
+        found.setdefault(tuple(near_copies.words_of(r.text)), set()).add(r.component)
+    assert all(len(c) == 1 for c in found.values())
+    groups = lambda of: sorted(sorted(g) for g in {k: [n for n in names if of(n) == k] for k in {of(n) for n in names}}.values())
+    assert groups(lambda n: min(found[n])) == groups(lambda n: root[n])
+    kept = near_copies.keep_one(more)
+    assert kept.columns == more.columns and kept.count() == len(set(root.values()))
+    assert {r.doc_id for r in kept.collect()} >= {5000 + 10 * i for i in range(60)} | {9900, 9902}
+    assert near_copies.keep_one(more.limit(0)).count() == 0
+
+
 # ---- op7
 
 

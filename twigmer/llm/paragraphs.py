@@ -61,12 +61,12 @@ def shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return x * np.uint64(0x9E3779B97F4A7C15), ends
 
 
-def band_keys(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The band hashes of paragraphs' shingles, one row each."""
-    keys = np.zeros((len(ends) - 1, BANDS), np.uint64)
-    for b in range(BANDS):
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            least = np.minimum.reduceat((x ^ _FLIP[r]) * _TURN[r], ends[:-1])
+def band_keys(x: np.ndarray, ends: np.ndarray, rows: int = ROWS, turn: np.ndarray = _TURN, flip: np.ndarray = _FLIP) -> np.ndarray:
+    """The band hashes of paragraphs' shingles, one row each; every ``rows`` of the given hash functions are a band."""
+    keys = np.zeros((len(ends) - 1, len(turn) // rows), np.uint64)
+    for b in range(keys.shape[1]):
+        for r in range(b * rows, (b + 1) * rows):
+            least = np.minimum.reduceat((x ^ flip[r]) * turn[r], ends[:-1])
             keys[:, b] = (keys[:, b] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1)
             keys[:, b] ^= keys[:, b] >> np.uint64(29)
     return keys.view(np.int64)

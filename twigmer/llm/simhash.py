@@ -113,9 +113,15 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     found = near_duplicates(docs.select("doc_id", key.alias("text_key"), text), text)
-    keys = found.groupBy("component_fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    return first_of_each(docs, found.withColumnRenamed("component_fp", "component"), text)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that come first in their component; ``found(doc_id, text_key, component)`` has a row for each of ``docs``."""
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keys = found.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")
-    kept = keys.groupBy("component_fp").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key"), F.col("k.n").alias("__n"))
+    kept = keys.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key"), F.col("k.n").alias("__n"))
     kept = stored(kept)
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key"))
     once = docs.join(kept.where("__n = 1"), on, "left_semi")

@@ -216,6 +216,26 @@ def test_paragraphs(spark, docs):
     assert paragraphs.repeated_paragraphs(more.limit(0)).count() == 0
 
 
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(22)
+    word = lambda: f"é{rng.randrange(10**6)}"
+    rows, inside = [], {}
+    for i in range(40):
+        passage = " ".join(word() for _ in range(70))
+        for d in (2 * i, 2 * i + 1):
+            before = " ".join(word() for _ in range(rng.randint(60, 300))) + " \t"
+            rows.append((d, before + passage + " " + " ".join(word() for _ in range(rng.randint(60, 300)))))
+            inside[d] = set(passage.split())
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        words = texts[r.doc_id][r.start : r.start + r.n_chars].split()
+        assert len(words) == r.n_words >= paragraphs.MIN_WORDS
+        assert len(inside[r.doc_id].intersection(words)) >= 0.8 * len(words)  # a similar unit may begin or end a little outside
+        assert r.removed == (r.doc_id % 2 == 1)
+
+
 # ---- op6
 
 

@@ -9,6 +9,7 @@ that join something are passed on; large families are cut into blocks that sprea
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ from ._shared import connected_components, stored
 
 SHINGLE_WORDS, SIMILAR = 5, 0.8
 MIN_WORDS = 10
+#: Lines from this length on are cut too; a cut is the least of so many word pairs on each side.
+LONG_WORDS, NEAR_CUT = 50, 4
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: 1 - (1 - 0.8^3)^8: 99.7 % of pairs at the threshold share a band.
 BANDS, ROWS = 8, 3
 BLOCK = 512
@@ -33,13 +37,34 @@ def tuned_bands(rows: int, similar: float = SIMILAR, recall: float = 0.995) -> i
     return math.ceil(math.log(1 - recall) / math.log(1 - similar**rows))
 
 
+def cuts(words: list[bytes]) -> np.ndarray:
+    """The places before words whose pair hash is the least of the NEAR_CUT ones on each side: words nearby alone decide, cuts are over NEAR_CUT apart."""
+    import xxhash
+
+    if len(words) < 2 * NEAR_CUT + 2:
+        return np.zeros(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    pairs = (hashes[:-1] * _PLACE[0] ^ hashes[1:]) * _PLACE[1]
+    around = np.lib.stride_tricks.sliding_window_view(pairs, 2 * NEAR_CUT + 1)
+    return np.nonzero(around.argmin(axis=1) == NEAR_CUT)[0] + NEAR_CUT
+
+
 def paragraphs(text: str | None) -> list[tuple[int, int, int, list[bytes]]]:
-    """``(number, start, characters, words)`` of all lines of MIN_WORDS words or more; A-Z lower-cased, split at ASCII blanks."""
+    """``(line number, start, characters, words)`` of all units of a text; A-Z lower-cased, split at ASCII blanks.
+
+    Units are all lines of MIN_WORDS words or more and, of lines of LONG_WORDS words or more, what lies
+    between each cut and the next but one. Those units overlap, have MIN_WORDS words or more, and are
+    equal wherever a passage stands, so that one spliced into a longer line is found.
+    """
     out, at = [], 0
     for i, line in enumerate((text or "").split("\n")):
         words = line.encode("utf-8", "surrogatepass").lower().split()
         if len(words) >= MIN_WORDS:
             out.append((i, at, len(line), words))
+        if len(words) >= LONG_WORDS and len(places := cuts(words).tolist()) > 2:
+            spans = [m.span() for m in _WORD.finditer(line)]
+            for a, b in zip(places, places[2:], strict=False):
+                out.append((i, at + spans[a][0], spans[b - 1][1] - spans[a][0], words[a:b]))
         at += len(line) + 1
     return out
 
@@ -190,7 +215,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     One row for each place: ``doc_id, number`` (of the line, from 0), ``start, n_chars`` (code points),
     ``n_words``, ``component`` (a number), ``component_id`` (its smallest doc_id), ``n_places``, and
     ``removed``: false for the component's first place by doc_id (nulls first), number and start, true
-    for the others. Paragraphs are lines of 10 words or more; null, empty and short texts have none.
+    for the others. Paragraphs are lines of 10 words or more and overlapping parts of long lines; null, empty and short texts have none.
     Rows without a doc_id count as one document; of places that repeat in all columns one is first.
     """
     places = stored(_per_paragraph(docs, text, "places"))

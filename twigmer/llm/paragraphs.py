@@ -1,9 +1,14 @@
-"""Repeated paragraphs across documents: MinHash banding, exact Jaccard, components.
+"""Repeated paragraphs across documents: MinHash banding, exact verification, components.
 
-Equal paragraphs are one node from the start. Nodes that share a band fall into one family (the
-components of the band graph, in which every member only points to its bucket's first). Inside a
-family the exact Jaccard similarity of word shingles decides, block by block, and only the links
-that join something are passed on; large families are cut into blocks that spread over tasks.
+Paragraphs are of two kinds, both of ``min_words`` words or more (51 by default).
+
+* Lines. Their sets of 5-word shingles are MinHashed in bands; lines that share a band are verified by exact
+  Jaccard similarity and clustered by components. Equal lines are one node from the start.
+* All runs of ``min_words`` consecutive words, across line ends. The MinHash of such a run over its 16-word
+  shingles is its band, so that equal runs always collide. Neighbouring runs share their minimum: a text
+  names each minimum once, some 18 words apart. Around minima that two texts share, all runs are
+  compared by 128-bit digests and joined into maximal passages, so that a passage is found to the word
+  wherever it stands.
 """
 
 from __future__ import annotations
@@ -18,18 +23,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, stored
+from .links import bucket_links, jaccard, members_of
 
 SHINGLE_WORDS, SIMILAR = 5, 0.8
-MIN_WORDS = 10
-#: Lines from this length on are cut too; a cut is the least of so many word pairs on each side.
-LONG_WORDS, NEAR_CUT = 50, 4
+#: The least length of a paragraph or passage; any value from SEED_WORDS on is exact.
+MIN_WORDS = 51
+#: Shingles by which runs of MIN_WORDS words are MinHashed.
+SEED_WORDS = 16
+#: 1 - (1 - 0.8^4)^12: 99.8 % of pairs at the threshold share a band.
+BANDS, ROWS = 12, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: 1 - (1 - 0.8^3)^8: 99.7 % of pairs at the threshold share a band.
-BANDS, ROWS = 8, 3
-BLOCK = 512
 _rng = np.random.default_rng(20)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TURN, _FLIP, _PLACE = _odd(BANDS * ROWS), _odd(BANDS * ROWS), _odd(SHINGLE_WORDS)
+_TURN, _FLIP = _odd(BANDS * ROWS), _odd(BANDS * ROWS)
+_BASES = _odd(3)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tuned_bands(rows: int, similar: float = SIMILAR, recall: float = 0.995) -> int:
@@ -37,53 +45,57 @@ def tuned_bands(rows: int, similar: float = SIMILAR, recall: float = 0.995) -> i
     return math.ceil(math.log(1 - recall) / math.log(1 - similar**rows))
 
 
-def cuts(words: list[bytes]) -> np.ndarray:
-    """The places before words whose pair hash is the least of the NEAR_CUT ones on each side: words nearby alone decide, cuts are over NEAR_CUT apart."""
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, split at ASCII blanks."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(words) < 2 * NEAR_CUT + 2:
-        return np.zeros(0, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    pairs = (hashes[:-1] * _PLACE[0] ^ hashes[1:]) * _PLACE[1]
-    around = np.lib.stride_tricks.sliding_window_view(pairs, 2 * NEAR_CUT + 1)
-    return np.nonzero(around.argmin(axis=1) == NEAR_CUT)[0] + NEAR_CUT
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, int, list[bytes]]]:
-    """``(line number, start, characters, words)`` of all units of a text; A-Z lower-cased, split at ASCII blanks.
+_powers: dict[int, np.ndarray] = {}
 
-    Units are all lines of MIN_WORDS words or more and, of lines of LONG_WORDS words or more, what lies
-    between each cut and the next but one. Those units overlap, have MIN_WORDS words or more, and are
-    equal wherever a passage stands, so that one spliced into a longer line is found.
-    """
-    out, at = [], 0
-    for i, line in enumerate((text or "").split("\n")):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= MIN_WORDS:
-            out.append((i, at, len(line), words))
-        if len(words) >= LONG_WORDS and len(places := cuts(words).tolist()) > 2:
-            spans = [m.span() for m in _WORD.finditer(line)]
-            for a, b in zip(places, places[2:], strict=False):
-                out.append((i, at + spans[a][0], spans[b - 1][1] - spans[a][0], words[a:b]))
-        at += len(line) + 1
-    return out
-
-
-def shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHINGLE_WORDS words of all paragraphs, repeats included, and where each paragraph's begin (and the end)."""
-    import xxhash
 
-    words = [w for t in texts for w in t]
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    lengths = np.array([len(t) for t in texts])
-    n = lengths - SHINGLE_WORDS + 1
-    ends = np.r_[0, np.cumsum(n)]
-    at = np.arange(ends[-1]) + np.repeat(np.arange(len(texts)) * (SHINGLE_WORDS - 1), n)
-    x = np.zeros(ends[-1], np.uint64)
-    for i in range(SHINGLE_WORDS):
-        x += hashes[at + i] * _PLACE[i]
-        x ^= x >> np.uint64(31)
-    return x * np.uint64(0x9E3779B97F4A7C15), ends
+def _powers_of(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        _powers[base] = np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))
+    return _powers[base][:n]
+
+
+def run_hashes(hashes: np.ndarray, k: int, base: np.uint64 = _BASES[0]) -> np.ndarray:
+    """A hash of each run of ``k`` words, by differences of one running sum."""
+    n = len(hashes)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * _powers_of(int(base), n), out=sums[1:])
+    x = (sums[k:] - sums[:-k]) * _powers_of(pow(int(base), -1, 1 << 64), n - k + 1)
+    x ^= x >> np.uint64(31)
+    x *= _GOLDEN
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _sliding(x: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of each ``n`` values in a row."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = least(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def minima(x: np.ndarray, n: int) -> np.ndarray:
+    """The places of the least value of each ``n`` in a row, all of them where they tie."""
+    if len(x) < n:
+        return np.zeros(0, np.int64)
+    low = _sliding(x, n, np.minimum)
+    pad = np.zeros(n - 1, x.dtype)
+    return np.nonzero(_sliding(np.r_[pad, low, pad], n, np.maximum) == x)[0]
 
 
 def band_keys(x: np.ndarray, ends: np.ndarray, rows: int = ROWS, turn: np.ndarray = _TURN, flip: np.ndarray = _FLIP) -> np.ndarray:
@@ -92,142 +104,210 @@ def band_keys(x: np.ndarray, ends: np.ndarray, rows: int = ROWS, turn: np.ndarra
     for b in range(keys.shape[1]):
         for r in range(b * rows, (b + 1) * rows):
             least = np.minimum.reduceat((x ^ flip[r]) * turn[r], ends[:-1])
-            keys[:, b] = (keys[:, b] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1)
+            keys[:, b] = (keys[:, b] ^ least) * _GOLDEN + np.uint64(b + 1)
             keys[:, b] ^= keys[:, b] >> np.uint64(29)
     return keys.view(np.int64)
 
 
-def _identity(words: list[bytes]) -> int:
-    import xxhash
+def lines_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(number, start, characters, first word, words)`` of the lines of ``min_words`` words or more."""
+    at = word = 0
+    for i, line in enumerate(text.split("\n")):
+        n = len(line.encode("utf-8", "surrogatepass").split())
+        if n >= min_words:
+            yield i, at, len(line), word, n
+        at, word = at + len(line) + 1, word + n
+
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
+_SCAN = "text_key binary, n_words long, seed long, place int, line binary, number int, start long, n_chars long, bands array<long>"
+#: Texts that are hashed at once.
+_GROUP = 256
 
 
-def _per_paragraph(docs: DataFrame, text: str, what: str) -> DataFrame:
-    """All paragraphs: their places (``places``), their band hashes (``bands``) or their shingles (``shingles``), with their id."""
-    schema = {"places": "doc_id long, number int, start long, n_chars long, n_words int, id long", "bands": "id long, bands array<long>", "shingles": "id long, shingles array<long>"}[what]
+def _scan(texts: DataFrame, min_words: int) -> DataFrame:
+    """Three sorts of rows of each text ``(text_key, text)``: its length in words, its seeds with their places, its long lines with their bands."""
+    names = [x.split()[0] for x in _SCAN.split(", ")]
+    kinds = {"text_key": pa.binary(), "n_words": pa.int64(), "seed": pa.int64(), "place": pa.int32(), "line": pa.binary(), "number": pa.int32(), "start": pa.int64(), "n_chars": pa.int64(), "bands": pa.list_(pa.int64())}
+
+    def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kinds[c])) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            seen: set[int] = set()  # of a batch: copies of a paragraph make one row there
-            for at in range(0, batch.num_rows, 256):
-                ids, texts = batch.column("doc_id").slice(at, 256).to_pylist(), batch.column("text").slice(at, 256)
-                own = [(d, *p) for d, t in zip(ids, texts, strict=True) for p in paragraphs(t.as_py())]
-                names = [_identity(o[4]) for o in own]
-                if what != "places":
-                    first = [i for i, n in enumerate(names) if n not in seen and not seen.add(n)]
-                    own, names = [own[i] for i in first], [names[i] for i in first]
-                if not own:
+            seen: set[bytes] = set()  # of a batch: copies of a text make one row there
+            for at in range(0, batch.num_rows, _GROUP):
+                part = batch.slice(at, _GROUP)
+                new = {k: t for k, t in zip(part.column("text_key").to_pylist(), part.column("text").to_pylist(), strict=True) if k not in seen}
+                seen.update(new)
+                split = {k: w for k, t in new.items() if len(w := words_of(t)) >= min_words}
+                if not split:
                     continue
-                names = pa.array(names, pa.int64())
-                if what == "places":
-                    cols = [pa.array(c, k) for c, k in zip(list(zip(*own, strict=True))[:4], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([len(o[4]) for o in own], pa.int32()), names], ["doc_id", "number", "start", "n_chars", "n_words", "id"])
-                    continue
-                flat, ends = shingles([o[4] for o in own])
-                if what == "bands":
-                    flat, ends = band_keys(flat, ends).ravel(), np.arange(len(own) + 1) * BANDS
-                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(ends.astype(np.int32), flat.view(np.int64))], ["id", what])
-
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
+                hashes = word_hashes([w for words in split.values() for w in words])
+                by_seed, by_shingle = run_hashes(hashes, SEED_WORDS), run_hashes(hashes, SHINGLE_WORDS)
+                base, places, lines, shingles = 0, [], [], []
+                for key, words in split.items():
+                    places.append(minima(by_seed[base : base + len(words) - SEED_WORDS + 1], min_words - SEED_WORDS + 1))
+                    for number, start, n_chars, first, n in lines_of(new[key], min_words):
+                        lines.append((key, n, xxhash.xxh3_128_digest(b" ".join(words[first : first + n])), number, start, n_chars))
+                        shingles.append(by_shingle[base + first : base + first + n - SHINGLE_WORDS + 1])
+                    base += len(words)
+                lengths = np.array([len(w) for w in split.values()])
+                keys = pa.array(list(split), pa.binary())
+                yield batch_of(len(split), text_key=keys, n_words=pa.array(lengths))
+                own = np.repeat(np.arange(len(split)), [len(p) for p in places])
+                places = np.concatenate(places)
+                seeds = by_seed[places + (np.cumsum(lengths) - lengths)[own]].view(np.int64)
+                yield batch_of(len(seeds), text_key=keys.take(pa.array(own)), seed=pa.array(seeds), place=pa.array(places.astype(np.int32)))
+                if lines:
+                    bands = band_keys(np.concatenate(shingles), np.r_[0, np.cumsum([len(s) for s in shingles])]).ravel()
+                    columns = {c: pa.array(v, kinds[c]) for c, v in zip(["text_key", "n_words", "line", "number", "start", "n_chars"], zip(*lines, strict=True), strict=True)}
+                    yield batch_of(len(lines), **columns, bands=pa.ListArray.from_arrays((np.arange(len(lines) + 1) * BANDS).astype(np.int32), bands))
+
+    return texts.mapInArrow(run, _SCAN)
+
+
+def _shingle_sets(picked: DataFrame) -> DataFrame:
+    """``(id, payload)``: the distinct shingles of the lines ``lines(first word, words, id)`` of each text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, lines in zip(batch.column("text"), batch.column("lines"), strict=True):
+                if not (rows := lines.as_py()):
+                    continue
+                x = run_hashes(word_hashes(words_of(text.as_py())), SHINGLE_WORDS)
+                first = {number: (a, n) for number, _, _, a, n in lines_of(text.as_py() or "", 1)}
+                sets = [np.unique(x[a : a + n - SHINGLE_WORDS + 1]) for a, n in (first[r["number"]] for r in rows)]
+                ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))], ["id", "payload"])
 
-def _links(cells: DataFrame) -> DataFrame:
-    """Links of Jaccard similarity SIMILAR or more inside each cell, without those that close a ring there.
+    return picked.mapInArrow(run, "id long, payload array<long>")
 
-    ``cells(family, cell, id, shingles)``, all rows of a cell in one task and in a row.
-    """
 
-    def of(ids: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        label = np.arange(len(ids))
-        sizes = np.array([len(s) for s in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        columns = np.unique(flat, return_inverse=True)[1]
-        for a in range(0, len(ids), BLOCK):
-            for b in range(a, len(ids), BLOCK):
-                common = np.zeros((min(BLOCK, len(ids) - a), min(BLOCK, len(ids) - b)), np.float32)
-                left, right = (owner >= a) & (owner < a + BLOCK), (owner >= b) & (owner < b + BLOCK)
-                shared = np.intersect1d(columns[left], columns[right])
-                for c in range(0, len(shared), 4096):
-                    part = shared[c : c + 4096]
-                    x, y = np.zeros((common.shape[0], len(part)), np.float32), np.zeros((common.shape[1], len(part)), np.float32)
-                    for m, side, base in ((x, left, a), (y, right, b)):
-                        at = np.searchsorted(part, columns[side])
-                        ok = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == columns[side])
-                        m[owner[side][ok] - base, at[ok]] = 1
-                    common += x @ y.T
-                union = sizes[a : a + BLOCK, None] + sizes[None, b : b + BLOCK] - common
-                for i, j in zip(*np.nonzero(common >= SIMILAR * union), strict=True):
-                    i, j = i + a, j + b
-                    if i < j and label[i] != label[j]:
-                        label[label == label[j]] = label[i]
-                        yield int(ids[i]), int(ids[j])
+def _runs(picked: DataFrame, min_words: int) -> DataFrame:
+    """``(text_key, place, start, stop, h1, h2)``: the runs of ``min_words`` words around the seeds of each text, in characters, with their digest."""
+    schema = "text_key binary, place int, start long, stop long, h1 long, h2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, out = None, [], [], []
-
-        def close() -> None:
-            if len(ids) > 1:
-                out.extend(of(np.array(ids), sets))
-            ids.clear()
-            sets.clear()
-
         for batch in batches:
-            lists = batch.column("shingles")
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, row in enumerate(zip(batch.column("family").to_pylist(), batch.column("cell").to_pylist(), batch.column("id").to_pylist(), strict=True)):
-                if row[:2] != key:
-                    close()
-                    key = row[:2]
-                ids.append(row[2])
-                sets.append(np.unique(values[ends[i] : ends[i + 1]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return cells.repartition("family", "cell").sortWithinPartitions("family", "cell", "id").mapInArrow(run, "a long, b long")
-
-
-def similar_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(id, root)`` of all distinct paragraphs that are linked to another one."""
-    nodes = _per_paragraph(docs, text, "bands").groupBy("id").agg(F.first("bands").alias("bands"))
-    buckets = nodes.select("id", F.explode("bands").alias("key"))
-    first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
-    stars = buckets.withColumn("first", first).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    families = stored(connected_components(stored(stars)).select("id", F.col("root").alias("family")))
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    members = families.join(sizes, "family")
-    sets = _per_paragraph(docs, text, "shingles").join(members, "id").dropDuplicates(["id"])
-    # a family of n blocks has a cell for each two of them; a member is in the n cells of its block
-    block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    cells = sets.withColumn("block", block).withColumn("other", other)
-    cell = F.least("block", "other") * F.col("n") + F.greatest("block", "other")
-    return connected_components(_links(cells.select("family", cell.alias("cell"), "id", "shingles")))
-
-
-def repeated_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The paragraphs that two or more documents share, exactly or at Jaccard similarity 0.8 or more.
-
-    One row for each place: ``doc_id, number`` (of the line, from 0), ``start, n_chars`` (code points),
-    ``n_words``, ``component`` (a number), ``component_id`` (its smallest doc_id), ``n_places``, and
-    ``removed``: false for the component's first place by doc_id (nulls first), number and start, true
-    for the others. Paragraphs are lines of 10 words or more and overlapping parts of long lines; null, empty and short texts have none.
-    Rows without a doc_id count as one document; of places that repeat in all columns one is first.
+            for key, text, seeds in zip(batch.column("text_key"), batch.column("text"), batch.column("seeds"), strict=True):
+                if not seeds.as_py():
+                    continue
+                text = text.as_py()
+                hashes = word_hashes(words_of(text))
+                near = np.asarray(seeds.as_py())[:, None] - np.arange(min_words - SEED_WORDS + 1)
+                places = np.unique(near[(near >= 0) & (near <= len(hashes) - min_words)])
+                spans = np.array([m.span() for m in _WORD.finditer(text)])
+                digests = [run_hashes(hashes if i == 0 else hashes * _GOLDEN ^ (hashes >> np.uint64(23)), min_words, _BASES[i + 1])[places] for i in range(2)]
+                cols = [pa.array([key.as_py()] * len(places), pa.binary()), pa.array(places.astype(np.int32)), pa.array(spans[places, 0]), pa.array(spans[places + min_words - 1, 1]), *(pa.array(d.view(np.int64)) for d in digests)]
+                yield from pa.Table.from_arrays(cols, ["text_key", "place", "start", "stop", "h1", "h2"]).to_batches(max_chunksize=10_000)
+
+    return picked.mapInArrow(run, schema)
+
+
+def _near_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of two blocks of sets have a Jaccard similarity of SIMILAR or more."""
+    both = [*left, *right]
+    sizes = np.array([len(s) for s in both])
+    columns = np.unique(np.concatenate(both), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(both)), sizes)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, columns.max() + 1, 4096):
+        part = np.zeros((len(both), 4096), np.float32)
+        here = (columns >= at) & (columns < at + 4096)
+        part[rows[here], columns[here] - at] = 1
+        common += part[: len(left)] @ part[len(left) :].T
+    return common >= SIMILAR * (sizes[: len(left), None] + sizes[None, len(left) :] - common)
+
+
+def _check_sets(sets: DataFrame):
+    """The check of pairs by the exact Jaccard similarity of ``sets(id, payload)``."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("payload").alias(f"set_{c}"))
+    return lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").where(jaccard(F.col("set_a"), F.col("set_b")) >= SIMILAR).select("a", "b")
+
+
+def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The paragraphs of ``min_words`` words or more that two or more documents share.
+
+    One row for each place: ``doc_id``, ``kind``, ``number`` (of a line, from 0; else null), ``start, n_chars``
+    (code points), ``n_words``, ``component`` (a name), ``component_id`` (its smallest doc_id), and ``removed``:
+    false for the first place by doc_id (nulls first), number and start, true for the others. Kinds:
+
+    * ``line``: whole lines, linked if equal or at Jaccard similarity 0.8 or more of 5-word shingles.
+    * ``passage``: maximal runs of words that are equal to a run of the first document that has them,
+      wherever they stand, across line ends too.
+    * ``text``: whole texts that are equal; a copy's passages shared with other texts are listed too.
+
+    Words are lower-cased (A-Z) and parted by ASCII blanks. Null, empty and short texts have no paragraph, an
+    empty table has no row. Rows of one doc_id (or without any) count as one document; repeated rows repeat
+    their places. Columns of other names are ignored. ``min_words`` below 16 raises.
     """
-    places = stored(_per_paragraph(docs, text, "places"))
-    roots = stored(similar_nodes(docs, text))
+    if min_words < SEED_WORDS:
+        raise ValueError(f"min_words is {SEED_WORDS} at least")
+    t = F.coalesce(F.col(text), F.lit(""))
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    # equal paragraphs first, then linked ones
-    nodes = places.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(doc.alias("d"), "number", "start")).alias("first"), F.max(doc).alias("last"), F.min("doc_id").alias("least"))
-    named = nodes.join(roots, "id", "left").withColumn("component", F.coalesce("root", "id"))
-    named = stored(named.where("n > 1 or root is not null"))
-    groups = named.groupBy("component").agg(F.sum("n").alias("n_places"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("least").alias("component_id"))
-    groups = groups.where("n_places > 1 and first.d < last")
-    named = named.select("id", "component").join(groups, "component")
-    found = places.join(named, "id")
-    is_first = F.struct(doc.alias("d"), "number", "start") == F.col("first")
-    return found.select("doc_id", "number", "start", "n_chars", "n_words", "component", "component_id", "n_places", (~is_first).alias("removed"))
+    key = F.unhex(F.md5(t.cast("binary"))).alias("text_key")
+    texts = docs.select(key, doc.alias("doc"), t.alias("text"))
+    ids = docs.select("doc_id", key)
+    nodes = ids.groupBy("text_key").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
+    scan = stored(_scan(texts.select("text_key", "text"), min_words))
+    lengths = scan.where("seed is null and line is null").select("text_key", "n_words").distinct()
+    nodes = stored(nodes.join(lengths, "text_key"))  # of min_words words or more
+
+    # lines of equal words are one node, which its first text stands for
+    lines = scan.where("line is not null").dropDuplicates(["text_key", "number"])
+    names = lines.groupBy("line").agg(F.min(F.struct("text_key", "number")).alias("one"), F.first("bands").alias("bands"))
+    names = stored(names.withColumn("id", F.monotonically_increasing_id()))  # written once, so that ids stay
+    members = stored(members_of(names.select("id", F.explode("bands").alias("key"))))
+    compared = members.select("id").unionByName(members.select(F.col("first").alias("id"))).distinct()
+    wanted = names.join(compared, "id").groupBy("one.text_key").agg(F.collect_list(F.struct("one.number", "id")).alias("lines"))
+
+    # seeds that two texts share
+    seeds = scan.where("seed is not null").select("text_key", "seed", "place")
+    shared = seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("seed")
+    around = seeds.join(shared, "seed", "left_semi").groupBy("text_key").agg(F.collect_list("place").alias("seeds"))
+    wanted = wanted.join(around, "text_key", "full").join(nodes.select("text_key", F.col("first").alias("doc")), "text_key")
+    picked = texts.join(wanted, ["text_key", "doc"]).dropDuplicates(["text_key"])  # of copies, the first document's
+    none = F.array().cast("array<struct<number:int,id:bigint>>")
+    picked = stored(picked.select("text_key", "text", F.coalesce("lines", none).alias("lines"), F.coalesce("seeds", F.array().cast("array<int>")).alias("seeds")))
+
+    columns = ["text_key", "kind", "number", "start", "n_chars", "n_words", "component", "of", "removed"]
+    found = _line_places(lines, names, members, picked, nodes).select(*columns)
+    found = found.unionByName(_passages(_runs(picked.drop("lines"), min_words), nodes, min_words).select(*columns))
+    copies = nodes.where("first < last")
+    chars = docs.groupBy(key).agg(F.first(F.length(t)).cast("long").alias("n_chars"))
+    whole = copies.join(chars, "text_key").select("text_key", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(0).cast("long").alias("start"), "n_chars", "n_words", F.hex("text_key").alias("component"), F.col("first").alias("of"), F.lit(False).alias("removed"))
+    found = found.unionByName(whole.select(*columns))
+    of = F.when(F.col("of") != F.lit(-(1 << 63)), F.col("of"))
+    rows = found.join(ids, "text_key").withColumn("removed", F.col("removed") | (doc != F.col("of")))
+    return rows.select("doc_id", "kind", "number", "start", "n_chars", "n_words", "component", of.alias("component_id"), "removed")
+
+
+def _line_places(lines: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The places of lines whose component two documents have."""
+    sets = stored(_shingle_sets(picked.select("text", "lines")))
+    check = _check_sets(sets)
+    linked, more = bucket_links(members, check, sets, _near_sets)
+    roots = connected_components(linked if more is None else linked.unionByName(check(more)))
+    named = names.select("line", "id").join(roots, "id", "left").select("line", F.coalesce("root", "id").alias("root"))
+    places = lines.select("text_key", "line", "number", "start", "n_chars", "n_words").join(named, "line").join(nodes.select("text_key", "first", "last"), "text_key")
+    groups = places.groupBy("root").agg(F.min(F.struct("first", "number", "start", "text_key")).alias("one"), F.max("last").alias("high")).where("one.first < high")
+    rows = places.join(groups, "root")
+    is_first = (F.struct("first", "number", "start", "text_key") == F.col("one"))
+    return rows.select("text_key", F.lit("line").alias("kind"), "number", "start", "n_chars", "n_words", F.concat(F.lit("line "), F.col("root")).alias("component"), F.col("one.first").alias("of"), (~is_first).alias("removed"))
+
+
+def _passages(runs: DataFrame, nodes: DataFrame, min_words: int) -> DataFrame:
+    """Maximal passages: runs that two texts share, chained while their first places follow each other."""
+    runs = stored(runs.join(nodes.select("text_key", "first", "last"), "text_key"))
+    first = F.min(F.struct("first", "text_key", "place")).alias("one")
+    classes = runs.groupBy("h1", "h2").agg(first, F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("last").alias("to"))
+    classes = classes.where("low < high and one.first < to").select("h1", "h2", "one")
+    rows = runs.join(classes, ["h1", "h2"]).select("text_key", "place", "start", "stop", F.col("one.text_key").alias("origin"), F.col("one.first").alias("of"), (F.col("one.place") - F.col("place")).alias("shift"))
+    # a partition is a part of one text
+    row = F.row_number().over(Window.partitionBy("text_key", "origin", "shift").orderBy("place"))
+    chains = rows.withColumn("chain", F.col("place") - row).groupBy("text_key", "origin", "of", "shift", "chain")
+    made = chains.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"))
+    removed = (F.col("origin") != F.col("text_key")) | (F.col("shift") != 0)
+    return made.select("text_key", F.lit("passage").alias("kind"), F.lit(None).cast("int").alias("number"), "start", (F.col("stop") - F.col("start")).alias("n_chars"), (F.col("n") + min_words - 1).alias("n_words"), F.hex("origin").alias("component"), "of", removed.alias("removed"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, stored
+from ._shared import connected_components, quoted, stored, unused
 
 BITS, SEGMENT_BITS, MOST_BITS_APART = 64, 32, 3
 SHINGLE_WORDS = 3
@@ -51,7 +51,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> D
     one shingle; null, empty and blank texts have fingerprint zero. The text column is dropped.
     """
     rest = [c for c in docs.columns if c not in (text, out)]
-    packed = docs.select(F.struct(*rest).alias("rest"), F.col(text).alias("text"))
+    packed = docs.select(F.struct(*[quoted(c) for c in rest]).alias("rest"), quoted(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> D
     from pyspark.sql import types as T
 
     made = packed.mapInArrow(run, T.StructType([packed.schema["rest"], T.StructField("fp", T.LongType())]))
-    return made.select(*[F.col("rest")[c].alias(c) for c in rest], F.col("fp").alias(out))
+    return made.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("fp").alias(out))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -106,23 +106,31 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_key(text: str = "text") -> Column:
+    """The 128-bit digest by which texts are told apart (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")).cast("binary")))
+
+
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one document left of each component: that of the smallest doc_id (nulls last), then text hash.
+    """``docs`` with one document left of each component: that of the smallest doc_id (nulls last), then text digest.
 
-    All columns stay. Of rows that repeat in id and text, one stays.
+    Components are those of :func:`near_duplicates`. All columns stay, whatever their names; nulls and empty texts
+    are one component. Of rows that repeat in id and text, that of the least JSON form stays; an empty table stays empty.
     """
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = near_duplicates(docs.select("doc_id", key.alias("text_key"), text), text)
+    found = near_duplicates(docs.select("doc_id", text_key(text).alias("text_key"), quoted(text).alias("text")), "text")
     return first_of_each(docs, found.withColumnRenamed("component_fp", "component"), text)
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that come first in their component; ``found(doc_id, text_key, component)`` has a row for each of ``docs``."""
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own, key, n, one = unused(docs, "id", "key", "n", "one")
     keys = found.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")
-    kept = keys.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key"), F.col("k.n").alias("__n"))
+    kept = keys.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(own), F.col("k.text_key").alias(key), F.col("k.n").alias(n))
     kept = stored(kept)
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key"))
-    once = docs.join(kept.where("__n = 1"), on, "left_semi")
-    return once.unionByName(docs.join(kept.where("__n > 1"), on, "left_semi").dropDuplicates(["doc_id", text]))
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & (text_key(text) == F.col(key))
+    once = docs.join(kept.where(F.col(n) == 1), on, "left_semi")
+    again = docs.join(kept.where(F.col(n) > 1), on, "left_semi")
+    row = F.struct(*[quoted(c) for c in docs.columns])
+    again = again.groupBy("doc_id", text_key(text).alias(key)).agg(F.min_by(row, F.to_json(row)).alias(one))
+    return once.unionByName(again.select(*[F.col(one).getField(c).alias(c) for c in docs.columns]))

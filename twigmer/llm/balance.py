@@ -15,7 +15,8 @@ from ._shared import stored
 BLOCK_GROUPS = 4096
 #: Groups above 1/(LARGE_SHARE * shards) of all bytes are dealt on their own; at most that many exist.
 LARGE_SHARE = 64
-SLOT_BUCKETS = 64
+#: Rows of a shard that one window numbers, on average; a shard has 8 windows at least.
+SLOT_ROWS = 100_000
 
 
 def difference(tuples: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -60,9 +61,11 @@ def shard_groups(groups: DataFrame, n_shards: int) -> DataFrame:
     """``groups(key binary, bytes long)`` -> ``(key, shard)``, shards of near-equal bytes.
 
     The few large groups (at most ``n_shards * LARGE_SHARE``) are differenced on the driver; one
-    above the mean of what is left has a shard to itself. The tasks then difference the others in
-    blocks. Each block starts from its share of what the large groups left uneven, as one more
-    partial partition: its places are the shards, so that the small groups level them.
+    above the mean of what is left has a shard to itself. All others are dealt by hash to blocks of about
+    BLOCK_GROUPS. Tasks difference each block but one, starting from the block's share of what the large
+    groups left uneven, as one more partial partition whose places are the shards. What that leaves uneven
+    is one partial partition too: with the single groups of the block that was held back, it is
+    differenced last, on the driver. One block alone is differenced with the large groups at once.
     """
     spark = groups.sparkSession
     n, total = groups.agg(F.count(F.lit(1)), F.sum("bytes")).first()
@@ -73,35 +76,56 @@ def shard_groups(groups: DataFrame, n_shards: int) -> DataFrame:
         rest -= large[alone].bytes
         alone += 1
     k, others = n_shards - alone, large[alone:]
-    sums, lanes = difference([_single(r.bytes, k) for r in others]) if others else (np.zeros(k, np.int64), [])
-    left = max(1, rest - sum(r.bytes for r in others))
+    blocks = max(1, -(-(n - len(large)) // BLOCK_GROUPS))
+    small = groups.where(~is_large).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    held = sorted(small.where("block = 0").collect(), key=lambda r: (-r.bytes, bytes(r.key)))  # about BLOCK_GROUPS
+    own = [(r.key, k + i) for i, r in enumerate(large[:alone])]
+    if blocks == 1:
+        one, last, dealt = np.zeros(k, np.int64), others + held, None
+    else:
+        sums, lanes = difference([_single(r.bytes, k) for r in others]) if others else (np.zeros(k, np.int64), [])
+        own += [(r.key, int(lane[0])) for r, lane in zip(others, lanes, strict=True)]
+        dealt = stored(_deal_blocks(small.where("block > 0"), sums, max(1, rest - sum(r.bytes for r in others))))
+        one = sums.copy()
+        for r in dealt.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
+            one[r.shard] += r.bytes
+        last = held
+    if last:
+        lanes = difference([one, *(_single(r.bytes, k) for r in last)])[1]
+        shard = np.empty(k, np.int64)
+        shard[lanes[0]] = np.arange(k)
+        own += [(r.key, int(shard[lane[0]])) for r, lane in zip(last, lanes[1:], strict=True)]
+    made = spark.createDataFrame(own, "key binary, shard int")
+    return made if dealt is None else dealt.select("key", "shard").unionByName(made)
+
+
+def _deal_blocks(small: DataFrame, sums: np.ndarray, left: int) -> DataFrame:
+    """``(key, bytes, shard)`` of ``small(key, bytes, block)``; a block levels its share, by bytes of ``left``, of ``sums``."""
+    k = len(sums)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes = [], []
+        block, keys, sizes = None, [], []
 
         def close() -> pa.RecordBatch:
-            share = sum(sizes) / left
-            lanes = difference([(sums * share).astype(np.int64), *(_single(b, k) for b in sizes)])[1]
+            lanes = difference([(sums * (sum(sizes) / left)).astype(np.int64), *(_single(b, k) for b in sizes)])[1]
             shard = np.empty(k, np.int32)
             shard[lanes[0]] = np.arange(k)
-            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(shard[[x[0] for x in lanes[1:]]])], ["key", "shard"])
+            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shard[[x[0] for x in lanes[1:]]])], ["key", "bytes", "shard"])
             keys.clear()
             sizes.clear()
             return made
 
         for batch in batches:
-            for key, size in zip(batch.column("key").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            for key, size, own in zip(batch.column("key").to_pylist(), batch.column("bytes").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if own != block and keys:
+                    yield close()
+                block = own
                 keys.append(key)
                 sizes.append(size)
-                if len(keys) == BLOCK_GROUPS:
-                    yield close()
         if keys:
             yield close()
 
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BLOCK_GROUPS))
-    small = groups.where(~is_large).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(deal, "key binary, shard int")
-    own = [(r.key, int(lane[0])) for r, lane in zip(others, lanes, strict=True)] + [(r.key, k + i) for i, r in enumerate(large[:alone])]
-    return small.unionByName(spark.createDataFrame(own, "key binary, shard int"))
+    return small.repartition("block").sortWithinPartitions("block", "key").mapInArrow(deal, "key binary, bytes long, shard int")
 
 
 def _single(size: int, k: int) -> np.ndarray:
@@ -120,10 +144,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, text: str = "text") ->
     rows = docs.select("doc_id", (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("key"))
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     shards = stored(shard_groups(stored(groups), n_shards))
-    placed = stored(rows.join(shards, "key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_BUCKETS)).cast("int")))
+    buckets = max(8, docs.count() // (n_shards * SLOT_ROWS))
+    placed = stored(rows.join(shards, "key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int")))
     starts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("shard", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     order = Window.partitionBy("shard", "bucket").orderBy(F.asc_nulls_first("doc_id"), "key")
-    numbered = placed.withColumn("at", F.row_number().over(order)).join(F.broadcast(starts), ["shard", "bucket"])  # n_shards * SLOT_BUCKETS rows
+    numbered = placed.withColumn("at", F.row_number().over(order)).join(starts, ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

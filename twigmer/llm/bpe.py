@@ -1,9 +1,10 @@
 """BPE encoding and decoding of whole texts with public vocabularies.
 
-Short texts are encoded where they are. A long text is cut in halves down to leaves, which are rows
-of their own, spread over all tasks and encoded in parallel; neighbouring results then join up a
-tree: a growing window around each join is encoded again until it meets token boundaries that both
-sides share (see :func:`join_halves` for why that is exact).
+Texts of up to two leaves are encoded where they are. A longer text is cut at the spellings of special
+tokens, and each piece in halves down to leaves, which are rows of their own, spread over all tasks and
+encoded in parallel; neighbouring results then join up a tree: a growing window around each join is
+encoded again until it meets token boundaries that both sides share (see :func:`join_halves` for why
+that is exact).
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 32_768
+from ._shared import quoted, stored
+
+LEAF_CHARS = 8_192
 # Fixed value: the pattern by which byte-level vocabularies of this family split a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Places that the pattern splits at, whatever stands around them.
@@ -46,15 +49,25 @@ class ByteEncoder:
             raise ValueError("ids don't follow the order of the merges")
         self.bytes = token_bytes(self.library)
         self.sizes = np.array([len(x) for x in self.bytes])
-        self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        added = self.library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens have to be spelled as they are")
+        self.specials = {t.content: i for i, t in added.items()}
+        longest = sorted(self.specials, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         ranks = {self.bytes[i]: i for t, i in vocab.items() if t not in self.specials}
         self.fast = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def pieces(self, text: str) -> list[str]:
+        """The text cut at special tokens' spellings, which are pieces of their own."""
+        if self.special is None or not any(x in text for x in self.specials):
+            return [text]
+        return [p for p in self.special.split(text) if p]
+
     def whole(self, text: str) -> np.ndarray:
         """The ids of one text, in which special tokens' spellings are those tokens."""
-        if not any(s in text for s in self.specials):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        made = [np.array([self.specials[p]], np.uint32) if p in self.specials else self.fast.encode_to_numpy(p, disallowed_special=()) for p in self.pieces(text)]
+        return made[0] if len(made) == 1 else np.concatenate([np.zeros(0, np.uint32), *made])
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -157,70 +170,77 @@ def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
+def leaves_of(enc: ByteEncoder, text: str, leaf_chars: int) -> Iterator[tuple[int, int, str]]:
+    """``(piece, leaf, part)``: the text's pieces, each in 1, 2, 4, ... parts of ``leaf_chars`` characters or fewer."""
+    for i, piece in enumerate(enc.pieces(text)):
+        n = 1 << max(0, (-(-len(piece) // leaf_chars) - 1).bit_length())
+        cuts = [len(piece) * j // n for j in range(n + 1)]
+        for j in range(n):
+            yield i, j, piece[cuts[j] : cuts[j + 1]]
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Add ``out``, the ids (``array<int>``) of every whole text under a byte-level BPE vocabulary file.
 
     As the tokenizers library encodes with ``add_special_tokens=False`` and no truncation or
-    padding. Null texts count as empty and have no ids; repeated rows are encoded alike; other
-    columns, of any name and type, pass through. Texts of more than two leaves take the tree, but
-    those that hold a special token's own spelling, which are encoded in one piece.
+    padding. Null texts count as empty and have no ids; repeated rows are encoded alike; an empty table
+    has no rows; other columns, of any name and type, pass through. Texts of more than two leaves take the tree.
     """
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(vocabulary)
-    specials = [t.content for t in library.get_added_tokens_decoder().values()]
     rest = [c for c in docs.columns if c not in (text, out)]
-    packed = docs.select(F.struct(*rest).alias("__rest") if rest else F.lit(None).alias("__rest"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    tall = F.length("__text") > 2 * leaf_chars
-    for s in specials:
-        tall = tall & ~F.col("__text").contains(s)
+    packed = docs.select(F.struct(*[quoted(c) for c in rest]).alias("rest") if rest else F.lit(None).cast("int").alias("rest"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    tall = F.length("text") > 2 * leaf_chars
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for a, b in _slices(texts):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids_array([enc.whole(t) for t in texts[a:b]])], ["__rest", "__text", "__ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids_array([enc.whole(t) for t in texts[a:b]])], ["rest", "text", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            for row, t in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                pieces, leaf, parts = zip(*leaves_of(enc, t.as_py(), leaf_chars), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts)), pa.array(pieces, pa.int32()), pa.array(leaf, pa.int32()), pa.array(parts, pa.string())], ["row", "piece", "leaf", "part"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("part").to_pylist()
             for a, b in _slices(texts):
-                part = batch.slice(a, b - a)
                 ids = [enc.whole(t).tobytes() for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.binary())], ["__row", "leaf", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(ids, pa.binary())], ["row", "piece", "leaf", "part", "ids"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = [(p["part"], np.frombuffer(p["ids"], "<u4")) for p in batch.column("parts")[i].as_py()]
-                ids = join_tree(enc, parts)
-                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, 1), pa.array(["".join(p for p, _ in parts)], pa.string()), _ids_array([ids])], ["__row", "__text", "__ids"])
-
-    schema = packed.schema
-    done = packed.where(~tall).mapInArrow(short, _schema(schema, "__rest", "__text"))
-    long = packed.where(tall).withColumn("__row", F.monotonically_increasing_id())  # of rows of one scan, which come in one order
-    n = F.pow(F.lit(2.0), F.ceil(F.log2(F.length("__text") / F.lit(leaf_chars)))).cast("int")
-    cut = lambda i: (F.length("__text") * i.cast("long") / n).cast("int")
-    halves = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("leaf"), F.substring(F.col("__text"), cut(i) + 1, cut(i + 1) - cut(i)).alias("part")))
-    rows = long.select("__row", F.explode(halves).alias("h")).select("__row", "h.leaf", "h.part").repartition("__row", "leaf")
+                pieces: dict[int, list] = {}
+                for p in batch.column("parts")[i].as_py():
+                    pieces.setdefault(p["piece"], []).append((p["part"], np.frombuffer(p["ids"], "<u4")))
+                ids = np.concatenate([join_tree(enc, parts) for parts in pieces.values()])
+                made = "".join(p for parts in pieces.values() for p, _ in parts)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), pa.array([made], pa.string()), _ids_array([ids])], ["row", "text", "ids"])
+
+    done = packed.where(~tall).mapInArrow(short, _schema(packed.schema, "rest", "text"))
+    long = stored(packed.where(tall).withColumn("row", F.monotonically_increasing_id()))  # written once, so that row numbers stay
+    rows = long.select("row", "text").mapInArrow(cut, "row long, piece int, leaf int, part string").repartition("row", "piece", "leaf")
     joined = (
-        rows.mapInArrow(leaves, "__row long, leaf int, part string, ids binary")
-        .groupBy("__row")
-        .agg(F.sort_array(F.collect_list(F.struct("leaf", "part", "ids"))).alias("parts"))
-        .mapInArrow(trees, "__row long, __text string, __ids array<int>")
+        rows.mapInArrow(leaves, "row long, piece int, leaf int, part string, ids binary")
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.struct("piece", "leaf", "part", "ids"))).alias("parts"))
+        .mapInArrow(trees, "row long, text string, ids array<int>")
     )
-    both = done.unionByName(joined.join(long.select("__row", "__rest"), "__row").select("__rest", "__text", "__ids"))
-    return both.select(*[F.col("__rest")[c].alias(c) for c in rest], F.col("__text").alias(text), F.col("__ids").alias(out))
+    both = done.unionByName(joined.join(long.select("row", "rest"), "row").select("rest", "text", "ids"))
+    return both.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("text").alias(text), F.col("ids").alias(out))
 
 
 def _schema(schema, *names):
     from pyspark.sql import types as T
 
-    return T.StructType([schema[n] for n in names] + [T.StructField("__ids", T.ArrayType(T.IntegerType()))])
+    return T.StructType([schema[n] for n in names] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -240,7 +260,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
 
 
 def roundtrip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The digest columns of the op8 contract."""
+    """The digest columns of the op8 contract; null and empty texts have no token, an empty table has no row."""
     back = decode(encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
     return back.select(
         "doc_id",

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from ._shared import scratch, stored
 
 CRLF = "\r\n"
-#: Archives are read whole, one a row, and so have to stay small.
-RECORDS_PER_FILE = 10_000
+#: Archives are read whole, one a row, and so have to stay small: in records, and in bytes of payload on average.
+RECORDS_PER_FILE, BYTES_PER_FILE = 10_000, 128 << 20
+#: Captures that one task merges, on average, and runs that one loser tree merges.
+RANGE_ROWS, FAN_IN = 200_000, 256
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RUN_SCHEMA = (
     "page_id long, url string, urlkey string, captured long, record_type string, payload_bytes long, "
@@ -43,6 +45,14 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))
 
 
+def utc(time: Column) -> Column:
+    """A timestamp as WARC writes it, in UTC whatever the session's time zone."""
+    days = F.floor(F.unix_seconds(time) / 86_400)
+    second = F.unix_seconds(time) - days * 86_400
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("string"), F.lit("T"), two(second / 3600), F.lit(":"), two(second % 3600 / 60), F.lit(":"), two(second % 60), F.lit("Z"))
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write one record per row of ``pages(page_id, url, html, captured)`` as gzipped WARC files.
 
@@ -64,7 +74,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: "), ident(F.col("page_id"))),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
-        F.concat(F.lit("WARC-Date: "), F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), utc(F.col("captured"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_sha1(F.col("digest"))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), ident(F.col("first")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -74,8 +84,17 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     ]
     body = F.when(revisit, "").otherwise(F.col("payload"))
     record = F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *head), F.lit(CRLF + CRLF), body, F.lit(CRLF + "\r"))
-    out = rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\n")
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    mean, most = pages.agg(F.avg(F.octet_length(payload)), F.max(F.octet_length(payload))).first()
+    long = F.col("n") > BYTES_PER_FILE // 16
+
+    def write(part: DataFrame, records: float) -> None:
+        out = part.select(record.alias("value")).write.mode("append").option("compression", "gzip").option("lineSep", "\n")
+        out.option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, int(records)))).text(path)
+
+    some = (most or 0) > BYTES_PER_FILE // 16  # rows come dealt by digest, so that a file's mean is near that of all
+    write(rows.where(~long) if some else rows, BYTES_PER_FILE / max(1, mean or 0))
+    if some:
+        write(rows.where(long), max(1, BYTES_PER_FILE // most))
 
 
 def records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -98,7 +117,10 @@ def records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives; digests and sizes come from the payload read (of revisits, from their headers)."""
+    """The records of all archives; digests and sizes come from the payload read (of revisits, from their headers).
+
+    Each archive's captures are a run, which stands in one partition in the order of the index.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import datetime
@@ -122,7 +144,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     kinds = dict(x.split() for x in RUN_SCHEMA.split(", "))
     raw = files.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items() if k != "urlkey"))
-    return raw.withColumn("urlkey", url_key(F.col("url"))).select(*kinds)
+    keyed = raw.withColumn("urlkey", url_key(F.col("url"))).select(*kinds)
+    return keyed.sortWithinPartitions("run", *[F.asc_nulls_first(c) for c in ORDER])
 
 
 class LoserTree:
@@ -164,16 +187,26 @@ class LoserTree:
             self.tree[0] = i
 
 
+def merged_runs(runs: list[Iterator[tuple]], fan_in: int = 0) -> Iterator[tuple]:
+    """Runs merged in passes of loser trees of ``fan_in`` runs each (FAN_IN by default), all of them streams."""
+    fan_in = fan_in or FAN_IN
+    while len(runs) > fan_in:
+        runs = [iter(LoserTree(runs[i : i + fan_in])) for i in range(0, len(runs), fan_in)]
+    return iter(LoserTree(runs))
+
+
 def merge_index(runs: DataFrame) -> DataFrame:
-    """Merge sorted runs of captures (:data:`RUN_SCHEMA`) into capture histories ordered across all tasks.
+    """Merge sorted runs of captures (:data:`RUN_SCHEMA`, stored) into capture histories ordered across all tasks.
 
-    Tasks take disjoint ranges of (urlkey, captured, page_id, ...), so that even one URL's captures
-    spread over many tasks. In a task, rows come run by run, each run sorted; a loser tree merges
-    them. Adds ``range`` and ``slot``: the global order is by range, then slot. Null captures and
-    ids sort first; repeated rows stay, in the order of their archive and offset.
+    Tasks take disjoint ranges of (urlkey, captured, page_id, ...) of some RANGE_ROWS captures, so that even one
+    URL's captures spread over many tasks and a task's memory has a bound. In a task, rows come run by run, each
+    run sorted; loser trees merge them, in passes where there are many runs. Adds ``range`` and ``slot``: the
+    global order is by range, then slot. Null captures and ids sort first; repeated rows stay, in the order of
+    their archive and offset; no runs give no rows.
     """
     nulls_first = [F.asc_nulls_first(c) for c in ORDER]
-    dealt = runs.repartitionByRange(*nulls_first).sortWithinPartitions("run", *nulls_first)
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, *nulls_first).sortWithinPartitions("run", *nulls_first)
     names = dealt.columns
     at = [names.index(c) for c in ORDER]
 
@@ -202,7 +235,7 @@ def merge_index(runs: DataFrame) -> DataFrame:
         for parts in held.values():
             starts.append(base)
             base += sum(p.num_rows for p in parts)
-        order = [starts[k] + i for _, k, i in LoserTree([rows(k, parts) for k, parts in enumerate(held.values())])]
+        order = [starts[k] + i for _, k, i in merged_runs([rows(k, parts) for k, parts in enumerate(held.values())])]
         whole = pa.Table.from_batches([p for parts in held.values() for p in parts]).take(pa.array(order, pa.int64()))
         n, part = whole.num_rows, TaskContext.get().partitionId()
         whole = whole.append_column("range", pa.array([part] * n, pa.int32())).append_column("slot", pa.array(range(n), pa.int64()))
@@ -220,11 +253,15 @@ def numbered(merged: DataFrame) -> DataFrame:
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """The op1 contract: writes archives to shared scratch space, reads them back and merges their index."""
+    """The op1 contract: writes archives to shared scratch space, reads them back, writes their runs and merges them.
+
+    Null html is an empty payload, rows of null page_id or equal ids each have their record, and an empty table gives no rows.
+    """
     path = scratch(pages.sparkSession)
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
     write_archives(pages.select("page_id", "url", "html", captured.alias("captured")), path)
-    merged = numbered(merge_index(read_archives(pages.sparkSession, path)))
+    runs = stored(read_archives(pages.sparkSession, path))
+    merged = numbered(merge_index(runs))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "history_rank")
 
 

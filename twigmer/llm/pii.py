@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let
+from ._shared import let, quoted, unused
 
-# The four base kinds of the contract and two kinds that the method adds. The patterns
+# The four base kinds of the contract and three kinds that the method adds. The patterns
 # accept the contract's language; look-behinds and possessive quantifiers only keep them linear.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -19,6 +19,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:[Pp]assword|[Ss]ecret|[Tt]oken|[Aa]pi_key)\x20?[=:]\x20?\x22?[A-Za-z0-9_-]{12,}",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Texts without this character can't hold the kind.
@@ -31,9 +32,16 @@ SCORES = {
     "phone": (0.6, 0.3, "phone|call|tel|mobile|fax|whatsapp"),
     "iban": (0.8, 0.2, "iban|bank|account|konto|cuenta|compte"),
     "ssn": (0.3, 0.5, r"\bssn\b|social security|tax id"),
+    "secret": (0.7, 0.2, "key|token|login|secret|password"),
 }
 ADDED_AT_LEAST = 0.5
 CONTEXT_CHARS = 40
+# Lengths of IBANs by country, as registered.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 "
+    "PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,6 +86,15 @@ def mod97_ok(iban: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+def _own_length(iban: Column) -> Column:
+    """A proposed IBAN up to the blank at which its country's length is reached; as it is where none is or the country isn't listed."""
+    at = F.instr(F.lit(IBAN_LENGTHS), F.substring(iban, 1, 2))
+    length = F.when(at > 0, F.substring(F.lit(IBAN_LENGTHS), at + 2, F.lit(2)).cast("int"))
+    ends = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), " "))
+    fits = let(F.split(iban, " "), lambda parts: F.filter(ends(parts), lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))) == length))
+    return F.coalesce(F.get(fits, F.lit(0)), iban)
+
+
 def confirmed(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^(?:{_BYTE}\.){{3}}{_BYTE}$")
@@ -87,6 +104,8 @@ def confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return mod97_ok(value)
+    if kind == "secret":
+        return value.rlike("[0-9]")
     return F.lit(True)
 
 
@@ -114,6 +133,8 @@ def _scored(text: Column, kind: str, spans: Column) -> Column:
         score = F.when(F.lower(near).rlike(words), F.lit(base + more)).otherwise(F.lit(base))
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), s["value"].alias("value"), score.alias("score"))
 
+    if kind == "iban":
+        spans = F.transform(spans, lambda s: F.struct(_own_length(s["value"]).alias("value"), s["start"].alias("start")))
     kept = F.filter(spans, lambda s: confirmed(kind, s["value"]))
     out = F.transform(kept, one)
     return out if kind in BASE_KINDS else F.filter(out, lambda s: s["score"] >= ADDED_AT_LEAST)
@@ -123,34 +144,39 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     """Add ``out``: ``array<struct<kind, start, end, value, score>>`` by kind (base kinds first), then start.
 
     Null and empty texts have an empty array. Starts and ends are code points, ends exclusive.
-    Base kinds stay whatever their score; the added kinds need ``ADDED_AT_LEAST``. Repeated rows
-    are kept as they are; other columns pass through; ``out`` replaces a column of that name.
+    Base kinds stay whatever their score; the added kinds need ``ADDED_AT_LEAST``. Whole texts are searched.
+    Repeated rows are kept as they are, an empty table stays empty; other columns of any name pass through;
+    ``out`` replaces a column of that name.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
-    wide = docs
-    for kind in PATTERNS:
-        wide = wide.withColumn(f"__{kind}", _proposed(t, kind))
-    parts = [F.when(F.col(f"__{k}").isNotNull(), _scored(t, k, F.col(f"__{k}"))).otherwise(none) for k in PATTERNS]
-    return wide.withColumn(out, F.concat(*parts)).drop(*[f"__{k}" for k in PATTERNS])
+    wide, own = docs, dict(zip(PATTERNS, unused(docs, *PATTERNS), strict=True))
+    for kind, name in own.items():
+        wide = wide.withColumn(name, _proposed(t, kind))
+    parts = [F.when(F.col(name).isNotNull(), _scored(t, kind, F.col(name))).otherwise(none) for kind, name in own.items()]
+    return wide.withColumn(out, F.concat(*parts)).drop(*own.values())
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """Replace each found span by ``<KIND>``; overlapping spans become one replacement named after the first."""
+    """Replace each found span by ``<KIND>``; overlapping spans become one replacement named after the first.
+
+    Texts without spans, null and empty ones among them, stay as they are, as do all other columns, repeated
+    rows and empty tables; very long texts are rewritten whole.
+    """
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
     step = lambda a, s: (
         F.when(
             s["start"] >= a["at"],
             F.struct(
-                F.concat(a["done"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("done"),
+                F.concat(a["done"], F.substring(quoted(text), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("done"),
                 s["end"].alias("at"),
             ),
         ).otherwise(F.struct(a["done"].alias("done"), F.greatest(a["at"], s["end"]).alias("at")))
     )
     zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    finish = lambda a: F.concat(a["done"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text))))
+    finish = lambda a: F.concat(a["done"], F.substring(quoted(text), a["at"] + 1, F.length(quoted(text))))
     new = F.aggregate(F.array_sort(F.col(spans), order), zero, step, finish)
-    return docs.withColumn(text, F.when(F.size(F.col(spans)) > 0, new).otherwise(F.col(text)))
+    return docs.withColumn(text, F.when(F.size(F.col(spans)) > 0, new).otherwise(quoted(text)))
 
 
 def _listed(spans: Column) -> Column:
@@ -158,7 +184,7 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the op10 contract, one row per document."""
+    """The digest columns of the op10 contract, one row per document; null and empty texts have none of any kind, an empty table has no row."""
     found = find_pii(docs).select("doc_id", "pii")
     base = F.filter(F.col("pii"), lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [_count(k) for k in BASE_KINDS]
@@ -178,6 +204,7 @@ def _oracle() -> str:
         "phone": r"\+[0-9][ ().0-9-]+[0-9]",
         "iban": PATTERNS["iban"].replace(r"\x20", " "),
         "ssn": PATTERNS["ssn"],
+        "secret": PATTERNS["secret"],
     }
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     digit = f"cast(substr({digits}, len({digits}) - cast(i as int), 1) as int)"
@@ -194,12 +221,16 @@ def _oracle() -> str:
         "phone": f"len({digits}) between 9 and 15",
         "iban": f"len({bare}) between 15 and 34 and {mod97}",
         "ssn": f"regexp_matches({near}, '{SCORES['ssn'][2]}')",
+        "secret": "regexp_matches(v, '[0-9]')",
     }
+    length = f"case when strpos('{IBAN_LENGTHS}', substr(m[i], 1, 2)) > 0 then cast(substr('{IBAN_LENGTHS}', strpos('{IBAN_LENGTHS}', substr(m[i], 1, 2)) + 2, 2) as int) end"
+    ends = "list_transform(range(1, len(string_split(m[i], ' ')) + 1), lambda j: array_to_string(string_split(m[i], ' ')[1:j], ' '))"
+    own = {"iban": f"coalesce(list_filter({ends}, lambda x: len(replace(x, ' ', '')) = {length})[1], m[i])"}
     parts = []
     for n, (kind, pattern) in enumerate(plain.items()):
         parts.append(
             f"""select r, {n} as k, '{kind}' as kind, pos, v from (
-    select r, t, m[i] as v, cast(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) as int) as pos from (
+    select r, t, {own.get(kind, "m[i]")} as v, cast(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) as int) as pos from (
         select r, t, m, g, unnest(range(1, len(m) + 1)) as i from (
             select r, t, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g from d))) where {valid[kind]}"""
         )

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let, stored
+from ._shared import let, stored, unused
 
 SPAN, K = 10, 5
 #: The low bits of a fingerprint hold its place in the document.
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
-#: Benchmarks of at most so many windows (some 100 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_WINDOWS = 50_000
+#: Benchmarks of at most so many windows and bytes are broadcast; larger ones are shuffled.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 50_000, 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -66,7 +66,8 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``(doc_id, text_key, start, len, win)``: the places where a window of an item occurs in a document."""
     distinct = windows.select("h", "off", "len", "win").distinct()
     lengths = [r.len for r in windows.where(F.col("len") < SPAN).select("len").distinct().collect()]  # SPAN - 1 at most
-    few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    n, size = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("win")), F.lit(0))).first()
+    few = n <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES
     marks = lambda w: F.concat(fingerprints(w), *[_grams(w, k) for k in sorted(lengths)])
     both = let(words_of(F.col("text")), lambda w: F.struct(w.alias("w"), marks(w).alias("marks")))
     wide = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), both.alias("d"))
@@ -116,10 +117,15 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    """The documents without a hit, with all their columns, whatever their names.
+
+    Texts without words (null, empty) stay, however long a text is it is looked at whole, rows that repeat
+    stay or go together, and empty tables of documents or items are borne.
+    """
+    own_id, own_key = unused(docs, "id", "key")
+    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own_id)) & (key == F.col(own_key)), "left_anti")
 
 
 ORACLE_SQL = r"""

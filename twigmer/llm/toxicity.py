@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import quoted, unused
+
 BUCKET_BITS = 17
 NGRAMS = (3, 4, 5)
 PASSAGE_WORDS = 8
@@ -26,7 +28,7 @@ PASSAGE_WORDS = 8
 LEAST_TEXTS = 4
 #: Bounds of the training sample: labelled rows of each class, by the hash of their ids, and the length of
 #: texts to learn from. Scoring has none: all rows and whole texts are scored.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 50_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 20_000
 FOLDS = 5
 _EDGES = ".,;:!?\"'()[]{}<>|*#%&$-_/\\+=~^`@…“”„«»’"
 
@@ -187,12 +189,15 @@ def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, fl
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of labelled documents whose crc32(doc_id as text) mod 5 isn't 0."""
+    """Train on a bounded sample of labelled documents whose crc32(doc_id as text) mod 5 isn't 0.
+
+    Of documents that repeat an id, the least text is taken; null texts count as empty."""
     train_rows = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = train_rows.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(train_rows.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
     short = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= MOST_CHARS)
-    rows = short.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()  # both bounded
+    picked = short.join(F.broadcast(sample.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = picked.collect()  # 6 000 rows of 20 000 characters at most, one for each label
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([r.text or "" for r in rows], [int(r.toxic) for r in rows])
 
@@ -205,7 +210,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in (text, out)]
-    packed = docs.select(F.struct(*rest).alias("rest"), F.col(text).alias("text"))
+    packed = docs.select(F.struct(*[quoted(c) for c in rest]).alias("rest"), quoted(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
@@ -225,16 +230,21 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     from pyspark.sql import types as T
 
     made = packed.mapInArrow(run, T.StructType([packed.schema["rest"], packed.schema["text"], T.StructField("score", T.DoubleType())]))
-    return made.select(*[F.col("rest")[c].alias(c) for c in rest], F.col("text").alias(text), F.col("score").alias(out))
+    return made.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("text").alias(text), F.col("score").alias(out))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The op4 contract."""
+    """The op4 contract; null and empty texts score as texts of no words, repeated rows alike, an empty table has no row."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score under 0.5, with all their columns."""
-    return score(docs, fit(docs, labels), out="__score").where("__score < 0.5").select(*docs.columns)
+    """The documents that score under 0.5, with all their columns, whatever their names.
+
+    Null and empty texts score as texts of no words, very long ones are scored whole, rows that repeat stay or
+    go together, and empty tables are borne (without labels of both kinds, all documents get one score).
+    """
+    (own,) = unused(docs, "score")
+    return score(docs, fit(docs, labels), out=own).where(F.col(own) < 0.5).select(*[quoted(c) for c in docs.columns])

@@ -12,24 +12,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigmer.llm import balance, bpe, decontaminate, media, near_copies, paragraphs, pii, simhash, token_files, toxicity, warc
+from twigmer.llm import balance, bpe, decontaminate, media, pii, simhash, token_files, toxicity, warc
 from twigmer.llm._shared import connected_components
 from twigmer.llm.queries import vocabulary
 
-ODD = [None, "", " \n\t ", "x", "É x Y z", "foo  BAR", "日本語" * 50, "a<|endoftext|>b <|startoftext|>", "é" * 5000, "ab c   d\n\n" * 400, "!\x1cq  z ́k", "don't I'LL ½ ² ª 12ab"]
-PROSE = ["the quick brown fox jumps over the lazy dog and runs away from it", "idiot scum of the earth said nobody at all today in this town hall"]
-
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    """Rows with null and repeated ids, repeated rows, ties, odd texts, and columns whose names clash with the operators' own."""
-    rng = random.Random(1)
-    words = ["alpha", "beta", "gamma", "delta", "Omega", "it", "is", "ß", "ñu", "7"]
-    texts = ODD + PROSE * 3 + [" ".join(rng.choice(words) for _ in range(rng.randint(5, 90))) for _ in range(60)]
-    rows = [(i, t, "en", f"ids{i}", len(t or "")) for i, t in enumerate(texts)]
-    rows += [(None, "foo bar", None, None, None), (None, None, None, None, None), (3, "another x", "en", "s", 9), rows[5], rows[5]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, ids string, n_chars long")
-
+from odd_rows import ODD
 
 def key(r):
     return (r.doc_id is None, r.doc_id or 0, r.text or "", r.text is None)
@@ -176,66 +163,6 @@ def test_toxicity_rows(spark, docs):
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
-# ---- op5
-
-
-def test_paragraphs(spark, docs):
-    assert paragraphs.tuned_bands(paragraphs.ROWS) <= paragraphs.BANDS
-    rng = random.Random(6)
-    base = [f"w{i}" for i in range(60)]
-    rows = [(500 + k, "\n".join(["head " * 12 + str(k), " ".join([*base[: (p := rng.randrange(60))], f"v{k}", *base[p + 1 :]])])) for k in range(700)]
-    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*rows, (1500, rows[0][1]), (1501, "One two three four five six seven eight nine ten"), (1501, "zero\none Two three four five six seven eight nine ten")], "doc_id long, text string"))
-    got = paragraphs.repeated_paragraphs(more).collect()
-    places, sets = [], {}
-    for r in more.collect():
-        for n, s, c, w in paragraphs.paragraphs(r.text):
-            places.append((r.doc_id, n, s, c, tuple(w)))
-            sets[tuple(w)] = frozenset(zip(*[w[i:] for i in range(5)], strict=False))
-    names = sorted(sets)
-    root = {w: w for w in names}
-
-    def find(w):
-        while root[w] != w:
-            w = root[w]
-        return w
-
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            common = len(sets[a] & sets[b])
-            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
-                root[find(a)] = find(b)
-    groups = {}
-    for d, n, s, c, w in places:
-        groups.setdefault(find(w), []).append((d, n, s, c))
-    want = sorted(sorted(map(str, v)) for v in groups.values() if len({x[0] for x in v}) > 1)
-    found = {}
-    for r in got:
-        found.setdefault(r.component, []).append(r)
-    assert sorted(sorted(str((r.doc_id, r.number, r.start, r.n_chars)) for r in v) for v in found.values()) == want
-    assert all(any(not r.removed for r in v) and any(r.removed for r in v) and {r.n_places for r in v} == {len(v)} for v in found.values())
-    assert paragraphs.repeated_paragraphs(more.limit(0)).count() == 0
-
-
-def test_passages_inside_longer_lines(spark):
-    rng = random.Random(22)
-    word = lambda: f"é{rng.randrange(10**6)}"
-    rows, inside = [], {}
-    for i in range(40):
-        passage = " ".join(word() for _ in range(70))
-        for d in (2 * i, 2 * i + 1):
-            before = " ".join(word() for _ in range(rng.randint(60, 300))) + " \t"
-            rows.append((d, before + passage + " " + " ".join(word() for _ in range(rng.randint(60, 300)))))
-            inside[d] = set(passage.split())
-    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    texts = dict(rows)
-    assert {r.doc_id for r in got} == set(texts)
-    for r in got:
-        words = texts[r.doc_id][r.start : r.start + r.n_chars].split()
-        assert len(words) == r.n_words >= paragraphs.MIN_WORDS
-        assert len(inside[r.doc_id].intersection(words)) >= 0.8 * len(words)  # a similar unit may begin or end a little outside
-        assert r.removed == (r.doc_id % 2 == 1)
-
-
 # ---- op6
 
 
@@ -301,43 +228,6 @@ def test_simhash(spark, docs):
     assert simhash.simhash_report(docs.limit(0)).count() == 0
 
 
-# ---- near copies of the pipeline
-
-
-def test_near_copies_equal_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(near_copies, "BLOCK", 16)  # several cells in a family
-    rng = random.Random(21)
-    rows = []
-    for i in range(60):  # 3 changed words of 100 leave a similarity of about 0.74 to 0.82, 2 of 0.81 to 0.9
-        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
-        rows.append((5000 + 10 * i, " ".join(base)))
-        for k, changed in enumerate((1, 2, 2, 3)):
-            new = list(base)
-            for p in rng.sample(range(100), changed):
-                new[p] = "new"
-            rows.append((5001 + 10 * i + k, " ".join(new)))
-    common = [f"c{i}" for i in range(100)]
-    rows += [(9000 + i, " ".join([*common[: (p := rng.randrange(100))], f"x{i}", *common[p + 1 :]])) for i in range(60)]
-    rows += [(9900, "a b c d"), (9901, "A  b c\nd"), (9902, "a b c e")]
-    more = docs.unionByName(spark.createDataFrame([(d, t, "en", "", len(t)) for d, t in rows], docs.schema))
-    texts = {tuple(near_copies.words_of(r.text)) for r in more.collect()}
-    sets = {t: frozenset(zip(*[t[i:] for i in range(5)], strict=False)) for t in texts}
-    names = sorted(texts)
-    near = [(a, b) for i, b in enumerate(names) for a in names[:i] if 0 < len(sets[a] & sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    root = _components(near, names)
-    assert sum((_fingerprint(" ".join(w.decode() for w in a)) ^ _fingerprint(" ".join(w.decode() for w in b))).bit_count() > 3 for a, b in near) > 100
-    found = {}
-    for r in near_copies.near_copies(more).join(more.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).select("text_key", "text").distinct(), "text_key").collect():
-        found.setdefault(tuple(near_copies.words_of(r.text)), set()).add(r.component)
-    assert all(len(c) == 1 for c in found.values())
-    groups = lambda of: sorted(sorted(g) for g in {k: [n for n in names if of(n) == k] for k in {of(n) for n in names}}.values())
-    assert groups(lambda n: min(found[n])) == groups(lambda n: root[n])
-    kept = near_copies.keep_one(more)
-    assert kept.columns == more.columns and kept.count() == len(set(root.values()))
-    assert {r.doc_id for r in kept.collect()} >= {5000 + 10 * i for i in range(60)} | {9900, 9902}
-    assert near_copies.keep_one(more.limit(0)).count() == 0
-
-
 # ---- op7
 
 

@@ -45,7 +45,7 @@ def shared_characters(rows, min_words):
     for doc, text in rows:
         words = words_of(text)
         for i in range(len(words) - min_words + 1):
-            owners.setdefault(tuple(words[i : i + min_words]), set()).add(doc)
+            owners.setdefault(tuple(words[i : i + min_words]), set()).add((doc, text))
     out = []
     for _, text in rows:
         words, spans, own = words_of(text), [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")], set()
@@ -87,14 +87,14 @@ def check_paragraphs(spark, rows, min_words):
         for n, line in enumerate((text or "").split("\n")):
             if len(words_of(line)) >= min_words:
                 name = tuple(words_of(line))
-                places.append((name, doc, n, at, len(line)))
+                places.append((name, doc, n, at, len(line), text))
                 sets[name] = shingles(name)
             at += len(line) + 1
     root = components(sets, similar_pairs(sets))
     groups = {}
     for name, *place in places:
         groups.setdefault(root[name], []).append(place)
-    want = sorted(sorted(map(str, v)) for v in groups.values() if len({p[0] for p in v}) > 1)
+    want = sorted(sorted(str(p[:4]) for p in v) for v in groups.values() if len({(p[0], p[4]) for p in v}) > 1)
     lines = {}
     for r in got:
         if r.kind == "line":

@@ -14,7 +14,6 @@ Paragraphs are of two kinds, both of ``min_words`` words or more (51 by default)
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, stored
+from ._shared import connected_components, quoted, stored
 from .links import bucket_links, jaccard, members_of
 
 SHINGLE_WORDS, SIMILAR = 5, 0.8
@@ -30,9 +29,8 @@ SHINGLE_WORDS, SIMILAR = 5, 0.8
 MIN_WORDS = 51
 #: Shingles by which runs of MIN_WORDS words are MinHashed.
 SEED_WORDS = 16
-#: 1 - (1 - 0.8^4)^12: 99.8 % of pairs at the threshold share a band.
-BANDS, ROWS = 12, 4
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: 1 - (1 - 0.8^4)^11: 99.7 % of pairs at the threshold share a band.
+BANDS, ROWS = 11, 4
 _rng = np.random.default_rng(20)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN, _FLIP = _odd(BANDS * ROWS), _odd(BANDS * ROWS)
@@ -185,23 +183,37 @@ def _shingle_sets(picked: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "id long, payload array<long>")
 
 
+def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.r_[False, ~((chars == 32) | ((chars >= 9) & (chars <= 13))), False]
+    return np.nonzero(inside[1:] & ~inside[:-1])[0], np.nonzero(inside[:-1] & ~inside[1:])[0]
+
+
 def _runs(picked: DataFrame, min_words: int) -> DataFrame:
-    """``(text_key, place, start, stop, h1, h2)``: the runs of ``min_words`` words around the seeds of each text, in characters, with their digest."""
-    schema = "text_key binary, place int, start long, stop long, h1 long, h2 long"
+    """``(node, place, start, stop, h1, h2)``: the runs of ``min_words`` words around the seeds of each text, in characters, with their digest."""
+    schema = "node long, place int, start int, stop int, h1 long, h2 long"
+
+    def of(node: int, text: str, seeds: np.ndarray) -> list[np.ndarray]:
+        hashes = word_hashes(words_of(text))
+        near = np.zeros(len(hashes) + 1, np.int32)  # +1 where the runs around a seed begin, -1 behind them
+        np.add.at(near, np.maximum(seeds - (min_words - SEED_WORDS), 0), 1)
+        np.add.at(near, np.minimum(seeds + 1, len(hashes)), -1)
+        places = np.nonzero(np.cumsum(near)[: len(hashes) - min_words + 1])[0]
+        starts, stops = _word_spans(text)
+        digests = [run_hashes(hashes if i == 0 else hashes * _GOLDEN ^ (hashes >> np.uint64(23)), min_words, _BASES[i + 1])[places].view(np.int64) for i in range(2)]
+        return [np.full(len(places), node), places.astype(np.int32), starts[places].astype(np.int32), stops[places + min_words - 1].astype(np.int32), *digests]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, seeds in zip(batch.column("text_key"), batch.column("text"), batch.column("seeds"), strict=True):
-                if not seeds.as_py():
-                    continue
-                text = text.as_py()
-                hashes = word_hashes(words_of(text))
-                near = np.asarray(seeds.as_py())[:, None] - np.arange(min_words - SEED_WORDS + 1)
-                places = np.unique(near[(near >= 0) & (near <= len(hashes) - min_words)])
-                spans = np.array([m.span() for m in _WORD.finditer(text)])
-                digests = [run_hashes(hashes if i == 0 else hashes * _GOLDEN ^ (hashes >> np.uint64(23)), min_words, _BASES[i + 1])[places] for i in range(2)]
-                cols = [pa.array([key.as_py()] * len(places), pa.binary()), pa.array(places.astype(np.int32)), pa.array(spans[places, 0]), pa.array(spans[places + min_words - 1, 1]), *(pa.array(d.view(np.int64)) for d in digests)]
-                yield from pa.Table.from_arrays(cols, ["text_key", "place", "start", "stop", "h1", "h2"]).to_batches(max_chunksize=10_000)
+            made, n = [], 0
+            for i, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+                if len(seeds := batch.column("seeds")[i].values):
+                    made.append(of(node, text.as_py(), seeds.to_numpy()))
+                    n += len(made[-1][0])
+                if made and (n > 100_000 or i + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], ["node", "place", "start", "stop", "h1", "h2"])
+                    made, n = [], 0
 
     return picked.mapInArrow(run, schema)
 
@@ -232,7 +244,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
 
     One row for each place: ``doc_id``, ``kind``, ``number`` (of a line, from 0; else null), ``start, n_chars``
     (code points), ``n_words``, ``component`` (a name), ``component_id`` (its smallest doc_id), and ``removed``:
-    false for the first place by doc_id (nulls first), number and start, true for the others. Kinds:
+    false in the first document (by doc_id, nulls first; of a line repeated there, for the first), true in others. Kinds:
 
     * ``line``: whole lines, linked if equal or at Jaccard similarity 0.8 or more of 5-word shingles.
     * ``passage``: maximal runs of words that are equal to a run of the first document that has them,
@@ -240,74 +252,83 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
     * ``text``: whole texts that are equal; a copy's passages shared with other texts are listed too.
 
     Words are lower-cased (A-Z) and parted by ASCII blanks. Null, empty and short texts have no paragraph, an
-    empty table has no row. Rows of one doc_id (or without any) count as one document; repeated rows repeat
-    their places. Columns of other names are ignored. ``min_words`` below 16 raises.
+    empty table has no row. Rows of equal doc_id (or without any) and text are one document; repeated rows
+    repeat their places. Columns of other names are ignored. ``min_words`` below 16 raises.
     """
     if min_words < SEED_WORDS:
         raise ValueError(f"min_words is {SEED_WORDS} at least")
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     key = F.unhex(F.md5(t.cast("binary"))).alias("text_key")
     texts = docs.select(key, doc.alias("doc"), t.alias("text"))
     ids = docs.select("doc_id", key)
-    nodes = ids.groupBy("text_key").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
     scan = stored(_scan(texts.select("text_key", "text"), min_words))
     lengths = scan.where("seed is null and line is null").select("text_key", "n_words").distinct()
-    nodes = stored(nodes.join(lengths, "text_key"))  # of min_words words or more
+    nodes = ids.groupBy("text_key").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).join(lengths, "text_key")
+    # texts of min_words words or more, numbered by their first document; written once, so that numbers stay
+    nodes = stored(nodes.orderBy("first", "text_key").withColumn("node", F.monotonically_increasing_id()))
 
     # lines of equal words are one node, which its first text stands for
-    lines = scan.where("line is not null").dropDuplicates(["text_key", "number"])
+    lines = scan.where("line is not null")
     names = lines.groupBy("line").agg(F.min(F.struct("text_key", "number")).alias("one"), F.first("bands").alias("bands"))
-    names = stored(names.withColumn("id", F.monotonically_increasing_id()))  # written once, so that ids stay
+    names = stored(names.withColumn("id", F.monotonically_increasing_id()))
     members = stored(members_of(names.select("id", F.explode("bands").alias("key"))))
     compared = members.select("id").unionByName(members.select(F.col("first").alias("id"))).distinct()
     wanted = names.join(compared, "id").groupBy("one.text_key").agg(F.collect_list(F.struct("one.number", "id")).alias("lines"))
 
-    # seeds that two texts share
+    # seeds that two texts share; a hash of a text's key tells it apart here
     seeds = scan.where("seed is not null").select("text_key", "seed", "place")
-    shared = seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("seed")
+    owner = F.xxhash64("text_key")
+    shared = seeds.groupBy("seed").agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a < b").select("seed")
     around = seeds.join(shared, "seed", "left_semi").groupBy("text_key").agg(F.collect_list("place").alias("seeds"))
-    wanted = wanted.join(around, "text_key", "full").join(nodes.select("text_key", F.col("first").alias("doc")), "text_key")
+    wanted = wanted.join(around, "text_key", "full").join(nodes.select("text_key", "node", F.col("first").alias("doc")), "text_key")
     picked = texts.join(wanted, ["text_key", "doc"]).dropDuplicates(["text_key"])  # of copies, the first document's
     none = F.array().cast("array<struct<number:int,id:bigint>>")
-    picked = stored(picked.select("text_key", "text", F.coalesce("lines", none).alias("lines"), F.coalesce("seeds", F.array().cast("array<int>")).alias("seeds")))
+    picked = stored(picked.select("node", "text", F.coalesce("lines", none).alias("lines"), F.coalesce("seeds", F.array().cast("array<int>")).alias("seeds")))
 
     columns = ["text_key", "kind", "number", "start", "n_chars", "n_words", "component", "of", "removed"]
-    found = _line_places(lines, names, members, picked, nodes).select(*columns)
-    found = found.unionByName(_passages(_runs(picked.drop("lines"), min_words), nodes, min_words).select(*columns))
-    copies = nodes.where("first < last")
+    places = lines.select("text_key", "line", "number", "start", "n_chars", "n_words").distinct()
+    found = _line_places(places, names, members, picked, nodes).select(*columns)
+    found = found.unionByName(_passages(stored(_runs(picked.drop("lines"), min_words)), nodes, min_words).select(*columns))
     chars = docs.groupBy(key).agg(F.first(F.length(t)).cast("long").alias("n_chars"))
-    whole = copies.join(chars, "text_key").select("text_key", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(0).cast("long").alias("start"), "n_chars", "n_words", F.hex("text_key").alias("component"), F.col("first").alias("of"), F.lit(False).alias("removed"))
+    whole = nodes.where("first < last").join(chars, "text_key")
+    whole = whole.select("text_key", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(0).cast("long").alias("start"), "n_chars", "n_words", F.hex("text_key").alias("component"), F.col("first").alias("of"), F.lit(False).alias("removed"))
     found = found.unionByName(whole.select(*columns))
     of = F.when(F.col("of") != F.lit(-(1 << 63)), F.col("of"))
     rows = found.join(ids, "text_key").withColumn("removed", F.col("removed") | (doc != F.col("of")))
     return rows.select("doc_id", "kind", "number", "start", "n_chars", "n_words", "component", of.alias("component_id"), "removed")
 
 
-def _line_places(lines: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:
+def _line_places(places: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:
     """The places of lines whose component two documents have."""
     sets = stored(_shingle_sets(picked.select("text", "lines")))
     check = _check_sets(sets)
     linked, more = bucket_links(members, check, sets, _near_sets)
     roots = connected_components(linked if more is None else linked.unionByName(check(more)))
     named = names.select("line", "id").join(roots, "id", "left").select("line", F.coalesce("root", "id").alias("root"))
-    places = lines.select("text_key", "line", "number", "start", "n_chars", "n_words").join(named, "line").join(nodes.select("text_key", "first", "last"), "text_key")
-    groups = places.groupBy("root").agg(F.min(F.struct("first", "number", "start", "text_key")).alias("one"), F.max("last").alias("high")).where("one.first < high")
-    rows = places.join(groups, "root")
-    is_first = (F.struct("first", "number", "start", "text_key") == F.col("one"))
-    return rows.select("text_key", F.lit("line").alias("kind"), "number", "start", "n_chars", "n_words", F.concat(F.lit("line "), F.col("root")).alias("component"), F.col("one.first").alias("of"), (~is_first).alias("removed"))
+    places = stored(places.join(named, "line").drop("line").join(nodes.select("text_key", "node", "first", "last"), "text_key"))
+    # nodes are numbered by their first document
+    groups = places.groupBy("root").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.col("first") < F.col("last")).alias("copied"))
+    groups = groups.where("low < high or copied").select("root", "low")
+    origins = nodes.select(F.col("node").alias("low"), F.col("first").alias("of"))
+    rows = places.join(groups, "root").join(origins, "low")
+    # in its first document, a component's first line stays
+    head = rows.where("node = low").groupBy("root").agg(F.min("number").alias("head"))
+    removed = (F.col("node") != F.col("low")) | (F.col("number") != F.col("head"))
+    return rows.join(head, "root").select("text_key", F.lit("line").alias("kind"), "number", "start", "n_chars", "n_words", F.concat(F.lit("line "), F.col("root")).alias("component"), "of", removed.alias("removed"))
 
 
 def _passages(runs: DataFrame, nodes: DataFrame, min_words: int) -> DataFrame:
-    """Maximal passages: runs that two texts share, chained while their first places follow each other."""
-    runs = stored(runs.join(nodes.select("text_key", "first", "last"), "text_key"))
-    first = F.min(F.struct("first", "text_key", "place")).alias("one")
-    classes = runs.groupBy("h1", "h2").agg(first, F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("last").alias("to"))
-    classes = classes.where("low < high and one.first < to").select("h1", "h2", "one")
-    rows = runs.join(classes, ["h1", "h2"]).select("text_key", "place", "start", "stop", F.col("one.text_key").alias("origin"), F.col("one.first").alias("of"), (F.col("one.place") - F.col("place")).alias("shift"))
+    """Maximal passages: neighbouring runs that two texts share, while the first text that has them stays the same."""
+    # nodes are numbered by their first document
+    classes = runs.groupBy("h1", "h2").agg(F.min("node").alias("origin"), F.max("node").alias("high")).where("origin < high").drop("high")
+    rows = runs.join(classes, ["h1", "h2"]).select("node", "place", "start", "stop", "origin")
     # a partition is a part of one text
-    row = F.row_number().over(Window.partitionBy("text_key", "origin", "shift").orderBy("place"))
-    chains = rows.withColumn("chain", F.col("place") - row).groupBy("text_key", "origin", "of", "shift", "chain")
+    row = F.row_number().over(Window.partitionBy("node", "origin").orderBy("place"))
+    chains = rows.withColumn("chain", F.col("place") - row).groupBy("node", "origin", "chain")
     made = chains.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"))
-    removed = (F.col("origin") != F.col("text_key")) | (F.col("shift") != 0)
-    return made.select("text_key", F.lit("passage").alias("kind"), F.lit(None).cast("int").alias("number"), "start", (F.col("stop") - F.col("start")).alias("n_chars"), (F.col("n") + min_words - 1).alias("n_words"), F.hex("origin").alias("component"), "of", removed.alias("removed"))
+    made = made.join(nodes.select("node", "text_key"), "node").join(nodes.select(F.col("node").alias("origin"), F.hex("text_key").alias("component"), F.col("first").alias("of")), "origin")
+    return made.select(
+        "text_key", F.lit("passage").alias("kind"), F.lit(None).cast("int").alias("number"), F.col("start").cast("long").alias("start"), (F.col("stop") - F.col("start")).cast("long").alias("n_chars"),
+        (F.col("n") + min_words - 1).alias("n_words"), "component", "of", (F.col("origin") != F.col("node")).alias("removed"),
+    )

@@ -31,11 +31,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def bucket_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], payload: DataFrame, near: Callable[[list, list], np.ndarray]) -> tuple[DataFrame, DataFrame | None]:
-    """The verified links ``(a, b)`` of ``members`` (stored, see :func:`members_of`), and further pairs ``(a, b)`` to check, if any.
+def bucket_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], near: Callable[[list, list], np.ndarray], sketch: tuple[DataFrame, Callable] | None = None) -> DataFrame:
+    """The verified links ``(a, b)`` of ``members`` (stored, see :func:`members_of`).
 
-    ``check(pairs)`` returns those of ``pairs(a, b)`` that are linked. ``payload(id, payload array<long>)`` and
-    ``near(left, right)``, a boolean matrix, tell which further pairs of a bucket are worth a check at all.
+    ``check(pairs)`` returns those of ``pairs(a, b)`` that are linked. ``sets_of(ids)`` gives ``(id, payload
+    array<long>)`` and ``near(left, right)`` the exact verdict on two lists of payloads as a boolean matrix. A
+    ``sketch``, payloads and their verdict, leaves out ids that can't be near any other of their bucket first.
     Links that only repeat a connection are left out.
     """
     # one representative for each member first: in a large group that settles nearly all
@@ -48,11 +49,21 @@ def bucket_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], pa
     rest = stored(rest.where(apart).select(F.col("id").alias("a"), F.col("first").alias("b")))
     linked = stored(settled.unionByName(check(rest)))
     failed = lowest.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(rest).join(linked, ["a", "b"], "left_anti")
-    return linked, _among_failed(members, failed, linked, payload, near)
-
-
-def _among_failed(members: DataFrame, failed: DataFrame, linked: DataFrame, payload: DataFrame, near: Callable[[list, list], np.ndarray]) -> DataFrame | None:
-    """Pairs worth a check of members that failed with members of the same bucket in another component."""
+    rows = _open_rows(members, failed, linked)
+    if rows is None:
+        return linked
+    if sketch is not None:
+        payload, close = sketch
+        ids = stored(_compared(rows.join(payload, "id"), close, ids_only=True).select(F.col("a").alias("id")).distinct())
+        if ids.isEmpty():
+            return linked
+        rows = rows.join(ids, "id", "left_semi")
+    sets = sets_of(rows.select("id").distinct())
+    return linked.unionByName(_compared(rows.join(sets, "id"), near, ids_only=False))
+
+
+def _open_rows(members: DataFrame, failed: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """``(key, n, m, id, fails, root)``: the members of buckets in which one failed, if there are others to compare it with."""
     on = failed.select(F.col("a").alias("id"), F.col("b").alias("first"))
     failed = members.join(on, ["id", "first"], "left_semi").select("key", "id")
     sizes = failed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +75,12 @@ def _among_failed(members: DataFrame, failed: DataFrame, linked: DataFrame, payl
         return None
     roots = connected_components(linked)
     rows = members.select("key", "id").join(open_keys, "key").join(failed.withColumn("fails", F.lit(True)), ["key", "id"], "left")
-    rows = rows.join(roots, "id", "left").join(payload, "id").withColumn("root", F.coalesce("root", "id"))
+    rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return stored(rows)
+
+
+def _compared(rows: DataFrame, near: Callable[[list, list], np.ndarray], ids_only: bool) -> DataFrame:
+    """Near pairs ``(a, b)`` of failed members and others of their buckets, of each two components one a cell; or the ids of all near ones, twice."""
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("fails").withColumn("i", mine("n")).withColumn("j", every("m")).withColumn("side", F.lit(0))
@@ -72,17 +88,41 @@ def _among_failed(members: DataFrame, failed: DataFrame, linked: DataFrame, payl
     names = ["key", "i", "j", "side", "id", "root", "payload"]
     cells = left.select(*names).unionByName(right.select(*names)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
 
+    def spanning(pairs: np.ndarray) -> list[int]:
+        """Of pairs of components, those that a forest needs."""
+        own: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while own.setdefault(x, x) != x:
+                x = own[x] = own[own[x]]
+            return x
+
+        kept = []
+        for i, (a, b) in enumerate(pairs.tolist()):
+            a, b = find(a), find(b)
+            if a != b:
+                own[b] = a
+                kept.append(i)
+        return kept
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ([], [])
 
         def close() -> Iterator[pa.RecordBatch]:
             left, right = sides
             if left and right:
-                ok = near([x[2] for x in left], [x[2] for x in right])
-                ok &= np.array([x[1] for x in left])[:, None] != np.array([x[1] for x in right])
-                a, b = np.nonzero(ok)
+                ids, roots = ([np.array([x[c] for x in side]) for side in sides] for c in (0, 1))
+                ok = near([x[2] for x in left], [x[2] for x in right]) & (roots[0][:, None] != roots[1])
+                if ids_only:
+                    a = np.union1d(ids[0][ok.any(axis=1)], ids[1][ok.any(axis=0)])
+                    b = a
+                else:
+                    a, b = np.nonzero(ok)
+                    pairs, where = np.unique(np.sort(np.stack([roots[0][a], roots[1][b]], axis=1), axis=1), axis=0, return_index=True)
+                    where = where[spanning(pairs)] if len(where) else where
+                    a, b = ids[0][a[where]], ids[1][b[where]]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array([left[i][0] for i in a], pa.int64()), pa.array([right[i][0] for i in b], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             left.clear()
             right.clear()
 
@@ -96,5 +136,4 @@ def _among_failed(members: DataFrame, failed: DataFrame, linked: DataFrame, payl
                 sides[side].append((own, root, values[ends[i] : ends[i + 1]].copy()))
         yield from close()
 
-    found = cells.mapInArrow(run, "a long, b long")
-    return stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return stored(cells.mapInArrow(run, "a long, b long").distinct())

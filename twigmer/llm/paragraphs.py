@@ -117,7 +117,7 @@ def lines_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, in
         at, word = at + len(line) + 1, word + n
 
 
-_SCAN = "text_key binary, n_words long, seed long, place int, line binary, number int, start long, n_chars long, bands array<long>"
+_SCAN = "text_key binary, n_words long, seed long, places array<int>, line binary, number int, start long, n_chars long, bands array<long>"
 #: Texts that are hashed at once.
 _GROUP = 256
 
@@ -125,7 +125,7 @@ _GROUP = 256
 def _scan(texts: DataFrame, min_words: int) -> DataFrame:
     """Three sorts of rows of each text ``(text_key, text)``: its length in words, its seeds with their places, its long lines with their bands."""
     names = [x.split()[0] for x in _SCAN.split(", ")]
-    kinds = {"text_key": pa.binary(), "n_words": pa.int64(), "seed": pa.int64(), "place": pa.int32(), "line": pa.binary(), "number": pa.int32(), "start": pa.int64(), "n_chars": pa.int64(), "bands": pa.list_(pa.int64())}
+    kinds = {"text_key": pa.binary(), "n_words": pa.int64(), "seed": pa.int64(), "places": pa.list_(pa.int32()), "line": pa.binary(), "number": pa.int32(), "start": pa.int64(), "n_chars": pa.int64(), "bands": pa.list_(pa.int64())}
 
     def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kinds[c])) for c in names], names)
@@ -157,7 +157,11 @@ def _scan(texts: DataFrame, min_words: int) -> DataFrame:
                 own = np.repeat(np.arange(len(split)), [len(p) for p in places])
                 places = np.concatenate(places)
                 seeds = by_seed[places + (np.cumsum(lengths) - lengths)[own]].view(np.int64)
-                yield batch_of(len(seeds), text_key=keys.take(pa.array(own)), seed=pa.array(seeds), place=pa.array(places.astype(np.int32)))
+                order = np.lexsort((places, seeds, own))  # a text's places of one seed in a row
+                own, seeds, places = own[order], seeds[order], places[order]
+                heads = np.nonzero(np.r_[True, (own[1:] != own[:-1]) | (seeds[1:] != seeds[:-1])])[0]
+                lists = pa.ListArray.from_arrays(np.r_[heads, len(seeds)].astype(np.int32), places.astype(np.int32))
+                yield batch_of(len(heads), text_key=keys.take(pa.array(own[heads])), seed=pa.array(seeds[heads]), places=lists)
                 if lines:
                     bands = band_keys(np.concatenate(shingles), np.r_[0, np.cumsum([len(s) for s in shingles])]).ravel()
                     columns = {c: pa.array(v, kinds[c]) for c, v in zip(["text_key", "n_words", "line", "number", "start", "n_chars"], zip(*lines, strict=True), strict=True)}
@@ -218,7 +222,7 @@ def _runs(picked: DataFrame, min_words: int) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
-def _near_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def near_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Which pairs of two blocks of sets have a Jaccard similarity of SIMILAR or more."""
     both = [*left, *right]
     sizes = np.array([len(s) for s in both])
@@ -277,19 +281,19 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
     wanted = names.join(compared, "id").groupBy("one.text_key").agg(F.collect_list(F.struct("one.number", "id")).alias("lines"))
 
     # seeds that two texts share; a hash of a text's key tells it apart here
-    seeds = scan.where("seed is not null").select("text_key", "seed", "place")
+    seeds = scan.where("seed is not null").select("text_key", "seed", "places")
     owner = F.xxhash64("text_key")
     shared = seeds.groupBy("seed").agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a < b").select("seed")
-    around = seeds.join(shared, "seed", "left_semi").groupBy("text_key").agg(F.collect_list("place").alias("seeds"))
+    around = seeds.join(shared, "seed", "left_semi").groupBy("text_key").agg(F.flatten(F.collect_list("places")).alias("seeds"))
     wanted = wanted.join(around, "text_key", "full").join(nodes.select("text_key", "node", F.col("first").alias("doc")), "text_key")
-    picked = texts.join(wanted, ["text_key", "doc"]).dropDuplicates(["text_key"])  # of copies, the first document's
+    picked = texts.join(wanted, ["text_key", "doc"]).dropDuplicates(["text_key", "doc"])  # of copies, the first document's
     none = F.array().cast("array<struct<number:int,id:bigint>>")
     picked = stored(picked.select("node", "text", F.coalesce("lines", none).alias("lines"), F.coalesce("seeds", F.array().cast("array<int>")).alias("seeds")))
 
     columns = ["text_key", "kind", "number", "start", "n_chars", "n_words", "component", "of", "removed"]
     places = lines.select("text_key", "line", "number", "start", "n_chars", "n_words").distinct()
     found = _line_places(places, names, members, picked, nodes).select(*columns)
-    found = found.unionByName(_passages(stored(_runs(picked.drop("lines"), min_words)), nodes, min_words).select(*columns))
+    found = found.unionByName(_passages(_runs(picked.drop("lines"), min_words), nodes, min_words).select(*columns))
     chars = docs.groupBy(key).agg(F.first(F.length(t)).cast("long").alias("n_chars"))
     whole = nodes.where("first < last").join(chars, "text_key")
     whole = whole.select("text_key", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(0).cast("long").alias("start"), "n_chars", "n_words", F.hex("text_key").alias("component"), F.col("first").alias("of"), F.lit(False).alias("removed"))
@@ -302,9 +306,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
 def _line_places(places: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:
     """The places of lines whose component two documents have."""
     sets = stored(_shingle_sets(picked.select("text", "lines")))
-    check = _check_sets(sets)
-    linked, more = bucket_links(members, check, sets, _near_sets)
-    roots = connected_components(linked if more is None else linked.unionByName(check(more)))
+    roots = connected_components(bucket_links(members, _check_sets(sets), lambda ids: sets, near_sets))
     named = names.select("line", "id").join(roots, "id", "left").select("line", F.coalesce("root", "id").alias("root"))
     places = stored(places.join(named, "line").drop("line").join(nodes.select("text_key", "node", "first", "last"), "text_key"))
     # nodes are numbered by their first document

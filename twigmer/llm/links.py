@@ -63,9 +63,13 @@ def bucket_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], se
 
 
 def _open_rows(members: DataFrame, failed: DataFrame, linked: DataFrame) -> DataFrame | None:
-    """``(key, n, m, id, fails, root)``: the members of buckets in which one failed, if there are others to compare it with."""
-    on = failed.select(F.col("a").alias("id"), F.col("b").alias("first"))
-    failed = members.join(on, ["id", "first"], "left_semi").select("key", "id")
+    """``(key, n, m, id, fails, root)``: the members of buckets in which one is in another component than the first, if there are others to compare it with."""
+    roots = stored(connected_components(linked))
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    # what is connected with its first by way of others hasn't failed
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    failed = failed.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select(F.col("a").alias("id"), F.col("b").alias("first"))
+    failed = members.join(failed, ["id", "first"], "left_semi").select("key", "id")
     sizes = failed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     # a bucket with no other member has nothing left to compare
     open_keys = sizes.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").where("m > 1")
@@ -73,7 +77,6 @@ def _open_rows(members: DataFrame, failed: DataFrame, linked: DataFrame) -> Data
     open_keys = stored(open_keys.select("key", blocks("n").alias("n"), blocks("m").alias("m")))
     if open_keys.isEmpty():
         return None
-    roots = connected_components(linked)
     rows = members.select("key", "id").join(open_keys, "key").join(failed.withColumn("fails", F.lit(True)), ["key", "id"], "left")
     rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     return stored(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twigmer.functions.scoring import GAP
@@ -39,9 +39,10 @@ def gap_ratios(alignment: DataFrame) -> DataFrame:
 
 def drop_gap_columns(alignment: DataFrame, ratio: float = 0.99) -> DataFrame:
     """The alignment without the columns whose gap ratio is ``ratio`` or more."""
-    kept = gap_ratios(alignment).where(F.col("ratio") < ratio).agg(F.sort_array(F.collect_list("site")).alias("kept"))  # at most the width
-    rows = alignment.join(F.broadcast(kept))
-    seq = F.array_join(F.transform("kept", lambda i: F.substring(F.col("seq"), i + 1, F.lit(1))), "")
+    keep = F.struct("site", (F.col("ratio") < ratio).alias("keep"))
+    sites = gap_ratios(alignment).agg(F.transform(F.sort_array(F.collect_list(keep)), lambda s: s["keep"]).alias("kept"))  # as many as the width
+    rows = alignment.join(F.broadcast(sites))
+    seq = F.array_join(F.filter(F.split("seq", ""), lambda c, i: F.get("kept", i)), "")
     return rows.withColumn("seq", seq).drop("kept")
 
 
@@ -64,8 +65,12 @@ def phylip_header(alignment: DataFrame) -> DataFrame:
 
 def phylip_lines(alignment: DataFrame) -> DataFrame:
     """Labels filled up to 250 characters (longer ones stay whole), sequences in blocks of 10."""
+    return alignment.select("header", _phylip_line().alias("value"))
+
+
+def _phylip_line() -> Column:
     label = F.rpad("header", F.greatest(F.length("header"), F.lit(LABEL_WIDTH)), F.lit(" "))
-    return alignment.select("header", F.concat(label, F.regexp_replace("seq", f"(.{{{PHYLIP_BLOCK}}})(?=.)", "$1 ")).alias("value"))
+    return F.concat(label, F.regexp_replace("seq", f"(.{{{PHYLIP_BLOCK}}})(?=.)", "$1 "))
 
 
 def write_alignment(alignment: DataFrame, path: str, kind: str = "fasta") -> None:
@@ -75,7 +80,7 @@ def write_alignment(alignment: DataFrame, path: str, kind: str = "fasta") -> Non
         fasta_lines(rows).write.text(path)
     elif kind == "phylip":
         head = phylip_header(alignment).withColumn("at", F.lit(-1).cast("long"))
-        body = phylip_lines(alignment.withColumn("header", F.col("header"))).join(alignment.select("header", F.col("seq_idx").alias("at")), "header").select("value", "at")
+        body = alignment.select(_phylip_line().alias("value"), F.col("seq_idx").alias("at"))
         head.unionByName(body).repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(path)
     else:
         raise ValueError(f"unknown alignment format {kind!r}")

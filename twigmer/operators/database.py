@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twigmer.functions.scoring import clamped, entropy_term, uniform
+from twigmer.sources.shared import shared_folder
 
 
 def best_per_branch(kmers: DataFrame, branches: DataFrame, positions: bool = False) -> DataFrame:
@@ -65,11 +66,7 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     """Add ``rank`` (from 0) in the global order of columns: ranges are numbered apart and shifted by what precedes them."""
     from pyspark.sql import Window
 
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     place = F.monotonically_increasing_id()  # the partition's number in the high bits, the row's in the low 33
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place).checkpoint()
     part = F.shiftright("__at", 33)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from twigmer.operators import kmers
 
 K, OMEGA, OMEGA_B = 4, 1.37, 1.45
+#: Width of the alignment whose rows are the blocks of all documents.
+WIDTH = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +56,14 @@ def supplier_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq_idx, header, seq)``: the first 60 characters of documents, letters other than ACGT as gaps."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    letters = F.regexp_replace(F.translate(F.substring("text", 1, 60), "acgt", "ACGT"), "[^ACGT]", "-")
-    return d.select(F.col("doc_id").alias("seq_idx"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("header"), F.rpad(letters, 60, "-").alias("seq"))
+    """``(seq_idx, header, seq)``: whole documents in rows of 60 characters, the last filled up with gaps, letters other than ACGT as gaps.
+
+    A document without text has one row of gaps. ``seq_idx`` is the document's id times 10^6 and the row's place in it.
+    """
+    d = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    parts = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WIDTH}}}"), F.lit(0)))
+    rows = d.select("doc_id", F.posexplode(parts).alias("at", "part"))
+    letters = F.regexp_replace(F.translate("part", "acgt", "ACGT"), "(?s)[^ACGT]", "-")
+    header = F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("_"), F.col("at").cast("string"))
+    return rows.select((F.col("doc_id") * 1_000_000 + F.col("at")).alias("seq_idx"), header.alias("header"), F.rpad(letters, WIDTH, "-").alias("seq"))

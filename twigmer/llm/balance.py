@@ -85,7 +85,7 @@ def shard_groups(groups: DataFrame, n_shards: int) -> DataFrame:
     else:
         sums, lanes = difference([_single(r.bytes, k) for r in others]) if others else (np.zeros(k, np.int64), [])
         own += [(r.key, int(lane[0])) for r, lane in zip(others, lanes, strict=True)]
-        dealt = stored(_deal_blocks(small.where("block > 0"), sums, max(1, rest - sum(r.bytes for r in others))))
+        dealt = stored(_deal_blocks(small.where("block > 0"), blocks - 1, sums, max(1, rest - sum(r.bytes for r in others))))
         one = sums.copy()
         for r in dealt.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
             one[r.shard] += r.bytes
@@ -99,7 +99,7 @@ def shard_groups(groups: DataFrame, n_shards: int) -> DataFrame:
     return made if dealt is None else dealt.select("key", "shard").unionByName(made)
 
 
-def _deal_blocks(small: DataFrame, sums: np.ndarray, left: int) -> DataFrame:
+def _deal_blocks(small: DataFrame, blocks: int, sums: np.ndarray, left: int) -> DataFrame:
     """``(key, bytes, shard)`` of ``small(key, bytes, block)``; a block levels its share, by bytes of ``left``, of ``sums``."""
     k = len(sums)
 
@@ -125,7 +125,8 @@ def _deal_blocks(small: DataFrame, sums: np.ndarray, left: int) -> DataFrame:
         if keys:
             yield close()
 
-    return small.repartition("block").sortWithinPartitions("block", "key").mapInArrow(deal, "key binary, bytes long, shard int")
+    tasks = min(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    return small.repartition(tasks, "block").sortWithinPartitions("block", "key").mapInArrow(deal, "key binary, bytes long, shard int")
 
 
 def _single(size: int, k: int) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Links between the members of hash buckets, verified against bucket representatives; nothing emits all pairs of a group.
 
 Every member of a bucket is verified against the bucket's first. Members that pass are connected through
-it, so only those that fail are compared with the rest of their bucket, in blocks that spread over tasks.
+it, so only those that fail are compared with the other members, in blocks that spread over tasks. Copies
+share many buckets with one first member: what is compared are the members of all buckets of a first, once.
 """
 
 from __future__ import annotations
@@ -31,65 +32,82 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def bucket_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], near: Callable[[list, list], np.ndarray], sketch: tuple[DataFrame, Callable] | None = None) -> DataFrame:
-    """The verified links ``(a, b)`` of ``members`` (stored, see :func:`members_of`).
+def _by_id(members: DataFrame) -> DataFrame:
+    """``(id, firsts)``: a row for each member, so that what is known of it is joined once; a member has as many firsts as lookups at most."""
+    return members.groupBy("id").agg(F.collect_list("first").alias("firsts"))
 
-    ``check(pairs)`` returns those of ``pairs(a, b)`` that are linked. ``sets_of(ids)`` gives ``(id, payload
-    array<long>)`` and ``near(left, right)`` the exact verdict on two lists of payloads as a boolean matrix. A
-    ``sketch``, payloads and their verdict, leaves out ids that can't be near any other of their bucket first.
-    Links that only repeat a connection are left out.
+
+def candidates(members: DataFrame, known: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """The ``members(id, first)`` that ``near`` holds for, given what is ``known(id, value)`` of the two."""
+    wide = _by_id(members).join(known, "id").select("id", "value", F.explode("firsts").alias("first"))
+    return wide.join(known.select(F.col("id").alias("first"), F.col("value").alias("of_first")), "first").where(near(F.col("value"), F.col("of_first"))).select("id", "first")
+
+
+def bucket_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], near: Callable[[list, list], np.ndarray], close: DataFrame | None = None, sketch: tuple[DataFrame, Callable] | None = None) -> DataFrame:
+    """The verified links ``(a, b)`` of ``members(id, first)``, stored and distinct, see :func:`members_of`.
+
+    ``check(pairs)`` returns those of ``pairs(a, b)`` that are linked; it is asked of the rows of ``close``
+    only (stored, a part of ``members``) if that is given. ``sets_of(ids)`` gives ``(id, payload array<long>)``
+    and ``near(left, right)`` the exact verdict on two lists of payloads as a boolean matrix. A ``sketch``,
+    payloads and their verdict, leaves out ids that can't be near any other of their bucket first. Links that
+    only repeat a connection are left out.
     """
+    close = members if close is None else close
     # one representative for each member first: in a large group that settles nearly all
-    lowest = stored(members.groupBy("id").agg(F.min("first").alias("first")))
+    lowest = stored(close.groupBy("id").agg(F.min("first").alias("first")))
     settled = stored(check(lowest.select(F.col("id").alias("a"), F.col("first").alias("b"))))
     label = settled.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    rest = members.select("id", "first").distinct().join(lowest, ["id", "first"], "left_anti")
+    rest = close.join(lowest, ["id", "first"], "left_anti")
     rest = rest.join(label, "id", "left").join(label.select(F.col("id").alias("first"), F.col("label").alias("of_first")), "first", "left")
     apart = F.coalesce("label", "id") != F.coalesce("of_first", "first")
     rest = stored(rest.where(apart).select(F.col("id").alias("a"), F.col("first").alias("b")))
     linked = stored(settled.unionByName(check(rest)))
-    failed = lowest.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(rest).join(linked, ["a", "b"], "left_anti")
-    rows = _open_rows(members, failed, linked)
+    rows = _open_rows(members, linked)
     if rows is None:
         return linked
     if sketch is not None:
-        payload, close = sketch
-        ids = stored(_compared(rows.join(payload, "id"), close, ids_only=True).select(F.col("a").alias("id")).distinct())
+        payload, verdict = sketch
+        ids = stored(_compared(rows.join(payload, "id"), verdict, ids_only=True).select(F.col("a").alias("id")).distinct())
         if ids.isEmpty():
             return linked
         rows = rows.join(ids, "id", "left_semi")
-    sets = sets_of(rows.select("id").distinct())
+    sets = sets_of(rows.select("id"))
     return linked.unionByName(_compared(rows.join(sets, "id"), near, ids_only=False))
 
 
-def _open_rows(members: DataFrame, failed: DataFrame, linked: DataFrame) -> DataFrame | None:
-    """``(key, n, m, id, fails, root)``: the members of buckets in which one is in another component than the first, if there are others to compare it with."""
-    roots = stored(connected_components(linked))
-    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-    # what is connected with its first by way of others hasn't failed
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    failed = failed.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select(F.col("a").alias("id"), F.col("b").alias("first"))
-    failed = members.join(failed, ["id", "first"], "left_semi").select("key", "id")
-    sizes = failed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # a bucket with no other member has nothing left to compare
-    open_keys = sizes.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").where("m > 1")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    open_keys = stored(open_keys.select("key", blocks("n").alias("n"), blocks("m").alias("m")))
-    if open_keys.isEmpty():
+def _open_rows(members: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """``(id, root, cells)``, a row for each member of a first in whose buckets one is in another component than the first, if there are others to compare it with.
+
+    ``cells(first, n, m, fails)``: the firsts of the member, in how many blocks their failed and all members
+    are compared, and whether this one has failed.
+    """
+    ids = members.select("id").unionByName(members.select(F.col("first").alias("id"))).distinct()
+    roots = stored(ids.join(connected_components(linked), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    wide = _by_id(members).join(roots, "id").select("id", "root", F.explode("firsts").alias("first"))
+    met = wide.join(roots.select(F.col("id").alias("first"), F.col("root").alias("of_first")), "first")
+    # what is connected with its first, by way of others too, hasn't failed
+    failed = stored(met.where("root <> of_first").drop("of_first"))
+    sizes = failed.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    # a first with no other member has nothing left to compare
+    firsts = sizes.join(members.groupBy("first").agg(F.count(F.lit(1)).alias("m")), "first").where("m > 1")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+    firsts = stored(firsts.select("first", blocks("n"), blocks("m")))
+    if firsts.isEmpty():
         return None
-    rows = members.select("key", "id").join(open_keys, "key").join(failed.withColumn("fails", F.lit(True)), ["key", "id"], "left")
-    rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return stored(rows)
+    passed = met.where("root = of_first").drop("of_first")
+    rows = failed.join(firsts, "first").withColumn("fails", F.lit(True)).unionByName(passed.join(firsts, "first").withColumn("fails", F.lit(False)))
+    return stored(rows.groupBy("id", "root").agg(F.collect_list(F.struct("first", "n", "m", "fails")).alias("cells")))
 
 
 def _compared(rows: DataFrame, near: Callable[[list, list], np.ndarray], ids_only: bool) -> DataFrame:
-    """Near pairs ``(a, b)`` of failed members and others of their buckets, of each two components one a cell; or the ids of all near ones, twice."""
+    """Near pairs ``(a, b)`` of failed members and others of their firsts, of each two components one a cell; or the ids of all near ones, twice."""
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rows.select("id", "root", "payload", F.inline("cells"))
     left = rows.where("fails").withColumn("i", mine("n")).withColumn("j", every("m")).withColumn("side", F.lit(0))
     right = rows.withColumn("j", mine("m")).withColumn("i", every("n")).withColumn("side", F.lit(1))
-    names = ["key", "i", "j", "side", "id", "root", "payload"]
-    cells = left.select(*names).unionByName(right.select(*names)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+    names = ["first", "i", "j", "side", "id", "root", "payload"]
+    cells = left.select(*names).unionByName(right.select(*names)).repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "side", "id")
 
     def spanning(pairs: np.ndarray) -> list[int]:
         """Of pairs of components, those that a forest needs."""
@@ -132,10 +150,10 @@ def _compared(rows: DataFrame, near: Callable[[list, list], np.ndarray], ids_onl
         for batch in batches:
             lists = batch.column("payload")
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, (key, x, y, side, own, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in names[:-1]), strict=True)):
-                if (key, x, y) != at:
+            for i, (first, x, y, side, own, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in names[:-1]), strict=True)):
+                if (first, x, y) != at:
                     yield from close()
-                    at = (key, x, y)
+                    at = (first, x, y)
                 sides[side].append((own, root, values[ends[i] : ends[i + 1]].copy()))
         yield from close()
 

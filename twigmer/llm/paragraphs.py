@@ -276,7 +276,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
     lines = scan.where("line is not null")
     names = lines.groupBy("line").agg(F.min(F.struct("text_key", "number")).alias("one"), F.first("bands").alias("bands"))
     names = stored(names.withColumn("id", F.monotonically_increasing_id()))
-    members = stored(members_of(names.select("id", F.explode("bands").alias("key"))))
+    members = stored(members_of(names.select("id", F.explode("bands").alias("key"))).select("id", "first").distinct())
     compared = members.select("id").unionByName(members.select(F.col("first").alias("id"))).distinct()
     wanted = names.join(compared, "id").groupBy("one.text_key").agg(F.collect_list(F.struct("one.number", "id")).alias("lines"))
 

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -361,3 +362,40 @@ def test_streamed_best_scores(spark, tmp_path):
 def test_phyml_tables_are_refused():
     with pytest.raises(NotImplementedError):
         tf.read_phyml()
+
+
+def test_subtree_sums_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = [("n0", None, 0.0, 0)] + [(f"n{i}", f"n{rng.randrange(max(0, i - 4), i)}", rng.randrange(1, 99) / 8, rng.randrange(3)) for i in range(1, 120)]
+    tree = spark.createDataFrame(rows, "label string, parent string, branch_length double, child_ord long")
+    children = {r[0]: sorted((x[3], x[0]) for x in rows if x[1] == r[0]) for r in rows}
+    length, pre, post, want = {r[0]: r[2] for r in rows}, [], [], {}
+
+    def walk(v):
+        pre.append(v)
+        below = [walk(c) for _, c in children[v]]
+        post.append(v)
+        leaves = sum(b[0] for b in below) or 1
+        want[v] = (leaves, 1 + sum(b[1] for b in below), sum(b[2] + length[c] for b, (_, c) in zip(below, children[v], strict=True)), sum(b[3] + b[0] * length[c] for b, (_, c) in zip(below, children[v], strict=True)))
+        return want[v]
+
+    walk("n0")
+    ordered = tr.with_orders(tree)
+    assert {r.label: (r.preorder, r.postorder) for r in ordered.collect()} == {v: (pre.index(v), post.index(v)) for v in want}
+    for t in (tree, ordered.drop("child_ord")):
+        got = {r.label: (r.n_leaves, r.n_nodes, r.subtree_length, r.leaf_distance) for r in tr.subtree_stats(t).collect()}
+        assert got == want  # eighths add up exactly
+
+
+def test_a_deep_comb(spark):
+    depth = 2000
+    rows = [("n0", None, 0.0)] + [x for i in range(1, depth) for x in ((f"n{i}", f"n{i - 1}", 1.0), (f"l{i}", f"n{i - 1}", 1.0))]
+    tree = spark.createDataFrame(rows, "label string, parent string, branch_length double")
+    top = {r.label: r for r in tr.subtree_stats(tree).where("label in ('n0', 'n1', 'l1')").collect()}
+    assert top["n0"].n_nodes == 2 * depth - 1 and top["n0"].n_leaves == depth and top["n0"].subtree_length == 2 * depth - 2
+    assert top["l1"].n_nodes == 1 and top["n1"].n_nodes == 2 * depth - 3 and top["l1"].leaf_distance == 0
+
+
+def test_a_tree_in_a_circle(spark):
+    with pytest.raises(ValueError):
+        tr.subtree_stats(spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "label string, parent string, branch_length double"))

@@ -7,30 +7,44 @@ children where a tree is built; the orders stand for it afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twigmer.operators.database import ranked
+from twigmer.sources.shared import shared_folder
+
 GHOST_SUFFIXES = ("_X0", "_X1", "_X2", "_X3")
 GHOST_LEAF_LENGTH = 0.01
+#: Rows whose running sums are taken in one group.
+BLOCK = 4096
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A round's result, kept in the shared folder: the next round reads it instead of running all earlier ones again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
+def rounds(nodes: DataFrame) -> int:
+    """Rounds of doubling after which all paths have ended, unless the parents run in a circle."""
+    return nodes.count().bit_length() + 1
 
-def closure(tree: DataFrame) -> DataFrame:
-    """``(ancestor, node, distance)`` of every node and all its ancestors, itself included.
 
-    Paths double in each round, so there are as many rounds as the depth has bits.
+def path_sums(steps: DataFrame) -> DataFrame:
+    """Sums of the columns after ``(label, up)`` over each node and its ancestors.
+
+    Each round doubles how far a node sees, so there are as many as the depth has bits, each over one row a node.
     """
-    paths = tree.select(F.col("parent").alias("ancestor"), F.col("label").alias("node"), F.col("branch_length").alias("distance"), F.lit(1).alias("steps")).where("ancestor is not null")
-    done, jump = paths, paths  # all paths of up to 2^i steps, those of exactly 2^i
-    while True:
-        step = jump.alias("u").join(done.alias("l"), F.col("u.node") == F.col("l.ancestor"))
-        more = step.select("u.ancestor", "l.node", (F.col("u.distance") + F.col("l.distance")).alias("distance"), (F.col("u.steps") + F.col("l.steps")).alias("steps"))
-        twice = jump.alias("u").join(jump.alias("l"), F.col("u.node") == F.col("l.ancestor"))
-        jump = twice.select("u.ancestor", "l.node", (F.col("u.distance") + F.col("l.distance")).alias("distance"), (F.col("u.steps") + F.col("l.steps")).alias("steps"))
-        if more.isEmpty():
-            break
-        done = done.unionByName(more)
-    own = tree.select(F.col("label").alias("ancestor"), F.col("label").alias("node"), F.lit(0.0).alias("distance"))
-    return done.drop("steps").unionByName(own)
+    names = [c for c in steps.columns if c not in ("label", "up")]
+    steps = stored(steps)
+    for _ in range(rounds(steps)):
+        live = steps.where("up is not null")
+        if live.isEmpty():
+            return steps.drop("up")
+        above = steps.select(F.col("label").alias("up"), F.col("up").alias("far"), *[F.col(c).alias(f"more_{c}") for c in names])
+        seen = live.join(above, "up", "left").select("label", F.col("far").alias("up"), *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in names])
+        steps = stored(seen.unionByName(steps.where("up is null")))
+    raise ValueError("the parents of the tree run in a circle")
 
 
 def is_leaf(tree: DataFrame) -> DataFrame:
@@ -40,16 +54,39 @@ def is_leaf(tree: DataFrame) -> DataFrame:
 
 def subtree_stats(tree: DataFrame) -> DataFrame:
     """Per node: ``n_leaves, n_nodes`` (itself included), ``subtree_length`` (branches under it) and
-    ``leaf_distance`` (sum of the distances to its leaves; zero for a leaf)."""
-    nodes = is_leaf(tree)
-    below = closure(tree).join(nodes.select(F.col("label").alias("node"), "is_leaf", "branch_length"), "node")
-    own = F.col("node") == F.col("ancestor")
-    return below.groupBy(F.col("ancestor").alias("label")).agg(
-        F.count_if("is_leaf").alias("n_leaves"),
-        F.count(F.lit(1)).alias("n_nodes"),
-        F.coalesce(F.sum(F.when(~own, F.col("branch_length"))), F.lit(0.0)).alias("subtree_length"),
-        F.coalesce(F.sum(F.when(F.col("is_leaf"), F.col("distance"))), F.lit(0.0)).alias("leaf_distance"),
+    ``leaf_distance`` (sum of the distances to its leaves; zero for a leaf).
+
+    After i rounds a row holds the sums over descendants less than 2^i steps away; those that the node's descendants
+    2^i steps away hold are added. As many rounds as the depth has bits, each over one row a node.
+    """
+    long = lambda c: c.cast("long")
+    length = F.coalesce("branch_length", F.lit(0.0))
+    own = is_leaf(tree).select("label", "parent", length.alias("own"), "is_leaf")
+    sums = own.select(
+        "label", F.col("parent").alias("up"), F.col("own").alias("away"), "own", F.col("own").alias("length"), long(F.lit(1)).alias("n_nodes"), long(F.col("is_leaf")).alias("n_leaves"), F.lit(0.0).alias("leaf_distance")
     )
+    sums = stored(sums)
+    for _ in range(rounds(sums)):
+        live = sums.where("up is not null")
+        if live.isEmpty():
+            return sums.select("label", "n_leaves", "n_nodes", (F.col("length") - F.col("own")).alias("subtree_length"), "leaf_distance")
+        reached = F.col("leaf_distance") + F.col("n_leaves") * F.col("away")
+        added = live.groupBy(F.col("up").alias("label")).agg(F.sum("length").alias("a_length"), F.sum("n_nodes").alias("a_n_nodes"), F.sum("n_leaves").alias("a_n_leaves"), F.sum(reached).alias("a_leaf_distance"))
+        above = sums.select(F.col("label").alias("up"), F.col("up").alias("far"), F.col("away").alias("more"))
+        both = sums.join(added, "label", "left").join(above, "up", "left")
+        plus = lambda c: (F.col(c) + F.coalesce(f"a_{c}", F.lit(0))).alias(c)
+        sums = stored(both.select("label", F.col("far").alias("up"), (F.col("away") + F.coalesce("more", F.lit(0.0))).alias("away"), "own", *[plus(c) for c in ("length", "n_nodes", "n_leaves", "leaf_distance")]))
+    raise ValueError("the parents of the tree run in a circle")
+
+
+def running_sums(rows: DataFrame, column: str) -> DataFrame:
+    """Add ``before``: the column's sum over all rows of smaller ``rank``. Blocks of ranks are summed apart, then shifted."""
+    rows = rows.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for BLOCK rows
+    shift = rows.groupBy("block").agg(F.sum(column).alias("t")).select("block", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("before", F.coalesce(F.sum(column).over(inside), F.lit(0))).join(shift, "block")
+    return summed.withColumn("before", F.col("before") + F.col("shift")).drop("block", "shift")
 
 
 def ghost_lengths(tree: DataFrame) -> DataFrame:
@@ -105,23 +142,21 @@ def ghost_groups(mapping: DataFrame, strategy: str = "both") -> DataFrame:
 
 
 def with_orders(tree: DataFrame) -> DataFrame:
-    """Add ``postorder`` and ``preorder`` to ``(label, parent, branch_length, child_ord)``, children in that order.
+    """Add ``postorder`` and ``preorder`` to ``(label, parent, branch_length[, child_ord])``, children in that order, then by label.
 
-    The path of child numbers from the root sorts nodes in pre-order, and in post-order with a last
-    sign above all others.
+    A node comes one and the sizes of its earlier siblings after its parent; these steps are summed up to the root.
+    What precedes it in post-order are also the rest of its subtree, but not its ancestors.
     """
-    from twigmer.operators.database import ranked
-
-    ranks = tree.select("label", "parent", F.concat(F.lit("."), F.lpad(F.col("child_ord").cast("string"), 12, "0")).alias("step"))
-    paths = ranks.where("parent is null").select("label", F.lit("").alias("path"))
-    done = paths
-    while not paths.isEmpty():
-        step = ranks.alias("c").join(paths.alias("p"), F.col("c.parent") == F.col("p.label"))
-        paths = step.select("c.label", F.concat("p.path", "c.step").alias("path"))
-        done = done.unionByName(paths)
-    pre = ranked(done, "path").withColumnRenamed("rank", "preorder")
-    post = ranked(pre.withColumn("last", F.concat("path", F.lit("~"))), "last").withColumnRenamed("rank", "postorder")
-    return tree.join(post.select("label", "postorder", "preorder"), "label")
+    order = ["parent", *(["child_ord"] if "child_ord" in tree.columns else []), "label"]
+    sizes = subtree_stats(tree).select("label", "n_nodes")
+    rows = running_sums(ranked(tree.select(*order).join(sizes, "label"), *order), "n_nodes").select("label", "parent", "n_nodes", "before")
+    rows = stored(rows)
+    first = rows.groupBy("parent").agg(F.min("before").alias("first")).where("parent is not null")
+    child = F.col("parent").isNotNull()
+    step = F.when(child, F.col("before") - F.col("first") + 1).otherwise(0)
+    paths = path_sums(rows.join(first, "parent", "left").select("label", F.col("parent").alias("up"), step.cast("long").alias("preorder"), child.cast("long").alias("depth")))
+    orders = paths.join(rows.select("label", "n_nodes"), "label").select("label", (F.col("preorder") + F.col("n_nodes") - 1 - F.col("depth")).alias("postorder"), "preorder")
+    return tree.join(stored(orders), "label")
 
 
 def reroot(tree: DataFrame) -> DataFrame:

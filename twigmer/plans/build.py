@@ -15,6 +15,7 @@ from twigmer.plans.settings import BuildParams
 from twigmer.sources import reconstruction as ar
 from twigmer.sources import text_formats as tf
 
+VERSION = "0.2.0"
 TREE_SCHEMA = "label string, parent string, branch_length double, child_ord long, postorder long, preorder long"
 
 
@@ -148,8 +149,9 @@ def diff_databases(spark: SparkSession, a: str, b: str) -> tuple[DataFrame, Data
 
 
 def main(argv: list[str] | None = None) -> int:
-    """``python -m twigmer build|dump|diff ...``; differences make a non-zero exit status."""
+    """``python -m twigmer build|dump|diff|diff-text ...``; differences make a non-zero exit status."""
     p = argparse.ArgumentParser(prog="twigmer")
+    p.add_argument("--version", action="version", version=f"twigmer {VERSION}")
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build")
     for name in ("refalign", "reftree", "workdir"):
@@ -179,6 +181,11 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("a")
     d.add_argument("b")
     d.add_argument("-v", "--verbose", action="store_true")
+    t = sub.add_parser("diff-text")
+    t.add_argument("a")
+    t.add_argument("b")
+    t.add_argument("--threshold", type=float, default=0.0, help="scores near it are left out, as are scores near each other")
+    t.add_argument("--tolerance", type=float, default=compare.TEXT_TOLERANCE)
     o = p.parse_args(argv)
     spark = SparkSession.builder.appName("twigmer").getOrCreate()
     if o.command == "build":
@@ -192,6 +199,12 @@ def main(argv: list[str] | None = None) -> int:
         for r in compare.dump_text(dump_database(spark, o.database)).toLocalIterator():
             print(r.value)
         return 0
+    if o.command == "diff-text":
+        rows, bad = compare.text_diff(tf.read_dump(spark, o.a), tf.read_dump(spark, o.b), o.threshold, o.tolerance), 0
+        for r in rows.orderBy("kmer", "branch").toLocalIterator():
+            print(r.kmer, r.branch, r.score_a, r.score_b, sep="\t")
+            bad += 1
+        return int(bad > 0)
     head, rows = diff_databases(spark, o.a, o.b)
     bad = 0
     for r in head.orderBy("field").collect():

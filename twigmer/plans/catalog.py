@@ -16,6 +16,8 @@ from twigmer.sources.shared import shared_folder
 
 EPS, EPS_B = scoring.log_threshold(OMEGA, K, 4), scoring.log_threshold(OMEGA_B, K, 4)
 THRESHOLD = scoring.score_threshold(OMEGA, K, 4)
+#: For three of 20 states; not a value that products of the derived probabilities meet exactly.
+OMEGA_AMINO = 2.03
 N_NODES = 31  # of the nation tree: one root, 5 regions, 25 nations
 #: Among the gap ratios of the documents' columns (0.82 to 0.84), so that some columns go and some stay.
 RATIO = 0.8385
@@ -203,6 +205,28 @@ for _engine in kmers.ENGINES:
     ORACLE_SQL[f"j01_enumerate_k4_{_engine}"] = f"with {KM} select node, position, code, round(score, 6) as score from km"
 
 
+@query(
+    f"""with {PP}, four as (select a.node, a.site as position, cast(a.state * 64 + b.state * 16 + c.state * 4 + d.state as bigint) as code, a.lp + b.lp + c.lp + d.lp as s
+    from pp a join pp b on b.node = a.node and b.site = a.site + 1 join pp c on c.node = a.node and c.site = a.site + 2 join pp d on d.node = a.node and d.site = a.site + 3)
+select a.node, a.position, a.code * 256 + b.code as code, round(a.s + b.s, 6) as score from four a join four b on b.node = a.node and b.position = a.position + 4
+where a.s + b.s > 8 * log10(cast({OMEGA} as double) / 4)"""
+)
+def j01_enumerate_k8(spark, d):
+    rows = kmers.enumerate_numpy(derived.matrix(spark, d), 8, 4, scoring.log_threshold(OMEGA, 8, 4), every=True)
+    return rows.select("node", "position", "code", r6("score"))
+
+
+@query(
+    f"""with {PP.replace("% 4 as int", "% 20 as int")}, km as (select a.node, a.site as position, cast(a.state * 400 + b.state * 20 + c.state as bigint) as code, a.lp + b.lp + c.lp as score
+    from pp a join pp b on b.node = a.node and b.site = a.site + 1 join pp c on c.node = a.node and c.site = a.site + 2)
+select node, position, code, substr('{scoring.AMINO}', cast(code // 400 as int) + 1, 1) || substr('{scoring.AMINO}', cast(code // 20 % 20 as int) + 1, 1) || substr('{scoring.AMINO}', cast(code % 20 as int) + 1, 1) as kmer,
+    round(score, 6) as score from km where score > 3 * log10(cast({OMEGA_AMINO} as double) / 20)"""
+)
+def p06_amino(spark, d):
+    rows = kmers.enumerate_numpy(derived.matrix(spark, d, 20), 3, 20, scoring.log_threshold(OMEGA_AMINO, 3, 20), every=True)
+    return rows.select("node", "position", "code", scoring.decode(F.col("code"), 3, scoring.AMINO).alias("kmer"), r6("score"))
+
+
 @query(f"with {PP}, km as ({enum_sql(OMEGA_B)}) select node, count(*) as n, round(min(score), 6) as least from km group by 1")
 def p11_threshold(spark, d):
     rows = kmers.enumerate_numpy(derived.matrix(spark, d), K, 4, EPS_B, every=True)
@@ -486,3 +510,16 @@ def s12_plain_text(spark, d):
     text = best(spark, d).select(scoring.decode(F.col("code"), K, scoring.DNA).alias("kmer"), "branch", scoring.linear(F.col("score")).alias("score"))
     compare.dump_text(text).write.text(path)
     return tf.read_dump(spark, path).select("kmer", "branch", r6("score"))
+
+
+@query(
+    f"""with {FV} select code, branch, round(score, 6) as score, round(filter_value, 6) as filter_value,
+    (select count(distinct code) from db) as num_kmers, (select count(*) from db) as num_entries from db join fv using (code)"""
+)
+def s09_db_roundtrip(spark, d):
+    path = scratch(spark)
+    b = best(spark, d)
+    database.write_database(path, b, database.mif0(b, THRESHOLD, N_NODES), database.counts(b))
+    rows, header = database.read_database(spark, path)
+    h = header.first()
+    return database.flat(rows).select("code", "branch", r6("score"), r6("filter_value"), F.lit(h.num_kmers).alias("num_kmers"), F.lit(h.num_entries).alias("num_entries"))

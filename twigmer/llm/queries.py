@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, bpe, decontaminate, hard_negatives, media, paragraphs, pii, simhash, token_alignment, token_files, toxicity, warc
+from . import balance, bpe, decontaminate, edit_fingerprints, hard_negatives, media, paragraphs, pii, simhash, token_alignment, token_files, toxicity, warc
 from ._shared import table
 
 
@@ -63,6 +63,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.negatives_report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_media": op2_media, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_paragraphs": op5_paragraphs, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op11_token_alignment": op11_token_alignment, "op12_hard_negatives": op12_hard_negatives}
+def op13_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_media": op2_media, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_paragraphs": op5_paragraphs, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_bpe": op8_bpe, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii, "op11_token_alignment": op11_token_alignment, "op12_hard_negatives": op12_hard_negatives, "op13_edit_fingerprints": op13_edit_fingerprints}
 #: The other operators train, hash or merge in ways that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}

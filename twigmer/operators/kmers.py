@@ -2,13 +2,13 @@
 
 A matrix is ``(node, site int, logp array<double>, best double)``: log10 probabilities of each state
 and the best of them. Sites of a node that are missing count as impossible, as do windows with one.
-Three engines enumerate the same k-mers; all use the bound that a part of a k-mer, completed by the
+Five engines enumerate the same k-mers; all use the bound that a part of a k-mer, completed by the
 best states of the other sites, has to exceed the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twigmer.functions.scoring import append_code, append_state, log_probability
+from twigmer.operators.sum_threshold import joined, strings
 
 #: Windows of one task's unit of work in the numpy engine.
 BLOCK_WINDOWS = 64
+#: K-mers that a task of the numpy engine holds before it keeps the best of each, and rows of a batch that engines pass on.
+HELD, BATCH = 1 << 20, 1 << 16
 
 
 def pack(cells: DataFrame, sigma: int) -> DataFrame:
@@ -127,7 +130,16 @@ def enumerate_numpy(matrix: DataFrame, k: int, sigma: int, eps: float, every: bo
         sites = table.column("site").to_numpy()
         logp = np.array(table.column("logp").to_pylist(), dtype=np.float64).reshape(-1, sigma)
         best = logp.max(axis=1)
-        codes_out, scores_out, at_out = [], [], []
+        held, n = [], 0
+
+        def kept() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            codes, scores, at = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*held, strict=True), (np.int64, np.float64, np.int32), strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
+            if not every:
+                order = np.lexsort((at, -scores, codes))
+                lead = order[np.r_[True, np.diff(codes[order]) != 0][: len(order)]]
+                codes, scores, at = codes[lead], scores[lead], at[lead]
+            return [(codes, scores, at)]
+
         for i in range(len(sites) - k + 1):
             if sites[i + k - 1] - sites[i] != k - 1 or not start <= sites[i] < start + BLOCK_WINDOWS:
                 continue
@@ -138,21 +150,111 @@ def enumerate_numpy(matrix: DataFrame, k: int, sigma: int, eps: float, every: bo
                 codes = (codes[:, None] * sigma + np.arange(sigma)).ravel()
                 keep = scores + rest > eps
                 codes, scores = codes[keep], scores[keep]
-            codes_out.append(codes)
-            scores_out.append(scores)
-            at_out.append(np.full(len(codes), sites[i], np.int32))
-        codes, scores, at = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((codes_out, np.int64), (scores_out, np.float64), (at_out, np.int32)))
-        if not every:
-            order = np.lexsort((at, -scores, codes))
-            codes, scores, at = codes[order], scores[order], at[order]
-            lead = np.r_[True, codes[1:] != codes[:-1]][: len(codes)]
-            codes, scores, at = codes[lead], scores[lead], at[lead]
+            held.append((codes, scores, np.full(len(codes), sites[i], np.int32)))
+            n += len(codes)
+            if n > HELD and not every:  # windows meet the best so far, not all earlier ones
+                held = kept()
+                n = len(held[0][0])
+        ((codes, scores, at),) = kept()
         return pa.table({"node": pa.array([own] * len(codes), table.schema.field("node").type), "position": at, "code": codes, "score": scores})
 
     return dealt.groupBy("node", "block").applyInArrow(run, f"node {node}, position int, code long, score double")
 
 
-ENGINES: dict[str, Callable[..., DataFrame]] = {"hof": enumerate_hof, "join": enumerate_join, "numpy": enumerate_numpy}
+def _passed_on(batch: pa.RecordBatch, found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The strings ``(row, codes, scores)`` of windows with their node and position, in batches of bounded size."""
+    if not found:
+        return
+    at = np.repeat([r for r, *_ in found], [len(c) for _, c, _ in found])
+    codes, scores = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+    for i in range(0, len(at), BATCH):
+        rows = pa.array(at[i : i + BATCH])
+        columns = [batch.column("node").take(rows), batch.column("position").take(rows), pa.array(codes[i : i + BATCH]), pa.array(scores[i : i + BATCH])]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "position", "code", "score"])
+
+
+def _in_turn(run: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run(batch, row)`` for each window; results are passed on as soon as a batch of them is full."""
+
+    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = [], 0
+            for row in range(batch.num_rows):
+                found.append((row, *run(batch, row)))
+                n += len(found[-1][1])
+                if n >= BATCH:
+                    yield from _passed_on(batch, found)
+                    found, n = [], 0
+            yield from _passed_on(batch, found)
+
+    return all_rows
+
+
+def _list_at(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    """A row's list, without copying."""
+    lists = batch.column(column)
+    a, b = lists.offsets[row].as_py(), lists.offsets[row + 1].as_py()
+    return lists.values.slice(a, b - a).to_numpy(zero_copy_only=False)
+
+
+def enumerate_sorted(matrix: DataFrame, k: int, sigma: int, eps: float) -> DataFrame:
+    """Windows halved down to sites; two halves are joined by :func:`.sum_threshold.threshold_pairs`, so that no pair that fails is made."""
+    node = matrix.schema["node"].dataType.simpleString()
+    rows = windows(matrix, k).select("node", "position", F.flatten(F.transform("win", lambda x: x["logp"])).alias("logp"))
+    run = _in_turn(lambda batch, row: strings(_list_at(batch, "logp", row).reshape(k, sigma), eps))
+    return rows.mapInArrow(run, f"node {node}, position int, code long, score double")
+
+
+def half_lists(matrix: DataFrame, k: int, sigma: int, eps: float) -> DataFrame:
+    """``(node, position, codes, scores, middle, whole)``: for each site, the strings of k // 2 sites from it that any window needs.
+
+    Such a half begins the window at its position and ends the window k - k // 2 sites before: the looser of both
+    bounds holds. ``middle`` is the site between the halves of the window that begins here (odd k, else null);
+    ``whole`` says that there is such a window.
+    """
+    h, step = k // 2, k - k // 2
+    order = Window.partitionBy("node").orderBy("site")
+    bound = lambda whole, first, last: F.when(whole, F.lit(eps) - F.sum("best").over(frame(first, last)))
+    begins, ends = bound(_whole(0, k), h, k - 1), bound(_whole(step, k), -step, -1)
+    middle = F.lead("logp", h).over(order) if step > h else F.lit(None).cast("array<double>")
+    rows = matrix.select("node", F.col("site").alias("position"), F.flatten(F.collect_list("logp").over(frame(0, h - 1))).alias("logp"), F.least(begins, ends).alias("need"), middle.alias("middle"), _whole(0, k).alias("whole"))
+    node = matrix.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [strings(_list_at(batch, "logp", i).reshape(h, sigma), need) for i, need in enumerate(batch.column("need").to_numpy())]
+            lists = [pa.array([m[i] for m in made], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("position"), *lists, batch.column("middle"), batch.column("whole")], ["node", "position", "codes", "scores", "middle", "whole"])
+
+    return rows.where("need is not null").mapInArrow(run, f"node {node}, position int, codes array<long>, scores array<double>, middle array<double>, whole boolean")
+
+
+def enumerate_chained(matrix: DataFrame, k: int, sigma: int, eps: float) -> DataFrame:
+    """Chains of windows, k - k // 2 sites apart: the last half of a window is the first of the next, and is made once.
+
+    For odd k, the site between a window's halves goes before its last half.
+    """
+    if k == 1:
+        return enumerate_sorted(matrix, k, sigma, eps)
+    h, step = k // 2, k - k // 2
+    node = matrix.schema["node"].dataType.simpleString()
+    chain = Window.partitionBy("node", F.pmod("position", F.lit(step))).orderBy("position")
+    after = F.lead(F.struct("position", "codes", "scores")).over(chain)
+    rows = half_lists(matrix, k, sigma, eps).withColumn("after", after).where(F.col("whole") & (F.col("after.position") == F.col("position") + step))
+    rows = rows.select("node", "position", "codes", "scores", "middle", F.col("after.codes").alias("next_codes"), F.col("after.scores").alias("next_scores"))
+
+    def window(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        first, last = ((_list_at(batch, f"{side}codes", row), _list_at(batch, f"{side}scores", row)) for side in ("", "next_"))
+        if step > h:
+            middle = _list_at(batch, "middle", row)
+            least = eps - first[1].max(initial=-np.inf) - 1e-9
+            last = joined((np.arange(sigma), middle), last, h, sigma, least)
+        return joined(first, last, step, sigma, eps)
+
+    return rows.mapInArrow(_in_turn(window), f"node {node}, position int, code long, score double")
+
+
+ENGINES: dict[str, Callable[..., DataFrame]] = {"hof": enumerate_hof, "join": enumerate_join, "numpy": enumerate_numpy, "sorted": enumerate_sorted, "chained": enumerate_chained}
 
 
 def enumerate_kmers(matrix: DataFrame, k: int, sigma: int, eps: float, engine: str = "numpy") -> DataFrame:

@@ -205,15 +205,37 @@ for _engine in kmers.ENGINES:
     ORACLE_SQL[f"j01_enumerate_k4_{_engine}"] = f"with {KM} select node, position, code, round(score, 6) as score from km"
 
 
-@query(
-    f"""with {PP}, four as (select a.node, a.site as position, cast(a.state * 64 + b.state * 16 + c.state * 4 + d.state as bigint) as code, a.lp + b.lp + c.lp + d.lp as s
-    from pp a join pp b on b.node = a.node and b.site = a.site + 1 join pp c on c.node = a.node and c.site = a.site + 2 join pp d on d.node = a.node and d.site = a.site + 3)
-select a.node, a.position, a.code * 256 + b.code as code, round(a.s + b.s, 6) as score from four a join four b on b.node = a.node and b.position = a.position + 4
-where a.s + b.s > 8 * log10(cast({OMEGA} as double) / 4)"""
-)
-def j01_enumerate_k8(spark, d):
-    rows = kmers.enumerate_numpy(derived.matrix(spark, d), 8, 4, scoring.log_threshold(OMEGA, 8, 4), every=True)
-    return rows.select("node", "position", "code", r6("score"))
+def long_sql(k: int, omega: float = OMEGA) -> str:
+    """CTEs ``km(node, position, code, score)`` at this k: halves are bounded by the best of the other before they are joined."""
+    h = k // 2
+
+    def half(name: str, n: int, begin: int, rest: str) -> str:
+        sites = [f"p{i}" for i in range(n)]
+        code, score = " + ".join(f"{s}.state * {4 ** (n - 1 - i)}" for i, s in enumerate(sites)), " + ".join(f"{s}.lp" for s in sites)
+        joins = " ".join(f"join pp {s} on {s}.node = w.node and {s}.site = w.position + {begin + i}" for i, s in enumerate(sites))
+        return f"{name} as materialized (select w.node, w.position, cast({code} as bigint) as code, {score} as s from w {joins} where {score} + w.{rest} > {k} * log10(cast({omega} as double) / 4) - 1e-9)"
+
+    at = lambda i: f"b{i}"
+    joins = " ".join(f"join best {at(i)} on {at(i)}.node = b0.node and {at(i)}.site = b0.site + {i}" for i in range(1, k))
+    first, last = (" + ".join(f"{at(i)}.best" for i in r) for r in (range(h), range(h, k)))
+    return f"""{BEST},
+w as materialized (select b0.node, b0.site as position, {first} as first_best, {last} as last_best from best b0 {joins}),
+{half("l", h, 0, "last_best")},
+{half("r", k - h, h, "first_best")},
+km as (select node, position, l.code * {4 ** (k - h)} + r.code as code, l.s + r.s as score from l join r using (node, position) where l.s + r.s > {k} * log10(cast({omega} as double) / 4))"""
+
+
+def _long(k: int, engine: str):
+    def run(spark, d):
+        rows = kmers.enumerate_kmers(derived.matrix(spark, d), k, 4, scoring.log_threshold(OMEGA, k, 4), engine)
+        return rows.select("node", "position", "code", r6("score"))
+
+    return run
+
+
+for _name, _k, _engine in (("j01_enumerate_k8", 8, "sorted"), ("j02_chained_k8", 8, "chained"), ("j02_chained_k5", 5, "chained")):
+    QUERIES[_name] = _long(_k, _engine)
+    ORACLE_SQL[_name] = f"with {long_sql(_k)} select node, position, code, round(score, 6) as score from km"
 
 
 @query(

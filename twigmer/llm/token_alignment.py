@@ -16,6 +16,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,8 @@ def encode_both(a: bpe.ByteEncoder, b: PieceEncoder, text: str | None) -> tuple[
         return none, none
     ids_a, ids_b = a.fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32), b.ids(text)
     want = b" " + text.encode()
-    same = all(b"".join(map(enc.bytes.__getitem__, ids.tolist())) == want for enc, ids in ((a, ids_a), (b, ids_b)))
+    # a byte-level vocabulary has every byte, so that only B may change a text
+    same = a.sizes[ids_a].sum() == len(want) and b"".join(map(b.bytes.__getitem__, ids_b.tolist())) == want
     return (ids_a, ids_b) if same else (none, none)
 
 
@@ -73,7 +75,7 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     """How many tokens of each side come before the end of each group, given the byte places where tokens end."""
     index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1), strict=True))
     index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1), strict=True))
-    common = sorted(index_a.keys() & index_b.keys())
+    common = list(filter(index_b.__contains__, index_a))  # ascending, as the keys of a dictionary keep the order they came in
     return tuple(np.fromiter(map(index.__getitem__, common), np.int32, len(common)) for index in (index_a, index_b))
 
 
@@ -148,12 +150,15 @@ def _blocks(aligned: DataFrame, vocabulary: str, model: str) -> DataFrame:
 
         a, b = encoders(vocabulary, model)
         decimal = list(map(str, range(max(len(a.bytes), len(b.bytes)))))
+        barred = [d + "|" for d in decimal]
         block, held, pairs, n_pairs = TaskContext.get().partitionId() << 32, [], [], 0
 
-        def digest(x: list[int], y: list[int], i: list[int], j: list[int]) -> str:
-            x, y = list(map(decimal.__getitem__, x)), list(map(decimal.__getitem__, y))
-            spans = zip(pairwise([0, *i]), pairwise([0, *j]), strict=True)
-            groups = [x[p] + "|" + y[r] if q - p == 1 == s - r else ",".join(x[p:q]) + "|" + ",".join(y[r:s]) for (p, q), (r, s) in spans]
+        def digest(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
+            p, r = np.r_[0, i[:-1]], np.r_[0, j[:-1]]
+            groups = list(map(add, map(barred.__getitem__, x[p].tolist()), map(decimal.__getitem__, y[r].tolist())))
+            joined = lambda ids: ",".join(map(decimal.__getitem__, ids.tolist()))
+            for g in np.nonzero((i - p > 1) | (j - r > 1))[0].tolist():
+                groups[g] = joined(x[p[g] : i[g]]) + "|" + joined(y[r[g] : j[g]])
             return hashlib.sha256(";".join(groups).encode()).hexdigest()
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -182,7 +187,7 @@ def _blocks(aligned: DataFrame, vocabulary: str, model: str) -> DataFrame:
                 if n_pairs and n_pairs + len(own) > BLOCK_PAIRS:
                     yield from done()
                     block, held, pairs, n_pairs = block + 1, [], [], 0
-                sha = digest(x.tolist(), y.tolist(), i.tolist(), j.tolist()) if len(x) else ""
+                sha = digest(x, y, i, j) if len(x) else ""
                 held.append((doc_id, len(x), len(y), len(i), len(left), sha, times))
                 pairs.append(own)
                 n_pairs += len(own)

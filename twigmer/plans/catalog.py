@@ -11,8 +11,9 @@ from twigmer.operators import compare, database, kmers
 from twigmer.operators import tree as tr
 from twigmer.plans import derived
 from twigmer.plans.derived import K, OMEGA, OMEGA_B
+from twigmer.sources import ar_blocks
 from twigmer.sources import text_formats as tf
-from twigmer.sources.shared import shared_folder
+from twigmer.sources.shared import new_path
 
 EPS, EPS_B = scoring.log_threshold(OMEGA, K, 4), scoring.log_threshold(OMEGA_B, K, 4)
 THRESHOLD = scoring.score_threshold(OMEGA, K, 4)
@@ -41,13 +42,6 @@ def r6(column, name: str | None = None):
     return F.round(c, 6).alias(name or column)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    import uuid
-
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 # ---- pieces of DuckDB SQL
 
 PP = """cnt as (select l_suppkey as node, cast(l_partkey % 24 as int) as site, cast((l_orderkey + l_linenumber * l_linenumber) % 4 as int) as state, count(*) as c
@@ -407,7 +401,7 @@ def k02_phylip_lines(spark, d):
 
 @query(f"with {AL} select header, seq from al")
 def s01_fasta(spark, d):
-    path = scratch(spark)
+    path = new_path(spark)
     al.fasta_lines(derived.alignment(spark, d)).write.text(path)
     return tf.read_fasta(spark, path).select("header", "seq")
 
@@ -516,19 +510,39 @@ def s02_newick(spark, d):
     return tf.read_newick(trees).select("tree_id", "label", r6("branch_length"), "postorder", "is_leaf")
 
 
-@query(f"with {PP} select node, site, state, round(lp, 6) as logp from pp")
-def s03_ar_probs(spark, d):
-    path = scratch(spark)
+def written_probabilities(spark: SparkSession, d: str) -> str:
+    """The path of the matrix as a reconstruction's table, a node's lines together."""
+    path = new_path(spark)
     wide = derived.cells(spark, d).groupBy("node", "site").pivot("state", [0, 1, 2, 3]).agg(F.first("p"))
     rows = wide.select(F.col("node").alias("Node"), F.col("site").alias("Site"), F.lit("-").alias("State"), *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"p_{c}") for i, c in enumerate(scoring.DNA)])
-    rows.write.csv(path, sep="\t", header=True)
-    back = tf.read_ar_table(spark, path).select(F.col("node").cast("long").alias("node"), "site", F.posexplode("logp").alias("state", "logp"))
+    rows.repartitionByRange("Node").sortWithinPartitions("Node", "Site").write.csv(path, sep="\t", header=True)
+    return path
+
+
+def by_state(matrix: DataFrame) -> DataFrame:
+    back = matrix.select(F.col("node").cast("long").alias("node"), "site", F.posexplode("logp").alias("state", "logp"))
     return back.where(F.col("logp") > float("-inf")).select("node", "site", "state", r6("logp"))
 
 
+@query(f"with {PP} select node, site, state, round(lp, 6) as logp from pp")
+def s03_ar_probs(spark, d):
+    return by_state(tf.read_ar_table(spark, written_probabilities(spark, d)))
+
+
+@query(f"with {PP} select node, site, state, round(lp, 6) as logp from pp where node in (select min(s_suppkey) from supplier union all select max(s_suppkey) from supplier)")
+def s03_ar_blocks(spark, d):
+    ends = derived.table(spark, d, "supplier").agg(F.min("s_suppkey").cast("string"), F.max("s_suppkey").cast("string")).first()
+    return by_state(ar_blocks.read_blocks(spark, written_probabilities(spark, d)).where(F.col("node").isin(*ends)))
+
+
+@query(f"with {PP} select node, site, state, round(lp, 6) as logp from pp")
+def s03_ar_all_blocks(spark, d):
+    return by_state(ar_blocks.read_blocks(spark, written_probabilities(spark, d)))
+
+
 @query(f"with {DB} select {LETTERS} as kmer, branch, round(pow(10.0, score), 6) as score from db")
 def s12_plain_text(spark, d):
-    path = scratch(spark)
+    path = new_path(spark)
     text = best(spark, d).select(scoring.decode(F.col("code"), K, scoring.DNA).alias("kmer"), "branch", scoring.linear(F.col("score")).alias("score"))
     compare.dump_text(text).write.text(path)
     return tf.read_dump(spark, path).select("kmer", "branch", r6("score"))
@@ -539,7 +553,7 @@ def s12_plain_text(spark, d):
     (select count(distinct code) from db) as num_kmers, (select count(*) from db) as num_entries from db join fv using (code)"""
 )
 def s09_db_roundtrip(spark, d):
-    path = scratch(spark)
+    path = new_path(spark)
     b = best(spark, d)
     database.write_database(path, b, database.mif0(b, THRESHOLD, N_NODES), database.counts(b))
     rows, header = database.read_database(spark, path)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twigmer.functions.scoring import ALPHABETS, AMINO_FILE_ORDER, DNA, log_probability
@@ -15,9 +18,14 @@ NODE_SCHEMA = "tree_id string, label string, parent_pos long, branch_length doub
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``(seq_idx, header, seq)``; gaps stay, lines of a sequence are joined. Order is that of files and places in them."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    parts = F.split("value", "\n", 2)
+    """``(seq_idx, header, seq)``; gaps stay, lines of a sequence are joined. Order is that of files and places in them.
+
+    A record begins with a ``>`` at the start of a line; another one inside the header is part of it, those that open it
+    aren't. Files are split between records; each has to begin with one.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.btrim("value", F.lit(" \t\r\n>")) != "")
+    # only a file's first record still has its sign
+    parts = F.split(F.regexp_replace("value", r"^\s*>+", ""), "\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s", "")
     return raw.select(F.monotonically_increasing_id().alias("seq_idx"), F.regexp_replace(parts[0], "\r$", "").alias("header"), seq.alias("seq"))
 
@@ -134,17 +142,44 @@ def read_phyml(*_: object) -> DataFrame:
 READERS = {"raxml-ng": read_ar_table, "phyml": read_phyml}
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of splits -> entries, each with the last k-mer named before it in its split (null where there is none)."""
+    split, last = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        splits, lines = batch.column("split").to_numpy(), pc.utf8_trim_whitespace(batch.column("value"))
+        is_entry = pc.match_substring(lines, "\t").to_numpy(zero_copy_only=False)
+        place = np.arange(batch.num_rows)
+        begins = np.maximum.accumulate(np.where(np.r_[splits[0] != split, np.diff(splits) != 0], place, -1))
+        names = np.maximum.accumulate(np.where(is_entry, -1, place))
+        own = names >= np.maximum(begins, 0)  # else the name stands in an earlier batch, or in an earlier split
+        kmers = pc.if_else(pa.array(own), lines.take(pa.array(np.maximum(names, 0))), pc.if_else(pa.array(begins < 0), pa.scalar(last, pa.string()), pa.scalar(None, pa.string())))
+        split, last = splits[-1], kmers[-1].as_py()
+        entries = pa.array(is_entry)
+        parts = pc.split_pattern(lines.filter(entries), "\t", max_splits=1)
+        score, branch = (pc.utf8_trim_whitespace(pc.list_element(parts, i)) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("split").filter(entries), kmers.filter(entries), branch.cast(pa.int32()), score.cast(pa.float64())], ["split", "kmer", "branch", "score"])
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``(kmer, branch, score)`` of dump text: a line without a tab names the k-mer of the lines after it.
+    """``(kmer, branch, score)`` of dump text: a line without a tab names the k-mer of the lines after it, whatever split of the file they are in.
 
-    Every k-mer with its lines is a block; files are cut into blocks before lines.
+    Splits are read in parallel and filled forward inside. What a split's first lines belong to comes from the last
+    name in each split, one row a split, carried along the file. Lines before a file's first name have no k-mer (null);
+    names carry from no file to another. An entry that isn't a score, a tab and a branch raises.
     """
-    files = spark.read.text(path, wholetext=True)
-    blocks = files.select(F.explode(F.split(F.col("value"), r"\n(?=[^\t\n])")).alias("block"))
-    lines = blocks.select(F.split("block", "\n").alias("lines"))
-    rows = lines.select(F.trim(F.col("lines")[0]).alias("kmer"), F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line"))
-    parts = F.split(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")), "\t")
-    return rows.where(F.size(parts) == 2).select("kmer", parts[1].cast("int").alias("branch"), parts[0].cast("double").alias("score"))
+    at = ["file", "begin"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("row"))
+    blank = F.lit(" \t\r\n\x0b\x0c")
+    name = F.btrim("value", blank)
+    named = F.when(~F.contains(name, F.lit("\t")), F.col("row"))
+    ends = lines.groupBy(*at).agg(F.max_by(name, named).alias("last"))
+    before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    split = F.xxhash64(*at)
+    carried = ends.select(split.alias("split"), F.last("last", ignorenulls=True).over(before).alias("carried"))
+    rows = lines.select(split.alias("split"), "value").mapInArrow(_filled, "split long, kmer string, branch int, score double")
+    return rows.join(carried, "split", "left").select(F.coalesce("kmer", "carried").alias("kmer"), "branch", "score")
 
 
 def read_config(path: str) -> list[str]:

@@ -36,6 +36,8 @@ SCORES = {
 }
 ADDED_AT_LEAST = 0.5
 CONTEXT_CHARS = 40
+#: Texts are cut into blocks of this many characters where places in them are looked up.
+BLOCK_CHARS = 1024
 # Lengths of IBANs by country, as registered.
 IBAN_LENGTHS = (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
@@ -46,9 +48,9 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def running_sums(values: Column) -> Column:
-    """For each place of an int array, the sum of what stands before it; square-root blocks keep it near linear."""
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+def _running(values: Column, zero: int, op) -> Column:
+    """For each place of an int array, ``op`` over all that stands before it; square-root blocks keep it near linear."""
+    total = lambda x: F.aggregate(x, F.lit(zero), op)
 
     def of(v: Column, width: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: total(F.slice(v, b * width + 1, width)))
@@ -56,12 +58,32 @@ def running_sums(values: Column) -> Column:
 
     def before(v: Column, made: Column, width: Column, i: Column) -> Column:
         whole = F.floor(i / width).cast("int")
-        return total(F.slice(made, F.lit(1), whole)) + total(F.slice(v, whole * width + 1, i % width))
+        return op(total(F.slice(made, F.lit(1), whole)), total(F.slice(v, whole * width + 1, i % width)))
 
     some = let(values, lambda v: let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: of(v, width)))
     return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<int>"))
 
 
+def running_sums(values: Column) -> Column:
+    return _running(values, 0, lambda a, b: a + b)
+
+
+def in_blocks(text: Column) -> Column:
+    """A text in pieces of BLOCK_CHARS, so that a place far into it is reached without walking through it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def part_of(blocks: Column, begin: Column, end: Column) -> Column:
+    """The characters ``[begin, end)`` of a text in blocks; nothing behind its end."""
+    width = F.lit(BLOCK_CHARS)
+    at = lambda place: F.floor(place / width).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    same = F.substring(block(at(begin)), begin % width + 1, end - begin)
+    first, last = F.substring(block(at(begin)), begin % width + 1, width), F.substring(block(at(end)), F.lit(1), end % width)
+    between = F.slice(blocks, at(begin) + 2, F.greatest(at(end) - at(begin) - 1, F.lit(0)))
+    return F.when(at(begin) == at(end), same).otherwise(F.concat(first, F.array_join(between, ""), last))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -123,13 +145,12 @@ def _proposed(text: Column, kind: str) -> Column:
     return F.when(may & text.rlike(PATTERNS[kind]), let(found, lambda f: let(gaps, lambda g: placed(f, g))))
 
 
-def _scored(text: Column, kind: str, spans: Column) -> Column:
+def _scored(blocks: Column, kind: str, spans: Column) -> Column:
     base, more, words = SCORES[kind]
 
     def one(s: Column) -> Column:
         start, end = s["start"], s["start"] + F.length(s["value"])
-        left = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        near = F.concat_ws(" ", F.substring(text, left + 1, start - left), F.substring(text, end + 1, F.lit(CONTEXT_CHARS)))
+        near = F.concat_ws(" ", part_of(blocks, F.greatest(start - CONTEXT_CHARS, F.lit(0)), start), part_of(blocks, end, end + CONTEXT_CHARS))
         score = F.when(F.lower(near).rlike(words), F.lit(base + more)).otherwise(F.lit(base))
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), s["value"].alias("value"), score.alias("score"))
 
@@ -153,8 +174,9 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     wide, own = docs, dict(zip(PATTERNS, unused(docs, *PATTERNS), strict=True))
     for kind, name in own.items():
         wide = wide.withColumn(name, _proposed(t, kind))
-    parts = [F.when(F.col(name).isNotNull(), _scored(t, kind, F.col(name))).otherwise(none) for kind, name in own.items()]
-    return wide.withColumn(out, F.concat(*parts)).drop(*own.values())
+    some = F.coalesce(*[F.col(name) for name in own.values()]).isNotNull()
+    parts = lambda blocks: F.concat(*[F.when(F.col(name).isNotNull(), _scored(blocks, kind, F.col(name))).otherwise(none) for kind, name in own.items()])
+    return wide.withColumn(out, F.when(some, let(in_blocks(t), parts)).otherwise(none)).drop(*own.values())
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
@@ -164,18 +186,19 @@ def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame
     rows and empty tables; very long texts are rewritten whole.
     """
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
-    step = lambda a, s: (
-        F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                F.concat(a["done"], F.substring(quoted(text), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("done"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(a["done"].alias("done"), F.greatest(a["at"], s["end"]).alias("at")))
-    )
-    zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    finish = lambda a: F.concat(a["done"], F.substring(quoted(text), a["at"] + 1, F.length(quoted(text))))
-    new = F.aggregate(F.array_sort(F.col(spans), order), zero, step, finish)
+    one = lambda s, covered: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), covered.alias("covered"))
+
+    def rewritten(blocks: Column, found: Column) -> Column:
+        ends = F.transform(found, lambda s: s["end"])
+        placed = F.zip_with(found, _running(ends, 0, lambda a, b: F.greatest(a, b)), one)
+        # a span that begins before an earlier one has ended is part of that one's replacement
+        kept = F.filter(placed, lambda s: s["start"] >= s["covered"])
+        pieces = F.transform(kept, lambda s: F.concat(part_of(blocks, s["covered"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        end = F.array_max(ends)
+        rest = part_of(blocks, end, F.greatest(end, F.size(blocks) * BLOCK_CHARS))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    new = let(in_blocks(quoted(text)), lambda blocks: let(F.array_sort(F.col(spans), order), lambda found: rewritten(blocks, found)))
     return docs.withColumn(text, F.when(F.size(F.col(spans)) > 0, new).otherwise(quoted(text)))
 
 

@@ -144,7 +144,7 @@ def _toxic(rng, n=400):
 def test_toxicity_of_held_out_texts_and_unseen_misspellings():
     texts, labels = _toxic(random.Random(4))
     model = toxicity.train(texts, labels)
-    score = lambda t: toxicity._logistic(model.slope * toxicity.worst_passage(toxicity.word_scores(toxicity.split(t), model.weights) if t.split() else np.zeros(0))[0] + model.offset)
+    score = lambda t: toxicity._logistic(toxicity.worst_passage(toxicity.word_scores(toxicity.split(t), model.weights) if t.split() else np.zeros(0))[0] + model.bias)
     fresh, truth = _toxic(random.Random(5), 200)
     assert np.mean([(score(t) >= 0.5) == bool(y) for t, y in zip(fresh, truth, strict=True)]) > 0.97
     clean = "thash erend ingble onnly atier thash erest ingnd"
@@ -485,3 +485,56 @@ def test_many_spans_in_a_long_text_stay_linear(spark):
     assert found[1].text == re.sub(r"u\d+@mail\.example\.org", "<EMAIL>", text)
     assert found[2].text == "call <PHONE> now " + "é" * 5000 + " <EMAIL>" and found[3].text == ""
     assert took < 30
+
+
+def naive_toxicity(text, model):
+    """The softmax's probability of the worst passage, n-gram by n-gram."""
+
+    def places(word):
+        raw = b"<" + word.encode() + b">"
+        grams = [zlib.crc32(raw)]
+        for n in toxicity.NGRAMS:
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for k, byte in enumerate(raw[i : i + n]):
+                    h = (h * 0x01000193 + byte + k + 1) % (1 << 32)
+                grams.append(h)
+        return [g * 2654435761 % (1 << 32) >> (32 - toxicity.BUCKET_BITS) for g in grams]
+
+    values = []
+    for word in (text or "").lower().split():
+        own = places(word.strip(toxicity._EDGES) or word)
+        value = sum(model.weights[p] for p in own) / len(own)
+        if not values or abs(values[-1] - value) > 0:  # a word that follows itself counts once
+            values.append(value)
+    n = min(len(values), toxicity.PASSAGE_WORDS)
+    worst = max((sum(values[i : i + n]) / toxicity.PASSAGE_WORDS for i in range(len(values) - n + 1)), default=0.0) if values else 0.0
+    logits = np.array([0.0, worst + model.bias])
+    return float(np.exp(logits[1]) / np.exp(logits).sum())
+
+
+def test_toxicity_scores_equal_naive_recomputation(spark, docs):
+    model = toxicity.train(*_toxic(random.Random(4)))
+    fresh = spark.createDataFrame([(3000 + i, t) for i, t in enumerate(_toxic(random.Random(5), 80)[0])], "doc_id long, text string")
+    got = toxicity.score(docs.select("doc_id", "text").unionByName(fresh), model).collect()
+    assert len({round(r.score, 6) for r in got}) > 50
+    assert all(abs(r.score - naive_toxicity(r.text, model)) < 1e-9 for r in got)
+
+
+def test_long_texts_are_learnt_from(spark):
+    """A class whose texts are all long: no text is left out of the sample for its length."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    rows, labels = [], []
+    for i in range(240):
+        words = prose(6000 if i % 2 else 60)
+        if i % 2:
+            for _ in range(40):
+                words.insert(rng.randrange(len(words)), "scumbag idiot moron")
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    assert min(len(t) for i, t in rows if i % 2) > toxicity.PIECE_CHARS
+    docs, labels = spark.createDataFrame([*rows, (7, "zzz"), (7, "zzz")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity_report(docs, labels).where("doc_id <> 7").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) > 0.95 * len(got)

@@ -3,9 +3,10 @@
 A word is the average of the vectors of its character n-grams and of itself, all hashed into one
 table, so that unseen misspellings share most of their vectors with the words they stand for. A
 passage of a few words is the average of its words; a softmax over it tells toxic from clean, and a
-text is as toxic as its worst passage. Training alternates between choosing each text's passages and
-gradient steps on table and softmax together. Being linear, the trained model is one number for each
-place of the table, which is what tasks get.
+text's score is the softmax's probability for its worst passage. Training alternates between choosing
+each text's passages and gradient steps on table and softmax together; texts held back for it then set
+the softmax's temperature and bias. Being linear, the trained model is one number for each place of the
+table (the difference of its two logits) and that bias, which is what tasks get.
 """
 
 from __future__ import annotations
@@ -26,18 +27,17 @@ NGRAMS = (3, 4, 5)
 PASSAGE_WORDS = 8
 #: N-grams of fewer training texts have no vector.
 LEAST_TEXTS = 4
-#: Bounds of the training sample: labelled rows of each class, by the hash of their ids, and the length of
-#: texts to learn from. Scoring has none: all rows and whole texts are scored.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 4000, 20_000
+#: Bounds of the training sample: labelled rows of each class, by the hash of their ids, and as many pieces of
+#: PIECE_CHARS of their texts. Texts of any length are drawn; longer ones have more pieces. Scoring has no bound.
+MOST_TOXIC, MOST_CLEAN, PIECE_CHARS = 2000, 4000, 20_000
 FOLDS = 5
 _EDGES = ".,;:!?\"'()[]{}<>|*#%&$-_/\\+=~^`@…“”„«»’"
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of each place of the table
-    slope: float
-    offset: float
+    weights: np.ndarray  # the difference of the softmax's logits for each place of the table, by its temperature
+    bias: float
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +88,11 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, seed: int = 7) -> Model:
-    """Fit on labelled texts. A fifth of them only sets slope and offset of the final score."""
+    """Fit on labelled texts. A fifth of them only sets the softmax's temperature and bias."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:  # nothing to tell apart: the score is the one label there is
-        return Model(np.zeros(1 << BUCKET_BITS), 1.0, 0.0 if not labels else (9.0 if labels[0] else -9.0))
+        return Model(np.zeros(1 << BUCKET_BITS), 0.0 if not labels else (9.0 if labels[0] else -9.0))
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w.strip(_EDGES) or w, len(vocab)) for w in split(t)], dtype=np.int64) for t in texts]
     docs = [d[np.concatenate([[True], d[1:] != d[:-1]])] if len(d) else d for d in docs]
@@ -172,11 +172,12 @@ def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, s
     scores = scores_of(weights)
     own = held if held.any() else np.ones(len(docs), bool)
     x = np.array([worst_passage(scores[d])[0] for d, h in zip(docs, own, strict=True) if h])
-    return Model(weights, *_calibrate(x, y[own]))
+    temperature, bias = _calibrate(x, y[own])
+    return Model(weights * temperature, bias)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through worst-passage scores, by damped Newton steps."""
+    """The (inverse) temperature and the bias that make the softmax fit the labels of held-back texts best, by damped Newton steps."""
     spread = float(x.std()) or 1.0
     z, w = (x - x.mean()) / spread, np.zeros(2)
     design = np.stack([z, np.ones_like(z)], axis=1)
@@ -191,15 +192,24 @@ def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, fl
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of labelled documents whose crc32(doc_id as text) mod 5 isn't 0.
 
-    Of documents that repeat an id, the least text is taken; null texts count as empty."""
+    Of documents that repeat an id, the least text is taken; null texts count as empty. Texts are drawn whatever their
+    length, in pieces; of the pieces, as many of each class as rows are taken by their hash, so that a very long text
+    has part in the sample without making it longer. The pieces of a text are one text to learn from.
+    """
     train_rows = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = train_rows.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(train_rows.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
-    short = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= MOST_CHARS)
-    picked = short.join(F.broadcast(sample.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = picked.collect()  # 6 000 rows of 20 000 characters at most, one for each label
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text or "" for r in rows], [int(r.toxic) for r in rows])
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    cut = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0)))
+    pieces = picked.select("doc_id", "toxic", F.posexplode(cut).alias("at", "piece"))
+    drawn = [F.xxhash64("doc_id", "at"), "doc_id", "at"]
+    rows = pieces.where("toxic = 1").orderBy(*drawn).limit(MOST_TOXIC).unionByName(pieces.where("toxic = 0").orderBy(*drawn).limit(MOST_CLEAN)).collect()  # 6 000 pieces of 20 000 characters at most
+    texts: dict = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.at)):
+        texts.setdefault((r.doc_id, r.toxic), []).append(r.piece)
+    order_of = sorted(texts, key=lambda k: (k[0], texts[k], k[1]))
+    return train(["\n".join(texts[k]) for k in order_of], [int(k[1]) for k in order_of])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", words_kept: int = 400_000) -> DataFrame:
@@ -225,7 +235,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
                     own = new[i : i + 20_000]
                     known.update(zip(own, word_scores([w.strip(_EDGES) or w for w in own], m.weights).tolist(), strict=True))
                 worst = np.array([worst_passage(np.fromiter(map(known.__getitem__, p), np.float64, len(p)))[0] for p in part])
-                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(at, 256), texts.slice(at, 256), pa.array(_logistic(m.slope * worst + m.offset))], ["rest", "text", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(at, 256), texts.slice(at, 256), pa.array(_logistic(worst + m.bias))], ["rest", "text", "score"])
 
     from pyspark.sql import types as T
 

@@ -56,8 +56,12 @@ def shared_characters(rows, min_words):
     return out
 
 
-def check_paragraphs(spark, rows, min_words):
-    got = [r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), min_words=min_words).collect()]
+def check_paragraphs(spark, rows, min_words, min_line_words=5):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in paragraphs.repeated_paragraphs(frame, min_words=min_words, min_line_words=min_line_words).collect()]
+    long = {r.doc_id for r in got if r.n_words >= min_words}
+    ids = [d for d, _ in rows]
+    assert all(r.long_repeat == (r.doc_id in long) for r in got if ids.count(r.doc_id) == 1)
     # runs of words, by their characters
     want = {}
     for (doc, text), own in zip(rows, shared_characters(rows, min_words), strict=True):
@@ -85,7 +89,7 @@ def check_paragraphs(spark, rows, min_words):
     for doc, text in rows:
         at = 0
         for n, line in enumerate((text or "").split("\n")):
-            if len(words_of(line)) >= min_words:
+            if len(words_of(line)) >= min_line_words:
                 name = tuple(words_of(line))
                 places.append((name, doc, n, at, len(line), text))
                 sets[name] = shingles(name)
@@ -114,13 +118,17 @@ def test_paragraphs_of_odd_rows(spark, docs, monkeypatch):
     rows += [(500 + k, "\n".join(["head " * 12 + str(k), " ".join([*base[: (p := rng.randrange(60))], f"v{k}", *base[p + 1 :]])])) for k in range(120)]
     rows += [(1500, rows[-1][1]), (1501, "One two three four five six seven eight nine ten " * 2), (1502, "zero\none Two three four five six seven eight nine ten " + "one two three four five six seven eight nine ten")]
     rows += [(1503, "many " * 4000 + " ".join(base)), (1504, "long " * 30000 + " ".join(base) + " z" * 30000)]
-    got = check_paragraphs(spark, rows, 20)
+    rows += [(1600 + k, t) for k, t in enumerate(["a b a b a b a b a b", "a b a b a b", "b a b a b a", "x\na b c d e f\ny", "a b c d e f g h", "a b c d e f g h i", "five words are one shingle", "zz\nFive words are one shingle"])]
+    got = check_paragraphs(spark, rows, 20, 20)
+    assert check_paragraphs(spark, rows, 20) != got
     assert {1501, 1502, 1503, 1504} <= {r.doc_id for r in got}
     assert check_paragraphs(spark, rows[:-2], 51)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert paragraphs.repeated_paragraphs(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         paragraphs.repeated_paragraphs(frame, min_words=5)
+    with pytest.raises(ValueError):
+        paragraphs.repeated_paragraphs(frame, min_line_words=4)
 
 
 def test_passages_of_51_words_are_found_wherever_they_stand(spark):

@@ -1,10 +1,11 @@
 """Repeated paragraphs across documents: MinHash banding, exact verification, components.
 
-Paragraphs are of two kinds, both of ``min_words`` words or more (51 by default).
+Paragraphs are of two kinds.
 
-* Lines. Their sets of 5-word shingles are MinHashed in bands; lines that share a band are verified by exact
-  Jaccard similarity and clustered by components. Equal lines are one node from the start.
-* All runs of ``min_words`` consecutive words, across line ends. The MinHash of such a run over its 16-word
+* Lines of ``min_line_words`` words or more (5, a shingle). Their sets of 5-word shingles are MinHashed in bands;
+  lines that share a band are verified by exact Jaccard similarity and clustered by components. Equal lines are one
+  node from the start. A set of up to 3 shingles is only similar to itself, and has one band of all of it.
+* All runs of ``min_words`` (51) consecutive words, across line ends. The MinHash of such a run over its 16-word
   shingles is its band, so that equal runs always collide. Neighbouring runs share their minimum: a text
   names each minimum once, some 18 words apart. Around minima that two texts share, all runs are
   compared by 128-bit digests and joined into maximal passages, so that a passage is found to the word
@@ -25,12 +26,16 @@ from ._shared import connected_components, quoted, stored
 from .links import bucket_links, jaccard, members_of
 
 SHINGLE_WORDS, SIMILAR = 5, 0.8
-#: The least length of a paragraph or passage; any value from SEED_WORDS on is exact.
+#: The least length of a passage; any value from SEED_WORDS on is exact.
 MIN_WORDS = 51
+#: The least length of a line; any value from SHINGLE_WORDS on is exact.
+MIN_LINE_WORDS = SHINGLE_WORDS
 #: Shingles by which runs of MIN_WORDS words are MinHashed.
 SEED_WORDS = 16
-#: 1 - (1 - 0.8^4)^11: 99.7 % of pairs at the threshold share a band.
-BANDS, ROWS = 11, 4
+#: 1 - (1 - 0.8^3)^8: 99.7 % of pairs at the threshold share a band.
+BANDS, ROWS = 8, 3
+#: Two sets of this many elements at most are similar only if they are equal.
+ALONE = 3
 _rng = np.random.default_rng(20)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN, _FLIP = _odd(BANDS * ROWS), _odd(BANDS * ROWS)
@@ -122,7 +127,7 @@ _SCAN = "text_key binary, n_words long, seed long, places array<int>, line binar
 _GROUP = 256
 
 
-def _scan(texts: DataFrame, min_words: int) -> DataFrame:
+def _scan(texts: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     """Three sorts of rows of each text ``(text_key, text)``: its length in words, its seeds with their places, its long lines with their bands."""
     names = [x.split()[0] for x in _SCAN.split(", ")]
     kinds = {"text_key": pa.binary(), "n_words": pa.int64(), "seed": pa.int64(), "places": pa.list_(pa.int32()), "line": pa.binary(), "number": pa.int32(), "start": pa.int64(), "n_chars": pa.int64(), "bands": pa.list_(pa.int64())}
@@ -139,15 +144,15 @@ def _scan(texts: DataFrame, min_words: int) -> DataFrame:
                 part = batch.slice(at, _GROUP)
                 new = {k: t for k, t in zip(part.column("text_key").to_pylist(), part.column("text").to_pylist(), strict=True) if k not in seen}
                 seen.update(new)
-                split = {k: w for k, t in new.items() if len(w := words_of(t)) >= min_words}
+                split = {k: w for k, t in new.items() if len(w := words_of(t)) >= min(min_words, min_line_words)}
                 if not split:
                     continue
                 hashes = word_hashes([w for words in split.values() for w in words])
                 by_seed, by_shingle = run_hashes(hashes, SEED_WORDS), run_hashes(hashes, SHINGLE_WORDS)
                 base, places, lines, shingles = 0, [], [], []
                 for key, words in split.items():
-                    places.append(minima(by_seed[base : base + len(words) - SEED_WORDS + 1], min_words - SEED_WORDS + 1))
-                    for number, start, n_chars, first, n in lines_of(new[key], min_words):
+                    places.append(minima(by_seed[base : max(base, base + len(words) - SEED_WORDS + 1)], min_words - SEED_WORDS + 1))
+                    for number, start, n_chars, first, n in lines_of(new[key], min_line_words):
                         lines.append((key, n, xxhash.xxh3_128_digest(b" ".join(words[first : first + n])), number, start, n_chars))
                         shingles.append(by_shingle[base + first : base + first + n - SHINGLE_WORDS + 1])
                     base += len(words)
@@ -163,9 +168,14 @@ def _scan(texts: DataFrame, min_words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.r_[heads, len(seeds)].astype(np.int32), places.astype(np.int32))
                 yield batch_of(len(heads), text_key=keys.take(pa.array(own[heads])), seed=pa.array(seeds[heads]), places=lists)
                 if lines:
-                    bands = band_keys(np.concatenate(shingles), np.r_[0, np.cumsum([len(s) for s in shingles])]).ravel()
+                    bands = band_keys(np.concatenate(shingles), np.r_[0, np.cumsum([len(s) for s in shingles])])
+                    alone = [i for i, s in enumerate(shingles) if len(set(s[: 2 * ALONE].tolist())) <= ALONE and len(np.unique(s)) <= ALONE]
+                    kept = np.ones(bands.shape, bool)
+                    for i in alone:  # equal sets have all bands in common, so that a mix of them names the set
+                        kept[i, 1:], bands[i, 0] = False, np.bitwise_xor.reduce(bands[i]) ^ np.int64(BANDS)
+                    ends = np.r_[0, np.cumsum(kept.sum(axis=1))].astype(np.int32)
                     columns = {c: pa.array(v, kinds[c]) for c, v in zip(["text_key", "n_words", "line", "number", "start", "n_chars"], zip(*lines, strict=True), strict=True)}
-                    yield batch_of(len(lines), **columns, bands=pa.ListArray.from_arrays((np.arange(len(lines) + 1) * BANDS).astype(np.int32), bands))
+                    yield batch_of(len(lines), **columns, bands=pa.ListArray.from_arrays(ends, bands[kept]))
 
     return texts.mapInArrow(run, _SCAN)
 
@@ -243,33 +253,35 @@ def _check_sets(sets: DataFrame):
     return lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").where(jaccard(F.col("set_a"), F.col("set_b")) >= SIMILAR).select("a", "b")
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The paragraphs of ``min_words`` words or more that two or more documents share.
+def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """The lines of ``min_line_words`` words or more, and the passages of ``min_words`` or more, that two or more documents share.
 
     One row for each place: ``doc_id``, ``kind``, ``number`` (of a line, from 0; else null), ``start, n_chars``
     (code points), ``n_words``, ``component`` (a name), ``component_id`` (its smallest doc_id), and ``removed``:
-    false in the first document (by doc_id, nulls first; of a line repeated there, for the first), true in others. Kinds:
+    false in the first document (by doc_id, nulls first; of a line repeated there, for the first), true in others; and
+    ``long_repeat``: whether the document has any shared passage, text or line of ``min_words`` or more. Kinds:
 
     * ``line``: whole lines, linked if equal or at Jaccard similarity 0.8 or more of 5-word shingles.
     * ``passage``: maximal runs of words that are equal to a run of the first document that has them,
       wherever they stand, across line ends too.
-    * ``text``: whole texts that are equal; a copy's passages shared with other texts are listed too.
+    * ``text``: whole texts of ``min_words`` or more that are equal; a copy's passages shared with other texts are listed too.
 
     Words are lower-cased (A-Z) and parted by ASCII blanks. Null, empty and short texts have no paragraph, an
-    empty table has no row. Rows of equal doc_id (or without any) and text are one document; repeated rows
-    repeat their places. Columns of other names are ignored. ``min_words`` below 16 raises.
+    empty table has no row; very long texts are searched whole. Rows of equal doc_id (or without any) and text are
+    one document; repeated rows repeat their places. Columns of other names are ignored. ``min_words`` below 16 and
+    ``min_line_words`` below 5 raise.
     """
-    if min_words < SEED_WORDS:
-        raise ValueError(f"min_words is {SEED_WORDS} at least")
+    if min_words < SEED_WORDS or min_line_words < SHINGLE_WORDS:
+        raise ValueError(f"min_words is {SEED_WORDS} at least, min_line_words {SHINGLE_WORDS}")
     t = F.coalesce(quoted(text), F.lit(""))
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     key = F.unhex(F.md5(t.cast("binary"))).alias("text_key")
     texts = docs.select(key, doc.alias("doc"), t.alias("text"))
     ids = docs.select("doc_id", key)
-    scan = stored(_scan(texts.select("text_key", "text"), min_words))
+    scan = stored(_scan(texts.select("text_key", "text"), min_words, min_line_words))
     lengths = scan.where("seed is null and line is null").select("text_key", "n_words").distinct()
     nodes = ids.groupBy("text_key").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).join(lengths, "text_key")
-    # texts of min_words words or more, numbered by their first document; written once, so that numbers stay
+    # texts that may have a line or passage, numbered by their first document; written once, so that numbers stay
     nodes = stored(nodes.orderBy("first", "text_key").withColumn("node", F.monotonically_increasing_id()))
 
     # lines of equal words are one node, which its first text stands for
@@ -295,12 +307,14 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
     found = _line_places(places, names, members, picked, nodes).select(*columns)
     found = found.unionByName(_passages(_runs(picked.drop("lines"), min_words), nodes, min_words).select(*columns))
     chars = docs.groupBy(key).agg(F.first(F.length(t)).cast("long").alias("n_chars"))
-    whole = nodes.where("first < last").join(chars, "text_key")
+    whole = nodes.where((F.col("first") < F.col("last")) & (F.col("n_words") >= min_words)).join(chars, "text_key")
     whole = whole.select("text_key", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(0).cast("long").alias("start"), "n_chars", "n_words", F.hex("text_key").alias("component"), F.col("first").alias("of"), F.lit(False).alias("removed"))
-    found = found.unionByName(whole.select(*columns))
+    found = stored(found.unionByName(whole.select(*columns)))
+    long = found.where(F.col("n_words") >= min_words).select("text_key").distinct().withColumn("long_repeat", F.lit(True))
+    found = found.join(long, "text_key", "left").withColumn("long_repeat", F.coalesce("long_repeat", F.lit(False)))
     of = F.when(F.col("of") != F.lit(-(1 << 63)), F.col("of"))
     rows = found.join(ids, "text_key").withColumn("removed", F.col("removed") | (doc != F.col("of")))
-    return rows.select("doc_id", "kind", "number", "start", "n_chars", "n_words", "component", of.alias("component_id"), "removed")
+    return rows.select("doc_id", "kind", "number", "start", "n_chars", "n_words", "component", of.alias("component_id"), "removed", "long_repeat")
 
 
 def _line_places(places: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:

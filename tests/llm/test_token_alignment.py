@@ -86,11 +86,14 @@ def fast_links(a, b):
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-@pytest.mark.parametrize("pairs", [1 << 21, 40])
-def test_alignment_of_odd_rows(spark, docs, libraries, monkeypatch, pairs):
+@pytest.mark.parametrize(("pairs", "parts"), [(1 << 21, 500_000), (40, 60)])
+def test_alignment_of_odd_rows(spark, docs, libraries, monkeypatch, pairs, parts):
     monkeypatch.setattr(ta, "BLOCK_PAIRS", pairs)
+    monkeypatch.setattr(ta, "PARTS", parts)  # what is remembered is forgotten often
+    monkeypatch.setattr(ta, "SLICE_CHARS", parts * 1000)
     rng = random.Random(8)
     odd = [*ODD, "▁ a ▁b", "<s> </s> <unk> <0x41> <pad>", "\u0000\u0001 x", "é ﬁ 　 Ａ", "\U0001f600\U0001f601 \U0001f1e9\U0001f1ea", "x" * 3000, "﻿bom", "a​b­c", "\r\n\r\n \t", " lead", "trail ", "�"]
+    odd += ["".join(rng.choice(["a", "b", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "'s", "1", "é", "\u0301", "日", ".", "\u200b"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
     odd += ["".join(rng.choice("ab é日.,'\n0<|_▁") for _ in range(rng.randint(1, 60))) for _ in range(150)]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")).repartition(3)
     rows = more.collect()

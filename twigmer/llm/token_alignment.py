@@ -1,9 +1,12 @@
 """Alignment of two tokenizers over the same bytes, and the statistics of linked ids over a corpus.
 
 Both encode each text; a dictionary for each leads from the byte places where tokens end to token numbers. The
-places that both dictionaries have, sorted, cut the two id lists into groups; links (pairs of tokens whose
+places that both dictionaries have, in order, cut the two id lists into groups; links (pairs of tokens whose
 bytes overlap) are expanded group by group.
 
+Neither tokenizer has a token that goes over from a visible character to a blank after it, nor do such tokens depend on
+each other (this is checked of the vocabularies); so texts are cut there, and what a part becomes is remembered.
+
 How many documents hold a pair of ids linked is counted in two steps. Documents are taken in blocks of bounded
 size; a block names each of its pairs once, with the number of its documents that hold it, and a document refers
 to the block's pairs by number. Only the blocks' pairs are shuffled by pair, so that a pair which every document
@@ -14,8 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 from operator import add
 
 import numpy as np
@@ -31,6 +35,9 @@ from ._shared import quoted, stored
 BLOCK_PAIRS = 1 << 21
 #: Characters of a batch of texts that are encoded and passed on at once.
 SLICE_CHARS = 1 << 20
+#: Parts of texts that a worker remembers, and their tokens.
+PARTS, PART_TOKENS = 500_000, 8_000_000
+_PARTS = re.compile(r"(?s)(?<=\S)(?= .)")  # a last blank alone would be lost, as the tokenizers add none to an empty text
 
 
 class PieceEncoder:
@@ -44,31 +51,83 @@ class PieceEncoder:
         self.bytes = [one(i, self.library.id_to_piece(i)) for i in range(self.library.get_piece_size())]
         self.sizes = np.array([len(x) for x in self.bytes])
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, num_threads=1), np.int32)
+    def by_parts(self) -> bool:
+        """Whether pieces have blanks only at their beginning and texts aren't normalised, so that words are encoded apart."""
+        proto = self.library.serialized_model_proto()
+        return b"\x0a\x08identity\x12\x00" in proto and not any("▁" in self.library.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes)))
+
+
+class Remembered:
+    """The tokens and groups of parts of texts: of each side one row of ids, and where those of a part begin."""
+
+    def __init__(self, a: bpe.ByteEncoder, b: PieceEncoder):
+        self.a, self.b, self.cut = a, b, b.by_parts()
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int32)
+        self.known: dict[str, int] = {}
+        # ids of A and B, and of each group how many ids of its part come before its end; then how many parts have of each
+        self.rows = [none, none, none, none]
+        self.sizes = [np.zeros(0, np.int64)] * 4
+        self.same = np.zeros(0, bool)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts under both; one that B doesn't keep has no tokens."""
+        right = self.b.library.encode(parts, num_threads=1)
+        left = [self.a.fast.encode_ordinary(" " + p) for p in parts]
+        piece = self.b.bytes.__getitem__
+        same = np.array([b"".join(map(piece, y)) == b" " + p.encode() for p, y in zip(parts, right, strict=True)], bool)
+        sides = [[x if ok else [] for x, ok in zip(side, same, strict=True)] for side in (left, right)]
+        ids = [np.fromiter(chain.from_iterable(side), np.int32) for side in sides]
+        sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in sides]
+        # one after another, all parts are one text, in which each part's end is common
+        ends = group_ends(*(np.cumsum(enc.sizes[x]) for enc, x in zip((self.a, self.b), ids, strict=True)))
+        bounds = [np.cumsum(n) for n in sizes]
+        upto = np.searchsorted(ends[0], bounds[0], side="right")
+        groups = np.diff(upto, prepend=0)
+        ends = [(e - np.repeat(bound - n, groups)).astype(np.int32) for e, bound, n in zip(ends, bounds, sizes, strict=True)]
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.rows = [np.concatenate(x) for x in zip(self.rows, [*ids, *ends], strict=True)]
+        self.sizes = [np.concatenate(x) for x in zip(self.sizes, [*sizes, groups, groups], strict=True)]
+        self.same = np.r_[self.same, same]
+
+    def align(self, texts: list[str | None]) -> list[pa.ListArray]:
+        """Ids of A and B and ends of groups on either side, a list for each text."""
+        cut = [(_PARTS.split(" " + t) if self.cut else [" " + t]) if t else [] for t in texts]
+        parts = [p[1:] for own in cut for p in own]
+        if len(self.known) > PARTS or len(self.rows[0]) > PART_TOKENS:
+            self.forget()
+        if fresh := list(set(parts).difference(self.known)):
+            self.learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        owner = np.repeat(np.arange(len(texts)), list(map(len, cut)))
+        lost = np.bincount(owner, ~self.same[at], len(texts)) > 0  # texts that B doesn't keep
+        at, owner = at[~lost[owner]], owner[~lost[owner]]
+        before = []  # ids of its text that come before a part
+        out = []
+        for side, (row, sizes) in enumerate(zip(self.rows, self.sizes, strict=True)):
+            n = sizes[at]
+            starts = (np.cumsum(sizes) - sizes)[at]
+            values = row[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            ends = np.r_[0, np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))]
+            if side < 2:
+                before.append(np.cumsum(n) - n - ends[owner])
+            else:
+                values = values + np.repeat(before[side - 2], n).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(ends.astype(np.int32), values.astype(np.int32)))
+        return out
 
 
-_pieces: dict[str, PieceEncoder] = {}
+_remembered: dict[tuple[str, str], Remembered] = {}
 
 
-def encoders(vocabulary: str, model: str) -> tuple[bpe.ByteEncoder, PieceEncoder]:
-    """Both encoders, once for each worker process."""
+def remembered(vocabulary: str, model: str) -> Remembered:
+    """One memory for each pair of tokenizers and worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if model not in _pieces:
-        _pieces[model] = PieceEncoder(model)
-    return bpe.encoder(vocabulary), _pieces[model]
-
-
-def encode_both(a: bpe.ByteEncoder, b: PieceEncoder, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a blank and the text under A, and of the text under B, which adds the blank; none where the bytes of either aren't those."""
-    none = np.zeros(0, np.int32)
-    if not text:
-        return none, none
-    ids_a, ids_b = a.fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32), b.ids(text)
-    want = b" " + text.encode()
-    # a byte-level vocabulary has every byte, so that only B may change a text
-    same = a.sizes[ids_a].sum() == len(want) and b"".join(map(b.bytes.__getitem__, ids_b.tolist())) == want
-    return (ids_a, ids_b) if same else (none, none)
+    if (vocabulary, model) not in _remembered:
+        _remembered[vocabulary, model] = Remembered(bpe.encoder(vocabulary), PieceEncoder(model))
+    return _remembered[vocabulary, model]
 
 
 def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +179,11 @@ def align(docs: DataFrame, vocabulary: str, model: str, text: str = "text", out:
     packed = docs.select(F.struct(*[quoted(c) for c in rest]).alias("rest") if rest else F.lit(None).cast("int").alias("rest"), quoted(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = encoders(vocabulary, model)
+        memory = remembered(vocabulary, model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in bpe._slices(texts, SLICE_CHARS):
-                ids = [encode_both(a, b, t) for t in texts[i:j]]
-                ends = [group_ends(np.cumsum(a.sizes[x]), np.cumsum(b.sizes[y])) for x, y in ids]
-                columns = [_lists([r[k] for r in rows]) for rows in (ids, ends) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), *columns], ["rest", "a", "b", "a_to", "b_to"])
+                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), *memory.align(texts[i:j])], ["rest", "a", "b", "a_to", "b_to"])
 
     ints = T.ArrayType(T.IntegerType())
     made = packed.mapInArrow(run, T.StructType([packed.schema["rest"], *[T.StructField(c, ints) for c in ("a", "b", "a_to", "b_to")]]))
@@ -148,7 +204,7 @@ def _blocks(aligned: DataFrame, vocabulary: str, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, b = encoders(vocabulary, model)
+        a, b = remembered(vocabulary, model).a, remembered(vocabulary, model).b
         decimal = list(map(str, range(max(len(a.bytes), len(b.bytes)))))
         barred = [d + "|" for d in decimal]
         block, held, pairs, n_pairs = TaskContext.get().partitionId() << 32, [], [], 0

@@ -82,6 +82,63 @@ def test_numpy_engine_passes_on_the_best_of_a_block(spark):
     assert [(r.code, r.position) for r in got] == [(0, 3)]
 
 
+def test_pairs_above_a_threshold_are_found_without_trying_others():
+    import numpy as np
+
+    from twigmer.operators.sum_threshold import threshold_pairs
+
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (5, 0), (1, 1), (40, 300), (300, 40)):
+        a, b = (np.round(rng.normal(-2, 1, x), 2) for x in (n, m))
+        for eps in (-9.0, -4.0, -1.5, 3.0):
+            i, j, score, tried = threshold_pairs(a, b, eps)
+            want = {(x, y) for x in range(n) for y in range(m) if a[x] + b[y] > eps}
+            assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+            assert (score == a[i] + b[j]).all()
+            assert tried - len(want) == sum(a[x] + b[y] <= eps < a[x] + b[y] + 1e-9 for x in range(n) for y in range(m))
+    # at k = 8, the pairs that are tried are those that are found, of many more
+    logp = np.log10(rng.dirichlet([0.4] * 4, 8))
+    from twigmer.operators.sum_threshold import strings
+
+    eps = scoring.log_threshold(1.5, 8, 4)
+    left, right = strings(logp[:4], -99.0), strings(logp[4:], -99.0)
+    i, _, _, tried = threshold_pairs(left[1], right[1], eps)
+    assert tried == len(i) == len(strings(logp, eps)[0]) < len(left[0]) * len(right[0]) / 20
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8])
+def test_engines_are_equal_over_gaps_and_nodes(spark, k):
+    rng = random.Random(k)
+    rows = []
+    for node in "uvw":
+        for site in [s for s in range(30) if s not in (11, 12)]:
+            p = [rng.random() ** 4 for _ in range(4)]
+            rows.append((node, site, [x / sum(p) if x > 0.05 else 0.0 for x in p]))
+    m = matrix(spark, rows)
+    eps = scoring.log_threshold(1.3, k, 4)
+    made = {e: {(r.node, r.position, r.code, round(r.score, 9)) for r in kmers.enumerate_kmers(m, k, 4, eps, e).collect()} for e in ("join", "sorted", "chained")}
+    assert made["join"] == made["sorted"] == made["chained"] and made["join"]
+    every = {(r.node, r.position, r.code, round(r.score, 9)) for r in kmers.enumerate_numpy(m, k, 4, eps, every=True).collect()}
+    assert every == made["join"]
+
+
+def test_halves_of_chained_windows_are_made_once(spark):
+    rows = [(n, s, [0.7, 0.2, 0.1, 0.0]) for n in "ab" for s in range(20)]
+    for k in (4, 5, 8):
+        lists = kmers.half_lists(matrix(spark, rows), k, 4, scoring.log_threshold(1.2, k, 4)).collect()
+        at = [(r.node, r.position) for r in lists]
+        # a list for each place where a window begins or has its last half, and no second one
+        assert sorted(at) == [(n, s) for n in "ab" for s in range(20 - k // 2 + 1)] and len(set(at)) == len(at)
+
+
+def test_the_numpy_engine_keeps_the_best_of_a_block_within_a_bound(spark, monkeypatch):
+    rows = [("v", s, [0.4, 0.3, 0.2, 0.1]) for s in range(64)]
+    want = sorted(map(tuple, kmers.enumerate_numpy(matrix(spark, rows), 3, 4, -9.0).collect()))
+    monkeypatch.setattr(kmers, "HELD", 100)
+    got = sorted(map(tuple, kmers.enumerate_numpy(matrix(spark, rows), 3, 4, -9.0).collect()))
+    assert got == want and len(got) == 64 and {r[1] for r in got} == {0}
+
+
 def test_too_few_sites_and_empty_matrices_give_nothing(spark):
     for engine in kmers.ENGINES:
         for rows in (matrix(spark, F2), matrix(spark, F2).limit(0)):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +36,39 @@ def unsupported_states(alignment: DataFrame, alphabet: str) -> DataFrame:
     return alignment.where(F.upper("seq").rlike(f"[^{alphabet}\\{GAP}]"))
 
 
+def _count_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(site, gaps, n)`` of the rows of a partition: one row a column, counted over blocks of characters."""
+    gaps, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        rows = batch.column("seq").drop_null()
+        if not len(rows):
+            continue
+        widths = pc.utf8_length(rows).to_numpy()
+        for width in np.unique(widths):
+            same = rows.filter(pa.array(widths == width)).to_pylist()
+            chars = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(len(same), width)
+            gaps, n = (np.pad(x, (0, max(0, width - len(x)))) for x in (gaps, n))
+            gaps[:width] += (chars == ord(GAP)).sum(axis=0)
+            n[:width] += len(same)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(gaps), pa.array(n)], ["site", "gaps", "n"])
+
+
 def gap_ratios(alignment: DataFrame) -> DataFrame:
-    """``(site, ratio)``: the share of gaps in each column, sites from 0."""
-    letters = alignment.select(F.posexplode(F.split("seq", "")).alias("site", "ch")).where("ch <> ''")
-    return letters.groupBy("site").agg(F.avg((F.col("ch") == GAP).cast("double")).alias("ratio"))
+    """``(site, ratio)``: the share of gaps in each column, sites from 0. Partitions count their columns; only counts are shuffled."""
+    counted = alignment.select("seq").mapInArrow(_count_gaps, "site int, gaps long, n long")
+    return counted.groupBy("site").agg((F.sum("gaps") / F.sum("n")).alias("ratio"))
 
 
 def drop_gap_columns(alignment: DataFrame, ratio: float = 0.99) -> DataFrame:
     """The alignment without the columns whose gap ratio is ``ratio`` or more."""
-    keep = F.struct("site", (F.col("ratio") < ratio).alias("keep"))
-    sites = gap_ratios(alignment).agg(F.transform(F.sort_array(F.collect_list(keep)), lambda s: s["keep"]).alias("kept"))  # as many as the width
-    rows = alignment.join(F.broadcast(sites))
-    seq = F.array_join(F.filter(F.split("seq", ""), lambda c, i: F.get("kept", i)), "")
-    return rows.withColumn("seq", seq).drop("kept")
+    kept = gap_ratios(alignment).where(F.col("ratio") < ratio).agg(F.sort_array(F.collect_list("site")).alias("sites"))  # the width at most
+    # runs of kept columns: each row is a few substrings
+    begins = F.filter("sites", lambda s, i: (i == 0) | (F.get("sites", i - 1) != s - 1))
+    ends = F.filter("sites", lambda s, i: (i == F.size("sites") - 1) | (F.get("sites", i + 1) != s + 1))
+    runs = kept.select(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("begin"), (b - a + 1).alias("n"))).alias("runs"))
+    rows = alignment.join(F.broadcast(runs))  # one row
+    seq = F.array_join(F.transform("runs", lambda r: F.substring(F.col("seq"), r["begin"] + 1, r["n"])), "")
+    return rows.withColumn("seq", seq).drop("runs")
 
 
 def extend_alignment(alignment: DataFrame, leaves: DataFrame) -> DataFrame:

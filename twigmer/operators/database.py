@@ -46,12 +46,15 @@ def score_sums(best: DataFrame, threshold: float, n_nodes: int) -> DataFrame:
     return made.withColumn("total", F.col("stored") + (F.lit(n_nodes) - F.col("n")) * F.lit(threshold))
 
 
-def mif0(best: DataFrame, threshold: float, n_nodes: int) -> DataFrame:
-    """``(code, filter_value)``: total score times (entropy over branches - log2 of their number); small is informative."""
+def mif0(best: DataFrame, threshold: float, n_nodes: int, entries: str | None = None) -> DataFrame:
+    """``(code, filter_value)``: total score times (entropy over branches - log2 of their number); small is informative.
+
+    ``entries``: the name of a further column with the number of a k-mer's entries, from the same aggregation.
+    """
     s = score_sums(best, threshold, n_nodes)
     h = (F.col("terms") + F.col("stored") * F.log2("total")) / F.col("total")
     h = h + (F.lit(n_nodes) - F.col("n")) * entropy_term(F.lit(threshold) / F.col("total"))
-    return s.select("code", (F.col("total") * (h - F.lit(math.log2(n_nodes)))).alias("filter_value"))
+    return s.select("code", (F.col("total") * (h - F.lit(math.log2(n_nodes)))).alias("filter_value"), *([F.col("n").alias(entries)] if entries else []))
 
 
 def random_filter(best: DataFrame, threshold: float = 0.0, n_nodes: int = 0, seed: int = 42) -> DataFrame:

@@ -141,8 +141,8 @@ def ghost_groups(mapping: DataFrame, strategy: str = "both") -> DataFrame:
     return mapping.where(is_ghost(F.col("label"), strategy)).groupBy("original").agg(F.sort_array(F.collect_list("label")).alias("ghosts"))
 
 
-def with_orders(tree: DataFrame) -> DataFrame:
-    """Add ``postorder`` and ``preorder`` to ``(label, parent, branch_length[, child_ord])``, children in that order, then by label.
+def with_orders(tree: DataFrame, depth: bool = False) -> DataFrame:
+    """Add ``postorder`` and ``preorder`` (and ``depth``, the number of ancestors, if asked) to ``(label, parent, branch_length[, child_ord])``, children in that order, then by label.
 
     A node comes one and the sizes of its earlier siblings after its parent; these steps are summed up to the root.
     What precedes it in post-order are also the rest of its subtree, but not its ancestors.
@@ -155,10 +155,30 @@ def with_orders(tree: DataFrame) -> DataFrame:
     child = F.col("parent").isNotNull()
     step = F.when(child, F.col("before") - F.col("first") + 1).otherwise(0)
     paths = path_sums(rows.join(first, "parent", "left").select("label", F.col("parent").alias("up"), step.cast("long").alias("preorder"), child.cast("long").alias("depth")))
-    orders = paths.join(rows.select("label", "n_nodes"), "label").select("label", (F.col("preorder") + F.col("n_nodes") - 1 - F.col("depth")).alias("postorder"), "preorder")
+    orders = paths.join(rows.select("label", "n_nodes"), "label").select("label", (F.col("preorder") + F.col("n_nodes") - 1 - F.col("depth")).alias("postorder"), "preorder", *(["depth"] if depth else []))
     return tree.join(stored(orders), "label")
 
 
+def newick_blocks(tree: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(block, text)``: the Newick text of a tree with orders and depths, in pieces that follow one another by block.
+
+    A walk around the tree enters and leaves each node. Before a node is entered, all nodes of smaller preorder have been
+    entered and all of these but its ancestors left, so that its place in the walk is twice its preorder less its
+    depth; it is left at twice its postorder plus depth and one. Each place writes a short text, and places are joined in
+    blocks of ``size``: nothing holds the tree. Labels are written as they are; a node of generated name (``#``) has none.
+    """
+    shown = F.when(F.col("label").startswith("#"), F.lit("")).otherwise(F.col("label"))
+    length = F.when(F.col("parent").isNull(), F.lit(";")).otherwise(F.concat(F.lit(":"), F.coalesce(F.col("branch_length"), F.lit(0.0)).cast("string")))
+    # a node after its parent's preorder follows a sibling unless it is the next one entered
+    rows = is_leaf(tree).join(tree.select(F.col("label").alias("parent"), F.col("preorder").alias("above")), "parent", "left")
+    comma = F.when(F.col("preorder") > F.col("above") + 1, F.lit(",")).otherwise(F.lit(""))
+    enter = F.struct((2 * F.col("preorder") - F.col("depth")).alias("at"), F.concat(comma, F.when(F.col("is_leaf"), F.lit("")).otherwise(F.lit("("))).alias("piece"))
+    leave = F.struct((2 * F.col("postorder") + F.col("depth") + 1).alias("at"), F.concat(F.when(F.col("is_leaf"), F.lit("")).otherwise(F.lit(")")), shown, length).alias("piece"))
+    pieces = rows.select(F.inline(F.array(enter, leave)))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")  # of size at most
+    return pieces.groupBy(F.floor(F.col("at") / size).cast("long").alias("block")).agg(joined.alias("text"))
+
+
 def reroot(tree: DataFrame) -> DataFrame:
     """An unrooted tree (a, b, c) as ((b, c), a)added_root; a root of two children stays.
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from twigmer.functions import scoring
 from twigmer.operators import alignment as al
-from twigmer.operators import compare, database, kmers
+from twigmer.operators import compare, database, kmers, posting_blocks, quantiles
 from twigmer.operators import tree as tr
 from twigmer.plans import derived
 from twigmer.plans.derived import K, OMEGA, OMEGA_B
 from twigmer.sources import ar_blocks
 from twigmer.sources import text_formats as tf
 from twigmer.sources.shared import new_path
+from twigmer.streaming import best_scores
 
 EPS, EPS_B = scoring.log_threshold(OMEGA, K, 4), scoring.log_threshold(OMEGA_B, K, 4)
 THRESHOLD = scoring.score_threshold(OMEGA, K, 4)
@@ -306,9 +307,8 @@ def a07_random(spark, d):
 
 @query(f"with {FV} select code, {LETTERS} as kmer, round(filter_value, 6) as filter_value, n as n_entries from fv join s using (code)")
 def o02_sorted_db(spark, d):
-    b = best(spark, d)
-    rows = database.postings(b).join(database.mif0(b, THRESHOLD, N_NODES), "code").orderBy("filter_value", "code")
-    return rows.select("code", scoring.decode(F.col("code"), K, scoring.DNA).alias("kmer"), r6("filter_value"), F.size("entries").cast("long").alias("n_entries"))
+    rows = database.mif0(best(spark, d), THRESHOLD, N_NODES, entries="n_entries").orderBy("filter_value", "code")
+    return rows.select("code", scoring.decode(F.col("code"), K, scoring.DNA).alias("kmer"), r6("filter_value"), "n_entries")
 
 
 @query(f"with {FV}, r as (select code, round(filter_value, 9) as f, row_number() over (order by round(filter_value, 9), code) as r, count(*) over () as n from fv) select code, round(f, 6) as filter_value from r where r <= ceil(0.25 * n)")
@@ -368,6 +368,90 @@ def j10_text_diff(spark, d):
     return rows.select("kmer", "branch", r6("score_a"), r6("score_b"))
 
 
+# ---- databases at k = 8, with suppliers as branches
+
+LONG_K = 8
+LONG_T = scoring.score_threshold(OMEGA, LONG_K, 4)
+
+
+def long_fv_sql() -> str:
+    t, n = f"pow(cast({OMEGA} as double) / 4, {LONG_K})", "(select count(*) from supplier)"
+    return f"""{long_sql(LONG_K)},
+db as (select cast(node as int) as branch, code, max(score) as score from km group by 1, 2),
+x as (select code, branch, least(pow(10.0, score), 1.0) as x from db),
+s as (select code, count(*) as n, sum(x) + ({n} - count(*)) * {t} as total from x group by 1),
+fv as (select s.code, any_value(total) * (sum({H.format("x / total")}) + any_value({n} - n) * any_value({H.format(f"{t} / total")}) - log2({n})) as filter_value
+    from s join x using (code) group by 1)"""
+
+
+LONG_FV = long_fv_sql()
+
+
+def long_best(spark: SparkSession, d: str, omega: float = OMEGA) -> DataFrame:
+    found = kmers.enumerate_kmers(derived.matrix(spark, d), LONG_K, 4, scoring.log_threshold(omega, LONG_K, 4))
+    own = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").cast("int").alias("branch"), F.col("s_suppkey").alias("node_order"))
+    return database.best_per_branch(found, own)
+
+
+@query(f"with {LONG_FV} select code, branch // 64 as block, min(branch) as first, cast(count(*) as int) as n, round(max(score), 6) as best, string_agg(branch || ':' || cast(round(score * 1000000) as bigint), ',' order by branch) as entries from db group by 1, 2")
+def a04_posting_blocks_k8(spark, d):
+    b = posting_blocks.posting_blocks(long_best(spark, d), 64)
+    listed = F.zip_with("steps", "scores", lambda s, x: F.concat_ws(":", (F.col("first") + s).cast("string"), F.round(x * 1000000).cast("long").cast("string")))
+    return b.select("code", "block", "first", "n", r6("best"), F.array_join(listed, ",").alias("entries"))
+
+
+@query(f"with {LONG_FV} select code, round(filter_value, 6) as filter_value, n as n_entries from fv join s using (code)")
+def o02_sorted_db_k8(spark, d):
+    n = derived.table(spark, d, "supplier").count()
+    rows = database.mif0(long_best(spark, d), LONG_T, n, entries="n_entries").orderBy("filter_value", "code")
+    return rows.select("code", r6("filter_value"), "n_entries")
+
+
+@query(f"with {LONG_FV} select code, branch, round(score, 6) as score from db where code in (select (p_size * 1311) % 65536 from part)")
+def s09_lookup_k8(spark, d):
+    path = new_path(spark)
+    posting_blocks.write_by_code(path, long_best(spark, d))
+    codes = derived.table(spark, d, "part").select(((F.col("p_size") * 1311) % 65536).cast("long").alias("code")).distinct()
+    found = posting_blocks.lookup(spark, path, [r.code for r in codes.collect()])  # one for each size of a part: 50
+    return posting_blocks.entries(found).select("code", "branch", r6("score"))
+
+
+@query(
+    f"""with {long_sql(LONG_K)}, db as (select cast(node as int) as branch, code, max(score) as score from km group by 1, 2),
+db2 as (select branch, code, score + case when code % 7 = 0 then 0.05 else 0 end as score from db where score > {LONG_K} * log10(cast({OMEGA_B} as double) / 4))
+select code, branch, round(db.score, 6) as score_a, round(db2.score, 6) as score_b,
+    case when db2.score is null then 'only_a' when db.score is null then 'only_b' else 'score' end as kind
+from db full join db2 using (code, branch) where db.score is null or db2.score is null or abs(db.score - db2.score) >= 0.01"""
+)
+def j09_db_diff_k8(spark, d):
+    rows = compare.database_diff(long_best(spark, d), shifted(long_best(spark, d, OMEGA_B)))
+    return rows.select("code", "branch", r6("score_a"), r6("score_b"), "kind")
+
+
+# ---- order statistics and streams
+
+
+@query(
+    """with v as (select l_suppkey as supplier, l_extendedprice as x from lineitem union all select null, l_extendedprice from lineitem),
+q as (select supplier, list_sort(list(cast(x as double))) as v, count(*) as n, greatest(0, least(count(*) * 0.9 - 0.5, count(*) - 1)) as h from v group by 1)
+select supplier, n, round(v[cast(floor(h) as int) + 1] + (v[least(cast(floor(h) as int) + 1, len(v) - 1) + 1] - v[cast(floor(h) as int) + 1]) * (h - floor(h)), 6) as quantile from q"""
+)
+def a18_exact_quantiles(spark, d):
+    li = derived.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_extendedprice")
+    one = quantiles.hazen_quantiles(li, "l_extendedprice", 0.9, "supplier")
+    every = quantiles.hazen_quantiles(li, "l_extendedprice", 0.9).select(F.lit(None).cast(li.schema["supplier"].dataType).alias("supplier"), "n", "quantile")
+    return one.unionByName(every).select("supplier", "n", r6("quantile"))
+
+
+@query(ORACLE_SQL["a03_argmax_position"])
+def a03_streamed(spark, d):
+    rows = kmers.enumerate_numpy(derived.matrix(spark, d), K, 4, EPS, every=True).withColumn("score", F.round("score", 9))
+    arriving = rows.join(derived.branches(spark, d), "node").select("branch", "code", "score", F.col("node_order").cast("long").alias("node_order"), "position")
+    path = new_path(spark)
+    arriving.repartition(4, "node_order").write.parquet(f"{path}/kmers")  # four files: as many batches
+    return best_scores.run_to_end(spark, f"{path}/kmers", f"{path}/run").select("branch", "code", r6("score"), "position")
+
+
 # ---- alignments
 
 
@@ -480,6 +564,18 @@ def j06_postorder_zip(spark, d):
     return tr.map_nodes(t, t.select(F.concat(F.lit("A"), F.col("postorder").cast("string")).alias("label"), "postorder"))
 
 
+@query(
+    f"""with recursive {ST}, a as (select label as anc, label as node from t union all select p.parent, a.node from a join t p on p.label = a.anc where p.parent is not null),
+dp as (select node as label, count(*) - 1 as depth from a group by 1), u as (select t.*, depth, p.preorder as above from t join dp using (label) left join t p on p.label = t.parent),
+pieces as (select 2 * preorder - depth as place, (case when preorder > above + 1 then ',' else '' end) || (case when leaf then '' else '(' end) as piece from u union all
+    select 2 * postorder + depth + 1, (case when leaf then '' else ')' end) || (case when parent is null then ';' else '' end) from u)
+select place // 4096 as block, string_agg(piece, '' order by place) as shape from pieces group by 1"""
+)
+def k06_newick_shape(spark, d):
+    blocks = tr.newick_blocks(tr.with_orders(derived.supplier_tree(spark, d), depth=True))
+    return blocks.select("block", F.regexp_replace("text", "[A-Za-z0-9_]+:[0-9.E-]+|root", "").alias("shape"))
+
+
 @query(
     f"""with recursive {ST} select label, case when parent is null or label = 'R0' then 'added_root' else parent end as parent, round(bl, 6) as branch_length from t
 union all select 'added_root', null, 0"""

@@ -163,23 +163,23 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpri
     return rows.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("made").alias(out))
 
 
-def edited(text: str, following: str) -> tuple[str, int]:
-    """A text with its last half (rounded down) replaced by the first as many characters of another, and how many were kept."""
-    half = len(text) // 2
-    return text[: len(text) - half] + following[:half], len(text) - half
+class Document:
+    """A text, its fingerprint, and the walk through what its edited text keeps: all but the last half, rounded down."""
 
+    def __init__(self, text: str):
+        self.text, self.kept, level = text, len(text) - len(text) // 2, _level(len(text))
+        self.begun = Walk(_level(self.kept)).through(text[: self.kept])  # an edited text may be shorter, hence have a finer grid
+        self.print = self.begun.fork(level).through(text[self.kept :]).print()
 
-_COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    def columns(self, following: str, of_following: Fingerprint) -> tuple:
+        """The columns of a document whose next one has this text and fingerprint."""
+        new = self.text[: self.kept] + following[: len(self.text) - self.kept]
+        other = self.begun.fork(_level(len(new))).through(new[self.kept :]).print()
+        sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+        return len(self.text), sha, self.print.text(), other.text(), self.print.likeness(other), self.print.likeness(of_following)
 
 
-def _compared(text: str, following: str, of_following: Fingerprint) -> tuple:
-    """The columns of a document whose next one has this text and fingerprint."""
-    new, kept = edited(text, following)
-    level, level_new = _level(len(text)), _level(len(new))
-    walk = Walk(min(level, level_new)).through(text[:kept])
-    own = walk.fork(level).through(text[kept:]).print()
-    other = walk.thinned(level_new).through(new[kept:]).print()
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.text(), other.text(), own.likeness(other), own.likeness(of_following)
+_COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -210,23 +210,23 @@ def with_next(docs: DataFrame) -> DataFrame:
         for batch in batches:
             id_type, out = batch.schema.field("doc_id").type, []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
+                now = Document(text.as_py())
                 if last is None:
-                    head = (doc_id, text)
+                    head = (doc_id, now.text)
                 else:
-                    out.append((last[0], *_compared(last[1], text, fingerprint(text))))
-                last = (doc_id, text)
+                    out.append((last[0], *last[1].columns(now.text, now.print)))
+                last = (doc_id, now)
             if out:
                 yield made(0, out, [None] * len(out), id_type)
         if last is not None:  # the first and the last of the partition, with their texts
             blank = (None,) * len(types)
             yield made(1, [(head[0], *blank)], [head[1]], id_type)
-            yield made(2, [(last[0], *blank)], [last[1]], id_type)
+            yield made(2, [(last[0], *blank)], [last[1].text], id_type)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True)
-            out = [(doc_id, *_compared(text, following, fingerprint(following))) for doc_id, text, following in rows]
+            out = [(doc_id, *Document(text).columns(following, fingerprint(following))) for doc_id, text, following in rows]
             yield pa.RecordBatch.from_arrays(rows_of(out, batch.schema.field("doc_id").type), done_names)
 
     tie = F.xxhash64("text")

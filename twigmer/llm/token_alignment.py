@@ -34,9 +34,9 @@ from ._shared import quoted, stored
 #: Distinct pairs of documents, summed over a block; a document of more is a block of its own.
 BLOCK_PAIRS = 1 << 21
 #: Characters of a batch of texts that are encoded and passed on at once.
-SLICE_CHARS = 1 << 20
-#: Parts of texts that a worker remembers, and their tokens.
-PARTS, PART_TOKENS = 500_000, 8_000_000
+SLICE_CHARS = 1 << 18
+#: Parts of texts that a worker remembers, and their tokens; beyond that, it keeps the half that was met most.
+PARTS, PART_TOKENS = 100_000, 2_000_000
 _PARTS = re.compile(r"(?s)(?<=\S)(?= .)")  # a last blank alone would be lost, as the tokenizers add none to an empty text
 
 
@@ -64,13 +64,27 @@ class Remembered:
         self.a, self.b, self.cut = a, b, b.by_parts()
         self.forget()
 
-    def forget(self) -> None:
-        none = np.zeros(0, np.int32)
-        self.known: dict[str, int] = {}
-        # ids of A and B, and of each group how many ids of its part come before its end; then how many parts have of each
-        self.rows = [none, none, none, none]
-        self.sizes = [np.zeros(0, np.int64)] * 4
-        self.same = np.zeros(0, bool)
+    def forget(self, kept: int = 0) -> None:
+        """Keep this many parts, those met most."""
+        if not kept:
+            none = np.zeros(0, np.int32)
+            self.known: dict[str, int] = {}
+            # ids of A and B, and of each group how many ids of its part come before its end; then how many parts have of each
+            self.rows, self.sizes = [none] * 4, [none.astype(np.int64)] * 4
+            self.same, self.met = none.astype(bool), none.astype(np.int64)
+            return
+        best = np.sort(np.argsort(-self.met, kind="stable")[:kept])
+        names = list(self.known)  # in the order of their numbers
+        self.known = {names[i]: k for k, i in enumerate(best.tolist())}
+        self.rows = [self.of(side, best) for side in range(4)]
+        self.sizes = [n[best] for n in self.sizes]
+        self.same, self.met = self.same[best], self.met[best] // 2
+
+    def of(self, side: int, parts: np.ndarray) -> np.ndarray:
+        """One side's row for these parts, one after another."""
+        n = self.sizes[side][parts]
+        starts = (np.cumsum(self.sizes[side]) - self.sizes[side])[parts]
+        return self.rows[side][np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def learn(self, parts: list[str]) -> None:
         """Encode parts under both; one that B doesn't keep has no tokens."""
@@ -90,26 +104,27 @@ class Remembered:
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.rows = [np.concatenate(x) for x in zip(self.rows, [*ids, *ends], strict=True)]
         self.sizes = [np.concatenate(x) for x in zip(self.sizes, [*sizes, groups, groups], strict=True)]
-        self.same = np.r_[self.same, same]
+        self.same, self.met = np.r_[self.same, same], np.r_[self.met, np.zeros(len(parts), np.int64)]
 
     def align(self, texts: list[str | None]) -> list[pa.ListArray]:
         """Ids of A and B and ends of groups on either side, a list for each text."""
         cut = [(_PARTS.split(" " + t) if self.cut else [" " + t]) if t else [] for t in texts]
         parts = [p[1:] for own in cut for p in own]
-        if len(self.known) > PARTS or len(self.rows[0]) > PART_TOKENS:
+        if len(self.known) > PARTS:
+            self.forget(PARTS // 2)
+        if len(self.rows[0]) > PART_TOKENS:
             self.forget()
         if fresh := list(set(parts).difference(self.known)):
             self.learn(fresh)
         at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        self.met += np.bincount(at, minlength=len(self.met))
         owner = np.repeat(np.arange(len(texts)), list(map(len, cut)))
         lost = np.bincount(owner, ~self.same[at], len(texts)) > 0  # texts that B doesn't keep
         at, owner = at[~lost[owner]], owner[~lost[owner]]
         before = []  # ids of its text that come before a part
         out = []
-        for side, (row, sizes) in enumerate(zip(self.rows, self.sizes, strict=True)):
-            n = sizes[at]
-            starts = (np.cumsum(sizes) - sizes)[at]
-            values = row[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        for side, sizes in enumerate(self.sizes):
+            n, values = sizes[at], self.of(side, at)
             ends = np.r_[0, np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))]
             if side < 2:
                 before.append(np.cumsum(n) - n - ends[owner])

@@ -265,7 +265,7 @@ def test_phylip(spark, tmp_path, width):
     seq = ("ACGTACGTAC" * 3)[:width]
     a = spark.createDataFrame([(0, "x" * 251, seq), (1, "y", seq)], "seq_idx long, header string, seq string")
     al.write_alignment(a, str(tmp_path / "p"), "phylip")
-    lines = next((tmp_path / "p").glob("part-*")).read_text().split("\n")
+    lines = (tmp_path / "p").read_text().split("\n")
     blocks = " ".join(seq[i : i + 10] for i in range(0, width, 10))
     assert lines == [f"\t2\t{width}", "x" * 251 + blocks, "y" + " " * 249 + blocks, ""]
 
@@ -317,7 +317,7 @@ def test_parameters_are_checked():
             BuildParams(**bad)
 
 
-def test_reconstruction_calls(tmp_path):
+def test_reconstruction_calls(spark, tmp_path):
     p = BuildParams(model="GTR")
     assert "GTR+G4{1.0}+IU{0}+FC" in rc.command("raxml-ng", "/b", "a", "t", p)
     assert rc.command("raxml-ng", "/b", "a", "t", p, arguments=["--x", "1"])[-2:] == ["--x", "1"]
@@ -325,7 +325,7 @@ def test_reconstruction_calls(tmp_path):
     with pytest.raises(ValueError):
         rc.guess_tool("nothing")
     with pytest.raises(FileNotFoundError):
-        rc.find_outputs(str(tmp_path))
+        rc.find_outputs(spark, str(tmp_path))
     (tmp_path / "c.json").write_text(json.dumps({"arguments": {"model": "GTR", "redo": ""}}))
     assert tf.read_config(str(tmp_path / "c.json")) == ["--model", "GTR", "--redo"]
 
@@ -380,6 +380,34 @@ def test_build_from_files(spark, tmp_path, ghosts):
     assert compare.text_diff(dump, back, params.threshold).count() == 0
 
 
+def test_build_by_uris_with_a_tool(spark, tmp_path):
+    """All paths as URIs; a stub in place of the reconstruction tool checks its inputs and gives the results of an earlier run."""
+    _write_inputs(tmp_path, spark)
+    tool = tmp_path / "tool"
+    tool.write_text(
+        f"""#!/bin/sh
+[ "$1" = --help ] && echo "RAxML-NG v. 1" && exit
+while [ $# -gt 0 ]; do [ "$1" = --msa ] && msa="$2"; [ "$1" = --tree ] && tree="$2"; shift; done
+grep -q "^	11	5$" "$msa" && grep -q "_X0:" "$tree" || exit 3
+for end in ancestralProbs ancestralTree; do cp "{tmp_path}/ar/x.raxml.$end" "$msa.raxml.$end"; done
+"""
+    )
+    tool.chmod(0o755)
+    uri = f"file://{tmp_path}"
+    params = BuildParams(k=3, omega=1.2)
+    made = bd.build(spark, f"{uri}/a.fasta", f"{uri}/tree.nwk", f"{uri}/w/", params, ar_binary=str(tool))
+    plain = bd.build(spark, str(tmp_path / "a.fasta"), str(tmp_path / "tree.nwk"), str(tmp_path / "v"), params, ar_dir=str(tmp_path / "ar"))
+    assert made == f"{uri}/w/DB"
+    head, rows = bd.diff_databases(spark, made, plain)
+    assert rows.count() == 0 and head.where("not same").count() == 0
+    fasta = (tmp_path / "w/extended_trees/extended_align.fasta").read_text()
+    assert fasta.startswith(">A\nACGTA\n>B\nACGTC\n>C\nACTTC\n>") and fasta.count(">") == 11
+    assert (tmp_path / "w/align.reduced.fasta").read_text() == ">A\nACGTA\n>B\nACGTC\n>C\nACTTC\n"
+    assert (tmp_path / "w/AR/extended_align.phylip.raxml.ancestralProbs").is_file()
+    tree = tf.parse_newick((tmp_path / "w/extended_trees/extended_tree.newick").read_text())
+    assert sum(n["is_leaf"] for n in tree) == 3 + 16 // 2 and len(tree) == 5 + 16
+
+
 def test_command_line(spark, tmp_path, capsys):
     _write_inputs(tmp_path, spark)
     files = ["-r", str(tmp_path / "a.fasta"), "-t", str(tmp_path / "tree.nwk"), "--ar-dir", str(tmp_path / "ar"), "-k", "3"]

@@ -15,6 +15,8 @@ ALPHABETS = {"nucl": DNA, "amino": AMINO}
 #: The longest k-mer whose code fits a signed 64-bit integer.
 LONGEST = {"nucl": 31, "amino": 14}
 GAP = "-"
+#: Of the arithmetic hash; products stay within 64 bits.
+_PRIME, _FACTOR = 2_147_483_629, 1_640_531_527
 
 
 def score_threshold(omega: float, k: int, sigma: int) -> float:
@@ -66,8 +68,10 @@ def batch_of(code: Column, batches: int = 32) -> Column:
 
 
 def uniform(code: Column, seed: int = 42) -> Column:
-    """A repeatable number in [0, 1) for each code."""
-    return F.pmod(F.xxhash64(code, F.lit(seed)), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    """A repeatable number in [0, 1) for each code: two rounds of squares modulo a prime, in arithmetic that any engine has."""
+    mixed = lambda x, add: (x * x + x * F.lit(_FACTOR) + F.lit(add)) % F.lit(_PRIME)
+    x = (F.pmod(code, F.lit(_PRIME)) * F.lit(_FACTOR) + F.lit(seed)) % F.lit(_PRIME)
+    return mixed(mixed(x, seed), 7).cast("double") / F.lit(float(_PRIME))
 
 
 def hazen_quantile(values: Column, p: float) -> Column:

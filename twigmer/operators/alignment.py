@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twigmer.functions.scoring import GAP
+from twigmer.sources.storage import write_file
 
 LABEL_WIDTH, PHYLIP_BLOCK = 250, 10
 
@@ -68,7 +69,7 @@ def drop_gap_columns(alignment: DataFrame, ratio: float = 0.99) -> DataFrame:
     runs = kept.select(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("begin"), (b - a + 1).alias("n"))).alias("runs"))
     rows = alignment.join(F.broadcast(runs))  # one row
     seq = F.array_join(F.transform("runs", lambda r: F.substring(F.col("seq"), r["begin"] + 1, r["n"])), "")
-    return rows.withColumn("seq", seq).drop("runs")
+    return rows.withColumn("seq", F.when(F.col("seq").isNotNull(), seq)).drop("runs")
 
 
 def extend_alignment(alignment: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -98,17 +99,21 @@ def _phylip_line() -> Column:
     return F.concat(label, F.regexp_replace("seq", f"(.{{{PHYLIP_BLOCK}}})(?=.)", "$1 "))
 
 
-def write_alignment(alignment: DataFrame, path: str, kind: str = "fasta") -> None:
-    """Write one FASTA or PHYLIP text, in the order of ``seq_idx``: a format of one file, written by one task."""
+def file_lines(alignment: DataFrame, kind: str = "fasta") -> DataFrame:
+    """``(value)``: the lines of one FASTA or PHYLIP text in the order of ``seq_idx``, in one partition: a format of one file."""
     rows = alignment.repartitionByRange(1, "seq_idx").sortWithinPartitions("seq_idx")
     if kind == "fasta":
-        fasta_lines(rows).write.text(path)
-    elif kind == "phylip":
-        head = phylip_header(alignment).withColumn("at", F.lit(-1).cast("long"))
-        body = alignment.select(_phylip_line().alias("value"), F.col("seq_idx").alias("at"))
-        head.unionByName(body).repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(path)
-    else:
+        return fasta_lines(rows)
+    if kind != "phylip":
         raise ValueError(f"unknown alignment format {kind!r}")
+    head = phylip_header(alignment).withColumn("at", F.lit(-1).cast("long"))
+    body = alignment.select(_phylip_line().alias("value"), F.col("seq_idx").alias("at"))
+    return head.unionByName(body).repartitionByRange(1, "at").sortWithinPartitions("at").select("value")
+
+
+def write_alignment(alignment: DataFrame, path: str, kind: str = "fasta") -> None:
+    """Write :func:`file_lines` as one file, on whatever file system the path names."""
+    write_file(file_lines(alignment, kind), path)
 
 
 def to_canonical_amino(alignment: DataFrame) -> DataFrame:

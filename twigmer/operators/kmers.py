@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twigmer.functions.scoring import append_code, append_state, log_probability
@@ -36,6 +36,26 @@ def with_best(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("best", F.array_max("logp"))
 
 
+#: Folders of a stored matrix; a node's sites are in one.
+MATRIX_PARTS = 64
+
+
+def matrix_part(node: Column) -> Column:
+    return F.pmod(F.xxhash64(node.cast("string")), F.lit(MATRIX_PARTS)).cast("int")
+
+
+def write_matrix(path: str, matrix: DataFrame) -> None:
+    """Store a matrix in folders by a hash of the node, sorted by node and site."""
+    rows = matrix.withColumn("part", matrix_part(F.col("node")))
+    rows.repartition("part").sortWithinPartitions("part", "node", "site").write.partitionBy("part").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The sites of the ``wanted(node)``; folders without any of them aren't read (dynamic partition pruning)."""
+    nodes = wanted.select("node", matrix_part(F.col("node")).alias("part")).distinct()
+    return spark.read.parquet(path).join(nodes, ["part", "node"], "left_semi").drop("part")
+
+
 def frame(first: int, last: int):
     return Window.partitionBy("node").orderBy("site").rowsBetween(first, last)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,43 +14,35 @@ from twigmer.operators import compare, database, kmers
 from twigmer.operators import tree as tr
 from twigmer.plans.settings import BuildParams
 from twigmer.sources import reconstruction as ar
+from twigmer.sources import storage
 from twigmer.sources import text_formats as tf
 
 VERSION = "0.2.0"
-TREE_SCHEMA = "label string, parent string, branch_length double, child_ord long, postorder long, preorder long"
+TREE_SCHEMA = "label string, parent string, branch_length double, child_ord long, postorder long, preorder long, depth long"
 
 
 def tree_table(spark: SparkSession, nodes: list[dict]) -> DataFrame:
     """A node table from parsed Newick; nodes without a label are named after their place. Trees are small: they are one text."""
     name = {n["postorder"]: n["label"] or f"#{n['postorder']}" for n in nodes}
-    rows = [(name[n["postorder"]], name.get(n["parent_pos"]), n["branch_length"], n["child_ord"], n["postorder"], n["preorder"]) for n in nodes]
+    depth: dict = {None: -1}
+    for n in sorted(nodes, key=lambda n: n["preorder"]):
+        depth[n["postorder"]] = depth[n["parent_pos"]] + 1
+    rows = [(name[n["postorder"]], name.get(n["parent_pos"]), n["branch_length"], n["child_ord"], n["postorder"], n["preorder"], depth[n["postorder"]]) for n in nodes]
     if len({r[0] for r in rows}) < len(rows):
         raise ValueError("labels of the tree repeat")
     return spark.createDataFrame(rows, TREE_SCHEMA)
 
 
 def ordered(spark: SparkSession, tree: DataFrame) -> DataFrame:
-    """Orders for ``(label, parent, branch_length, child_ord)`` of a tree that fits the driver."""
-    return tree_table(spark, tf.parse_newick(newick(tree)))
+    """Orders and depths for ``(label, parent, branch_length, child_ord)``."""
+    return tr.with_orders(tree, depth=True)
 
 
 def newick(tree: DataFrame) -> str:
-    rows = {r.label: r.asDict() for r in tree.collect()}
-    children: dict = {}
-    for r in sorted(rows.values(), key=lambda r: r["child_ord"]):
-        children.setdefault(r["parent"], []).append(r["label"])
-    made: dict[str, str] = {}
-    todo = [(children[None][0], False)]
-    while todo:
-        label, done = todo.pop()
-        own = children.get(label, [])
-        if not done:
-            todo += [(label, True), *((c, False) for c in own)]
-            continue
-        r = rows[label]
-        shown = "" if label.startswith("#") else label
-        made[label] = (f"({','.join(made[c] for c in own)})" if own else "") + shown + ("" if r["parent"] is None else f":{r['branch_length']!r}")
-    return made[children[None][0]] + ";"
+    """The text of a tree, from its blocks; what the driver gets is the text that goes into one file or header."""
+    if "depth" not in tree.columns:
+        tree = tr.with_orders(tree.drop("postorder", "preorder"), depth=True)
+    return "".join(r.text for r in tr.newick_blocks(tree).orderBy("block").collect())
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +57,7 @@ def build(
     ``ar_dir`` has the results of an earlier reconstruction; otherwise the tool runs on the driver.
     ``write_reduction``: where the alignment without gap columns goes.
     """
-    work = Path(workdir)
+    work = workdir.rstrip("/")
     original = read_tree(spark, tree)
     rooted = tr.is_rooted(original)
     if not rooted and not params.use_unrooted:
@@ -75,30 +68,29 @@ def build(
     al.check_lengths(rows)
     if not params.no_reduction:
         rows = al.drop_gap_columns(rows, params.reduction_ratio)
-        al.write_alignment(rows, write_reduction or str(work / "align.reduced.fasta"))
+        al.write_alignment(rows, write_reduction or f"{work}/align.reduced.fasta")
     extended = ordered(spark, tr.extend(original))
     leaves = tr.is_leaf(extended).where("is_leaf").select("label")
     if ar_dir is None:
         known = rows.select("header", "seq_idx")
         wide = al.extend_alignment(rows, leaves).join(known, "header", "left").withColumn("seq_idx", F.coalesce("seq_idx", F.lit(1 << 40) + F.abs(F.xxhash64("header") % F.lit(1 << 40))))
-        files = work / "extended_trees"
-        files.mkdir(parents=True, exist_ok=True)
-        phylip, text = str(files / "extended_align.phylip"), str(files / "extended_tree.newick")
-        for kind, path in (("fasta", str(files / "extended_align.fasta")), ("phylip", phylip)):
-            al.write_alignment(wide, path + ".parts", kind)
-            Path(path).write_text("".join(p.read_text() for p in sorted(Path(path + ".parts").glob("part-*"))))
-        Path(text).write_text(newick(extended))
-        probs, ar_tree = ar.run(ar_binary or ar.find_binary(), phylip, text, params, threads, tf.read_config(ar_config) if ar_config else None)
+        files = f"{work}/extended_trees"
+        al.write_alignment(wide, f"{files}/extended_align.fasta")
+        al.write_alignment(wide, f"{files}/extended_align.phylip", "phylip")
+        storage.put_text(spark, f"{files}/extended_tree.newick", newick(extended))
+        with tempfile.TemporaryDirectory() as local:  # the tool runs on the driver, on files there
+            own = [storage.to_driver(spark, f"{files}/{name}", f"{local}/{name}") for name in ("extended_align.phylip", "extended_tree.newick")]
+            made = ar.run(ar_binary or ar.find_binary(), *own, params, threads, tf.read_config(ar_config) if ar_config else None)
+            probs, ar_tree = (storage.from_driver(spark, path, f"{work}/AR/{Path(path).name}") for path in made)
         tool = "phyml" if "_phyml_" in probs else "raxml-ng"
     else:
-        tool, probs, ar_tree = ar.find_outputs(ar_dir)
+        tool, probs, ar_tree = ar.find_outputs(spark, ar_dir)
     if ar_only:
         return None
     reconstructed = read_tree(spark, ar_tree)
     if rooted and not tr.is_rooted(reconstructed):
-        reconstructed = ordered(spark, tr.reroot(reconstructed.drop("postorder", "preorder")))
-        (work / "AR").mkdir(parents=True, exist_ok=True)
-        (work / "AR" / "ar_tree_rerooted.newick").write_text(newick(reconstructed))
+        reconstructed = ordered(spark, tr.reroot(reconstructed.drop("postorder", "preorder", "depth")))
+        storage.put_text(spark, f"{work}/AR/ar_tree_rerooted.newick", newick(reconstructed))
     names = tr.map_nodes(extended, reconstructed)
     ghosts = tr.ghost_mapping(original).where(tr.is_ghost(F.col("label"), params.ghosts))
     wanted = ghosts.join(names, F.col("label") == F.col("ext_label")).join(extended.select("label", F.col("postorder").alias("node_order")), "label")
@@ -109,7 +101,7 @@ def build(
         raise ValueError(f"no probabilities for node {lost.ar_label}")
     matrix = matrix.join(wanted.select(F.col("ar_label").alias("node")), "node", "left_semi")
     branches = wanted.select(F.col("ar_label").alias("node"), F.col("original").cast("int").alias("branch"), "node_order")
-    return build_database(matrix, branches, original, params, output or str(work / "DB"))
+    return build_database(matrix, branches, original, params, output or f"{work}/DB")
 
 
 def build_database(matrix: DataFrame, branches: DataFrame, tree: DataFrame, params: BuildParams, output: str) -> str:

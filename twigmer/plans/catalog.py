@@ -300,9 +300,12 @@ def a06_mif0(spark, d):
     return database.mif0(best(spark, d), THRESHOLD, N_NODES).select("code", r6("filter_value"))
 
 
-@query()
+@query(
+    f"""with {DB}, h as (select distinct code, (code % 2147483629 * 1640531527 + 42) % 2147483629 as x from db), g as (select code, (x * x + x * 1640531527 + 42) % 2147483629 as x from h)
+select code, round(cast((x * x + x * 1640531527 + 7) % 2147483629 as double) / 2147483629, 9) as filter_value from g"""
+)
 def a07_random(spark, d):
-    return database.random_filter(best(spark, d))
+    return database.random_filter(best(spark, d)).select("code", F.round("filter_value", 9).alias("filter_value"))
 
 
 @query(f"with {FV} select code, {LETTERS} as kmer, round(filter_value, 6) as filter_value, n as n_entries from fv join s using (code)")
@@ -357,6 +360,25 @@ def j09_db_diff(spark, d):
     return rows.select("code", "branch", r6("score_a"), r6("score_b"), "kind")
 
 
+@query(
+    f"""with {TWO}, m as (select code, branch, db.score as a, db2.score as b from db full join db2 using (code, branch)),
+v as (select count(*) filter (where b is null) as only_a, count(*) filter (where a is null) as only_b, count(*) filter (where abs(a - b) >= 0.01) as moved, count(a) as na, count(b) as nb from m),
+c as (select (select count(distinct code) from db) as ka, (select count(distinct code) from db2) as kb)
+select 'k' as field, '4' as a, '4' as b, true as same union all select 'omega', '{OMEGA}', '{OMEGA_B}', false
+union all select 'num_kmers', cast(ka as varchar), cast(kb as varchar), ka = kb from c union all select 'num_entries', cast(na as varchar), cast(nb as varchar), na = nb from v
+union all select 'entries_of_one', cast(only_a as varchar), cast(only_b as varchar), only_a + only_b = 0 from v
+union all select 'scores', cast(moved as varchar), cast(moved as varchar), moved = 0 from v"""
+)
+def k12_diff_report(spark, d):
+    made = []
+    for omega, change in ((OMEGA, lambda x: x), (OMEGA_B, shifted)):
+        path, b = new_path(spark), change(best(spark, d, omega))
+        header = database.counts(b).select(F.lit(K).alias("k"), F.lit(omega).alias("omega"), "num_kmers", "num_entries")
+        database.write_database(path, b, database.mif0(b, THRESHOLD, N_NODES), header)
+        made.append(path)
+    return compare.difference_report(*(database.read_database(spark, p) for p in made))
+
+
 @query(
     f"""with {TWO}, a as (select {LETTERS} as kmer, branch, pow(10.0, score) as s from db), b as (select {LETTERS} as kmer, branch, pow(10.0, score) as s from db2)
 select kmer, branch, round(a.s, 6) as score_a, round(b.s, 6) as score_b from a full join b using (kmer, branch)
@@ -368,6 +390,15 @@ def j10_text_diff(spark, d):
     return rows.select("kmer", "branch", r6("score_a"), r6("score_b"))
 
 
+@query(f"with {BEST} select node, site, state, round(lp, 6) as logp from pp join supplier on s_suppkey = node where s_nationkey % 5 = 1")
+def j05_pruned_matrix(spark, d):
+    path = new_path(spark)
+    kmers.write_matrix(path, derived.matrix(spark, d))
+    wanted = derived.table(spark, d, "supplier").where("s_nationkey % 5 = 1").select(F.col("s_suppkey").alias("node"))
+    rows = kmers.read_matrix(spark, path, wanted).select("node", "site", F.posexplode("logp").alias("state", "logp"))
+    return rows.where(F.col("logp") > float("-inf")).select("node", "site", "state", r6("logp"))
+
+
 # ---- databases at k = 8, with suppliers as branches
 
 LONG_K = 8

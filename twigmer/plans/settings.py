@@ -7,15 +7,17 @@ from dataclasses import dataclass
 from twigmer.functions.scoring import ALPHABETS, LONGEST, log_threshold, score_threshold
 
 GHOSTS = ("both", "inner-only", "outer-only")
-ENGINES = ("numpy", "hof", "join")
+ENGINES = ("numpy", "hof", "join", "sorted", "chained")
 FILTERS = ("mif0", "random")
 # Models that the reconstruction tools know.
 NUCL_MODELS = (
-    "JC K80 F81 HKY TN93ef TN93 K81 K81uf TPM2 TPM2uf TPM3 TPM3uf TIM1 TIM1uf TIM2 TIM2uf TIM3 TIM3uf TVMef TVM SYM GTR"
-).split()
+    "JC", "K80", "F81", "F84", "HKY", "TN93ef", "TN93", "K81", "K81uf", "TPM2", "TPM2uf", "TPM3", "TPM3uf", "TIM1", "TIM1uf", "TIM2", "TIM2uf",
+    "TIM3", "TIM3uf", "TVMef", "TVM", "SYM", "GTR",
+)
 AMINO_MODELS = (
-    "Blosum62 cpREV Dayhoff DCMut DEN FLU HIVb HIVw JTT JTT-DCMut LG mtART mtMAM mtREV mtZOA PMB rtREV stmtREV VT WAG LG4M LG4X PROTGTR"
-).split()
+    "Blosum62", "cpREV", "Dayhoff", "DCMut", "DEN", "FLU", "HIVb", "HIVw", "JTT", "JTT-DCMut", "LG", "mtART", "mtMAM", "mtREV", "mtZOA", "PMB",
+    "rtREV", "stmtREV", "VT", "WAG", "LG4M", "LG4X", "PROTGTR",
+)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,10 @@ import shutil
 import subprocess
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from twigmer.plans.settings import BuildParams
+from twigmer.sources.storage import list_files
 
 # Arguments and output names of the two tools.
 RAXML_FIXED = ["--precision", "9", "--seed", "1", "--force", "msa", "--redo"]
@@ -51,11 +54,11 @@ def run(binary: str, alignment: str, tree: str, params: BuildParams, threads: in
     return found
 
 
-def find_outputs(folder: str) -> tuple[str, str, str]:
-    """The tool and the paths of probabilities and tree in a folder of earlier results."""
-    files = sorted(p for p in Path(folder).iterdir() if p.is_file())
+def find_outputs(spark: SparkSession, folder: str) -> tuple[str, str, str]:
+    """The tool and the paths of probabilities and tree in a folder of earlier results, on any file system."""
+    files = list_files(spark, folder)
     for tool, suffixes in OUTPUTS.items():
-        found = [next((str(p) for p in files if p.name.endswith(s)), None) for s in suffixes]
+        found = [next((p for p in files if p.endswith(s)), None) for s in suffixes]
         if all(found):
             return tool, *found
     raise FileNotFoundError(f"no reconstruction results in {folder}")

@@ -110,3 +110,34 @@ def test_gap_ratios_of_odd_alignments(spark):
     assert {r.seq for r in al.drop_gap_columns(a, 0.1).where("seq is not null").collect()} == {"C", "日"}
     assert {r.seq for r in al.drop_gap_columns(a, 0.0).where("seq is not null").collect()} == {""}
     assert al.gap_ratios(a.limit(0)).count() == 0
+
+
+def test_only_folders_of_wanted_nodes_are_read(spark, tmp_path):
+    from twigmer.operators import kmers
+
+    rows = spark.range(4000).select((F.col("id") % 200).alias("node"), F.floor(F.col("id") / 200).cast("int").alias("site"), F.array(F.lit(-0.1), F.lit(-2.0)).alias("logp"), F.lit(-0.1).alias("best"))
+    path = str(tmp_path / "matrix")
+    kmers.write_matrix(path, rows)
+    spark.createDataFrame([(i, "g" if i % 50 == 7 else "n") for i in range(200)], "node long, kind string").write.parquet(str(tmp_path / "ghosts"))
+    wanted = spark.read.parquet(str(tmp_path / "ghosts")).where("kind = 'g'").select("node")
+    found = kmers.read_matrix(spark, path, wanted)
+    got = found.collect()
+    assert sorted((r.node, r.site) for r in got) == [(n, s) for n in (7, 57, 107, 157) for s in range(20)]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert scanned_rows(found) < 4000 / 4
+
+
+def test_difference_report_counts_every_check(spark, tmp_path):
+    from twigmer.operators import compare, database
+
+    schema = "branch int, code long, score double"
+    made = []
+    for name, rows, omega in (("a", [(1, 5, -1.0), (2, 5, -1.5), (1, 6, -2.0)], 1.5), ("b", [(1, 5, -1.0), (2, 5, -1.2), (3, 7, -2.0), (3, 8, -2.0)], 1.5)):
+        best, path = spark.createDataFrame(rows, schema), str(tmp_path / name)
+        header = database.counts(best).select(F.lit("(x,y)r;").alias("tree"), F.lit(8).alias("k"), F.lit(omega).alias("omega"), "num_kmers", "num_entries")
+        database.write_database(path, best, database.mif0(best, 0.01, 5), header)
+        made.append(database.read_database(spark, path))
+    got = {r.field: (r.a, r.b, r.same) for r in compare.difference_report(*made).collect()}
+    assert got == {"tree": ("", "", True), "k": ("8", "8", True), "omega": ("1.5", "1.5", True), "num_kmers": ("2", "3", False), "num_entries": ("3", "4", False), "entries_of_one": ("1", "2", False), "scores": ("1", "1", False)}
+    same = {r.field: r.same for r in compare.difference_report(made[0], made[0]).collect()}
+    assert all(same.values()) and same.keys() == got.keys()

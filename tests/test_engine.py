@@ -444,9 +444,26 @@ def test_streamed_best_scores(spark, tmp_path):
     assert sorted(map(tuple, spark.table("best_scores").collect())) == [(0, 1, -0.2), (1, 1, -0.7)]
 
 
-def test_phyml_tables_are_refused():
+def test_phyml_tables(spark, tmp_path):
+    head = "Some 1 x 2 3 4 5\nSiteless\n\nSite\tNodeLabel\tA\tC\tG\tT\tMPEE\n"
+    head = head.replace("Siteless", "A Site here")
+    (tmp_path / "t.txt").write_text(head + "".join(f" {s}   n{i}\t0.5 0.25\t0.25   0.0 A\r\n" for i in range(300) for s in range(1, 4)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(before, ("2000", "1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        got = tf.read_phyml(spark, str(tmp_path / "t.txt")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.node, r.site) for r in got) == sorted((f"n{i}", s) for i in range(300) for s in range(1, 4))
+    assert all(r.logp == [math.log10(0.5), math.log10(0.25), math.log10(0.25), float("-inf")] for r in got)
+    for name, text, match in (("bad", head + "1 n 0.5 0.5\n", "not a line"), ("none", "1 n 1 0 0 0\n", "no table")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match=match):
+            tf.read_phyml(spark, str(tmp_path / name)).collect()
     with pytest.raises(NotImplementedError):
-        tf.read_phyml()
+        tf.READERS["phyml"](spark, str(tmp_path / "t.txt"), "amino")
 
 
 def test_subtree_sums_against_brute_force(spark):

@@ -667,6 +667,17 @@ def s03_ar_all_blocks(spark, d):
     return by_state(ar_blocks.read_blocks(spark, written_probabilities(spark, d)))
 
 
+@query(f"with {PP} select node, site, state, round(lp, 6) as logp from pp")
+def s05_phyml(spark, d):
+    wide = derived.cells(spark, d).groupBy("node", "site").pivot("state", [0, 1, 2, 3]).agg(F.first("p"))
+    numbers = [F.coalesce(F.col(str(i)), F.lit(0.0)).cast("string") for i in range(4)]
+    lines = wide.select(F.lit(1).alias("head"), F.concat_ws("  ", F.lit(""), F.col("site").cast("string"), F.col("node").cast("string"), *numbers, F.lit("A")).alias("value"))
+    title = spark.createDataFrame([(0, "Ancestral sequences\nof 1 2 3 4 5 6\n\nSite  NodeLabel  A  C  G  T  MPEE")], "head int, value string")
+    path = new_path(spark)
+    title.unionByName(lines).repartitionByRange(1, "head").sortWithinPartitions("head").select("value").write.text(path)  # a file has its title first
+    return by_state(tf.read_phyml(spark, path))
+
+
 @query(f"with {DB} select {LETTERS} as kmer, branch, round(pow(10.0, score), 6) as score from db")
 def s12_plain_text(spark, d):
     path = new_path(spark)

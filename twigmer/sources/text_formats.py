@@ -135,8 +135,24 @@ def read_ar_table(spark: SparkSession, path: str, states: str = "nucl") -> DataF
     return raw.where("Node is not null").select(F.col("Node").alias("node"), F.col("Site").alias("site"), logp.alias("logp"))
 
 
-def read_phyml(*_: object) -> DataFrame:
-    raise NotImplementedError("posterior files of PhyML aren't supported")
+def read_phyml(spark: SparkSession, path: str, states: str = "nucl") -> DataFrame:
+    """``(node, site, logp)`` of PhyML's posterior tables: what comes after a file's line that starts with ``Site``, parted by blanks.
+
+    Each line has a site, a node and a probability for each nucleotide; further columns don't count. Splits are read in
+    parallel, one place a file says where its table begins. Lines that don't fit raise, as do files without a table and amino acids.
+    """
+    if states != "nucl":
+        raise NotImplementedError("posterior files of PhyML for amino acids aren't supported")
+    at = F.struct(F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    head = lines.where(F.col("value").startswith("Site") & (F.length("value") > 4)).groupBy("file").agg(F.min("at").alias("head"))
+    parts = F.split(F.btrim("value", F.lit(" \t\r")), r"\s+")
+    start = F.when(F.col("head").isNotNull(), F.col("head")).otherwise(F.raise_error(F.concat(F.lit("no table in "), F.col("file"))))
+    after = F.col("at") > start  # inside, too: what a later explode asks of the lines may be asked before the filter
+    fits = F.when(~after, F.lit(None)).when(F.size(parts) >= 2 + len(DNA), parts).otherwise(F.raise_error(F.concat(F.lit("not a line of a posterior table: "), F.col("value"))))
+    rows = lines.join(head, "file", "left").where(after & (F.btrim("value", F.lit(" \t\r")) != ""))
+    logp = F.array(*[log_probability(F.col("p")[2 + i].cast("double")) for i in range(len(DNA))])
+    return rows.select(fits.alias("p")).select(F.col("p")[1].alias("node"), F.col("p")[0].cast("int").alias("site"), logp.alias("logp"))
 
 
 READERS = {"raxml-ng": read_ar_table, "phyml": read_phyml}

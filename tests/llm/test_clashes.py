@@ -74,3 +74,24 @@ def test_pipeline_of_odd_rows(spark, docs, tmp_path):
         kept = stage(spark, odd, str(tmp_path))
         assert kept.columns == odd.columns, name
         assert {(r["__id"], r["__pii"], r["score"], r["a.b"]) for r in kept.collect()} == {("__id", "__pii", "score", "a.b")}, name
+
+
+def test_reports_ignore_other_columns(spark, docs):
+    """The reports of operators 1 to 3, 5 to 7 and 10 on columns that are named like their own, and on empty tables."""
+    from twigmer.llm import balance, media, paragraphs, token_files, warc
+
+    names = ["key", "id", "fp", "text_key", "shard", "slot", "size", "bytes", "node", "line", "kind", "n", "digest", "chunk", "payload", "start", "row", "a.b"]
+    plain = docs.where("doc_id is null or doc_id < 40").select("doc_id", "text")
+    odd = plain.select("*", *[F.lit(c).alias(c) for c in names])
+    reports = {
+        "media": media.media_report,
+        "tokens": lambda d: token_files.token_report(d, vocabulary("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_crc32"),
+        "paragraphs": lambda d: paragraphs.repeated_paragraphs(d).drop("component"),
+        "simhash": simhash.simhash_report,
+        "shards": lambda d: balance.shard_documents(d).select("doc_id", "size", "text_crc32"),
+        "pii": pii.pii_report,
+        "warc": lambda d: warc.archive_report(d.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("http://e.org/"))).select("page_id", "payload_bytes", "payload_digest", "record_type"),
+    }
+    for name, report in reports.items():
+        assert rows_of(report(odd)) == rows_of(report(plain)), name
+        assert report(odd.limit(0)).count() == 0, name

@@ -138,7 +138,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, text: str = "text") ->
 
     Rows of equal texts stay together (null and empty texts are one group). Slots count rows from 0
     in each shard, by the hash of their ids, then ``doc_id`` (nulls first) and text; repeated rows
-    take slots of their own. No shard is gathered whole: rows are numbered in hashed buckets, and
+    take slots of their own; an empty table has no rows, and a text of any length is one row. No shard is gathered whole: rows are numbered in hashed buckets, and
     buckets start where the ones before them end.
     """
     t = F.coalesce(F.col(text), F.lit(""))

@@ -189,7 +189,10 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """The op2 contract; null texts count as empty, repeated rows each have their row."""
+    """The op2 contract; null texts count as empty, repeated rows each have their row, an empty table has none.
+
+    Texts of any length are stored whole, as chunks of bounded size; columns of other names are ignored.
+    """
     path = scratch(docs.sparkSession)
     write_media(docs, path)
     out = read_media(docs.sparkSession, path)

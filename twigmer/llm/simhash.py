@@ -101,7 +101,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    """The op6 contract."""
+    """The op6 contract, a row for each document, repeated rows included, see :func:`near_duplicates`.
+
+    Null, empty and blank texts have fingerprint zero and are linked; texts of any length are hashed whole; of equal
+    or null ids each row stays; an empty table has no rows; columns of other names are ignored.
+    """
     found = near_duplicates(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

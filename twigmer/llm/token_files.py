@@ -169,7 +169,11 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | No
 
 
 def token_report(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """The op3 contract: writes the files to shared scratch space and reports from what it reads back."""
+    """The op3 contract: writes the files to shared scratch space and reports from what it reads back.
+
+    Null and empty texts have the end id alone, repeated rows and ids each have their row, an empty table has none;
+    texts of any length are one row of ids; columns of other names are ignored. See :func:`write_token_files`.
+    """
     spark = docs.sparkSession
     path = scratch(spark)
     write_token_files(docs, path, vocabulary, end_id)

@@ -256,6 +256,7 @@ def archive_report(pages: DataFrame) -> DataFrame:
     """The op1 contract: writes archives to shared scratch space, reads them back, writes their runs and merges them.
 
     Null html is an empty payload, rows of null page_id or equal ids each have their record, and an empty table gives no rows.
+    Long pages get archives of their own; columns of other names are ignored.
     """
     path = scratch(pages.sparkSession)
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))

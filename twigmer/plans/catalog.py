@@ -96,7 +96,7 @@ gh as (select t.label, parent, postorder, total, bl / 2 as x0, bl - bl / 2 as ow
     case when leaf then bl / 2 else (leaf_distance + (bl - bl / 2) * n_leaves) / n_leaves end as x1 from t join st using (label) where parent is not null)"""
 )
 AL = """parts as (select doc_id, case when coalesce(text, '') = '' then [''] else regexp_extract_all(text, '(?s).{1,60}') end as p from documents),
-al as (select doc_id * 1000000 + i as seq_idx, 'D' || doc_id || '_' || i as header,
+al as (select doc_id * 4294967296 + i as seq_idx, 'D' || doc_id || '_' || i as header,
     rpad(regexp_replace(translate(part, 'acgt', 'ACGT'), '[^ACGT]', '-', 'g'), 60, '-') as seq from (select doc_id, unnest(range(len(p))) as i, unnest(p) as part from parts)),
 ch as (select header, seq_idx, i - 1 as site, substr(seq, i, 1) as ch from (select *, unnest(range(1, 61)) as i from al)),
 gr as (select site, avg(case when ch = '-' then 1.0 else 0.0 end) as ratio from ch group by 1)"""
@@ -496,6 +496,21 @@ def p01_reduce(spark, d):
     return al.drop_gap_columns(derived.alignment(spark, d), RATIO).select("header", "seq")
 
 
+@query(
+    """with parts as (select doc_id, case when coalesce(text, '') = '' then [''] else regexp_extract_all(text, '(?s).{1,60}') end as p from documents)
+select 'D' || doc_id || '_' || i as header from (select doc_id, unnest(range(len(p))) as i, unnest(p) as part from parts) where regexp_matches(upper(part), '(?s)[^ACGT-]')"""
+)
+def p04_unsupported_states(spark, d):
+    return al.unsupported_states(derived.document_rows(spark, d), scoring.DNA).select("header")
+
+
+@query(f"with {AL} select header, seq from al")
+def k03_alignment_file(spark, d):
+    path = new_path(spark)
+    al.write_alignment(derived.alignment(spark, d), path)
+    return tf.read_fasta(spark, path).select("header", "seq")
+
+
 @query(f"with {AL} select 60 as width, count(*) as n_rows, count(*) filter (where length(seq) <> 60) as n_bad from al")
 def p03_length_check(spark, d):
     a = derived.alignment(spark, d)
@@ -595,6 +610,13 @@ def j06_postorder_zip(spark, d):
     return tr.map_nodes(t, t.select(F.concat(F.lit("A"), F.col("postorder").cast("string")).alias("label"), "postorder"))
 
 
+@query(f"with {ST} select 'E' || postorder as ext_label, 'A' || postorder as ar_label from t where postorder % 5 <> 0 and postorder % 7 <> 0")
+def p12_nonempty_labels(spark, d):
+    t = tree(spark, d).select("postorder")
+    named = lambda letter, n: t.select(F.when(F.col("postorder") % n != 0, F.concat(F.lit(letter), F.col("postorder").cast("string"))).otherwise("").alias("label"), "postorder")
+    return tr.map_nodes(named("E", 5), named("A", 7))
+
+
 @query(
     f"""with recursive {ST}, a as (select label as anc, label as node from t union all select p.parent, a.node from a join t p on p.label = a.anc where p.parent is not null),
 dp as (select node as label, count(*) - 1 as depth from a group by 1), u as (select t.*, depth, p.preorder as above from t join dp using (label) left join t p on p.label = t.parent),
@@ -667,6 +689,15 @@ def s03_ar_all_blocks(spark, d):
     return by_state(ar_blocks.read_blocks(spark, written_probabilities(spark, d)))
 
 
+@query(f"with {PP.replace('% 4 as int', '% 20 as int')} select node, site, state, round(lp, 6) as logp from pp")
+def p06_permuted_states(spark, d):
+    path, order = new_path(spark), scoring.AMINO_FILE_ORDER
+    wide = derived.cells(spark, d, 20).groupBy("node", "site").pivot("state", list(range(20))).agg(F.first("p"))
+    columns = [F.coalesce(F.col(str(scoring.AMINO.index(c))), F.lit(0.0)).alias(f"p_{c}") for c in order]  # files have an order of their own
+    wide.select(F.col("node").alias("Node"), F.col("site").alias("Site"), F.lit("-").alias("State"), *columns).write.csv(path, sep="\t", header=True)
+    return by_state(tf.read_ar_table(spark, path, "amino"))
+
+
 @query(f"with {PP} select node, site, state, round(lp, 6) as logp from pp")
 def s05_phyml(spark, d):
     wide = derived.cells(spark, d).groupBy("node", "site").pivot("state", [0, 1, 2, 3]).agg(F.first("p"))

@@ -58,12 +58,18 @@ def supplier_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq_idx, header, seq)``: whole documents in rows of 60 characters, the last filled up with gaps, letters other than ACGT as gaps.
 
-    A document without text has one row of gaps. ``seq_idx`` is the document's id times 10^6 and the row's place in it.
+    A document without text has one row of gaps. ``seq_idx`` is the document's id times 2^32 and the row's place in it.
     """
+    rows = document_rows(spark, sf_dir)
+    letters = F.regexp_replace(F.translate("seq", "acgt", "ACGT"), "(?s)[^ACGT]", "-")
+    return rows.withColumn("seq", F.rpad(letters, WIDTH, "-"))
+
+
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq_idx, header, seq)``: whole documents in rows of 60 characters, as they are."""
     d = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     parts = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WIDTH}}}"), F.lit(0)))
     rows = d.select("doc_id", F.posexplode(parts).alias("at", "part"))
-    letters = F.regexp_replace(F.translate("part", "acgt", "ACGT"), "(?s)[^ACGT]", "-")
     header = F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("_"), F.col("at").cast("string"))
-    return rows.select((F.col("doc_id") * 1_000_000 + F.col("at")).alias("seq_idx"), header.alias("header"), F.rpad(letters, WIDTH, "-").alias("seq"))
+    return rows.select((F.col("doc_id") * (1 << 32) + F.col("at")).alias("seq_idx"), header.alias("header"), F.col("part").alias("seq"))

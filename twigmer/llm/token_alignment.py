@@ -24,6 +24,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,8 @@ class Remembered:
 
     def __init__(self, a: bpe.ByteEncoder, b: PieceEncoder):
         self.a, self.b, self.cut = a, b, b.by_parts()
+        self.decimal = list(map(str, range(max(len(a.bytes), len(b.bytes)))))
+        self.barred = [d + "|" for d in self.decimal]
         self.forget()
 
     def forget(self, kept: int = 0) -> None:
@@ -69,15 +72,16 @@ class Remembered:
         if not kept:
             none = np.zeros(0, np.int32)
             self.known: dict[str, int] = {}
-            # ids of A and B, and of each group how many ids of its part come before its end; then how many parts have of each
-            self.rows, self.sizes = [none] * 4, [none.astype(np.int64)] * 4
-            self.same, self.met = none.astype(bool), none.astype(np.int64)
+            # ids of A and B, of each group how many ids of its part come before its end, and linked pairs; then how many parts have of each
+            self.rows, self.sizes = [none, none, none, none, none.astype(np.int64)], [none.astype(np.int64)] * 5
+            self.same, self.met, self.written = none.astype(bool), none.astype(np.int64), []
             return
         best = np.sort(np.argsort(-self.met, kind="stable")[:kept])
         names = list(self.known)  # in the order of their numbers
         self.known = {names[i]: k for k, i in enumerate(best.tolist())}
-        self.rows = [self.of(side, best) for side in range(4)]
+        self.rows = [self.of(side, best) for side in range(5)]
         self.sizes = [n[best] for n in self.sizes]
+        self.written = list(map(self.written.__getitem__, best.tolist()))
         self.same, self.met = self.same[best], self.met[best] // 2
 
     def of(self, side: int, parts: np.ndarray) -> np.ndarray:
@@ -96,18 +100,33 @@ class Remembered:
         ids = [np.fromiter(chain.from_iterable(side), np.int32) for side in sides]
         sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in sides]
         # one after another, all parts are one text, in which each part's end is common
-        ends = group_ends(*(np.cumsum(enc.sizes[x]) for enc, x in zip((self.a, self.b), ids, strict=True)))
+        places = [np.cumsum(enc.sizes[x]) for enc, x in zip((self.a, self.b), ids, strict=True)]
+        ends = group_ends(*places)
         bounds = [np.cumsum(n) for n in sizes]
         upto = np.searchsorted(ends[0], bounds[0], side="right")
         groups = np.diff(upto, prepend=0)
+        left, right = expand_links(*places, *ends)
+        owner = np.searchsorted(bounds[0], left, side="right")
+        pairs = (ids[0][left].astype(np.int64) << 32 | ids[1][right])[np.argsort(owner, kind="stable")]
+        lines = self.lines(*ids, *ends)
+        self.written += [";".join(lines[i:j]) for i, j in pairwise([0, *upto.tolist()])]
         ends = [(e - np.repeat(bound - n, groups)).astype(np.int32) for e, bound, n in zip(ends, bounds, sizes, strict=True)]
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
-        self.rows = [np.concatenate(x) for x in zip(self.rows, [*ids, *ends], strict=True)]
-        self.sizes = [np.concatenate(x) for x in zip(self.sizes, [*sizes, groups, groups], strict=True)]
+        self.rows = [np.concatenate(x) for x in zip(self.rows, [*ids, *ends, pairs], strict=True)]
+        self.sizes = [np.concatenate(x) for x in zip(self.sizes, [*sizes, groups, groups, np.bincount(owner, minlength=len(parts))], strict=True)]
         self.same, self.met = np.r_[self.same, same], np.r_[self.met, np.zeros(len(parts), np.int64)]
 
-    def align(self, texts: list[str | None]) -> list[pa.ListArray]:
-        """Ids of A and B and ends of groups on either side, a list for each text."""
+    def lines(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[str]:
+        """Each group as its decimal ids."""
+        p, r = np.r_[0, i[:-1]][: len(i)], np.r_[0, j[:-1]][: len(j)]
+        out = list(map(add, map(self.barred.__getitem__, x[p].tolist()), map(self.decimal.__getitem__, y[r].tolist())))
+        joined = lambda ids: ",".join(map(self.decimal.__getitem__, ids.tolist()))
+        for g in np.nonzero((i - p > 1) | (j - r > 1))[0].tolist():
+            out[g] = joined(x[p[g] : i[g]]) + "|" + joined(y[r[g] : j[g]])
+        return out
+
+    def place(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of texts, and the number of the text that each belongs to; texts that B doesn't keep have none."""
         cut = [(_PARTS.split(" " + t) if self.cut else [" " + t]) if t else [] for t in texts]
         parts = [p[1:] for own in cut for p in own]
         if len(self.known) > PARTS:
@@ -119,11 +138,14 @@ class Remembered:
         at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         self.met += np.bincount(at, minlength=len(self.met))
         owner = np.repeat(np.arange(len(texts)), list(map(len, cut)))
-        lost = np.bincount(owner, ~self.same[at], len(texts)) > 0  # texts that B doesn't keep
-        at, owner = at[~lost[owner]], owner[~lost[owner]]
-        before = []  # ids of its text that come before a part
-        out = []
-        for side, sizes in enumerate(self.sizes):
+        lost = np.bincount(owner, ~self.same[at], len(texts)) > 0
+        return at[~lost[owner]], owner[~lost[owner]]
+
+    def align(self, texts: list[str | None]) -> list[pa.ListArray]:
+        """Ids of A and B and ends of groups on either side, a list for each text."""
+        at, owner = self.place(texts)
+        before, out = [], []  # ids of its text that come before a part
+        for side, sizes in enumerate(self.sizes[:4]):
             n, values = sizes[at], self.of(side, at)
             ends = np.r_[0, np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))]
             if side < 2:
@@ -133,6 +155,23 @@ class Remembered:
             out.append(pa.ListArray.from_arrays(ends.astype(np.int32), values.astype(np.int32)))
         return out
 
+    def counted(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text: tokens of A and B, groups, links, the digest of its groups, and its distinct pairs with their times."""
+        at, owner = self.place(texts)
+        n_a, n_b, groups, _, links = (np.bincount(owner, n[at], len(texts)).astype(np.int64).tolist() for n in self.sizes)
+        pairs, of = self.of(4, at), np.repeat(owner, self.sizes[4][at])
+        order = np.lexsort((pairs, of))
+        pairs, of = pairs[order], of[order]
+        heads = np.nonzero(np.r_[True, (np.diff(pairs) != 0) | (np.diff(of) != 0)][: len(pairs)])[0]
+        times, pairs = np.diff(np.r_[heads, len(pairs)]), pairs[heads]
+        bounds = np.searchsorted(of[heads], np.arange(len(texts) + 1)).tolist()
+        written = list(map(self.written.__getitem__, at.tolist()))
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        for k in range(len(texts)):
+            sha = hashlib.sha256(";".join(written[ends[k] : ends[k + 1]]).encode()).hexdigest() if n_a[k] else ""
+            own = slice(bounds[k], bounds[k + 1])
+            yield n_a[k], n_b[k], groups[k], links[k], sha, pairs[own], times[own]
+
 
 _remembered: dict[tuple[str, str], Remembered] = {}
 
@@ -177,6 +216,18 @@ def expand_links(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cut
     return np.r_[left, np.array(more_a, np.int64)].astype(np.int64), np.r_[right, np.array(more_b, np.int64)].astype(np.int64)
 
 
+def slices_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about this many characters."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def _lists(rows: list[np.ndarray], kind=np.int32) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, kind), *rows]).astype(kind))
@@ -197,7 +248,7 @@ def align(docs: DataFrame, vocabulary: str, model: str, text: str = "text", out:
         memory = remembered(vocabulary, model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, j in bpe._slices(texts, SLICE_CHARS):
+            for i, j in slices_of([len(t or "") for t in texts], SLICE_CHARS):
                 yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), *memory.align(texts[i:j])], ["rest", "a", "b", "a_to", "b_to"])
 
     ints = T.ArrayType(T.IntegerType())
@@ -208,30 +259,20 @@ def align(docs: DataFrame, vocabulary: str, model: str, text: str = "text", out:
 _BLOCKS = "block long, doc_id {0}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, steps array<int>, times array<int>, pairs array<long>, docs array<int>"
 
 
-def _blocks(aligned: DataFrame, vocabulary: str, model: str) -> DataFrame:
+def _blocks(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
     """Rows of documents, and one of each block: its distinct ``pairs`` (A's id times 2^32 plus B's) with their numbers of ``docs``.
 
     A document's ``steps`` lead from each of its pairs in the block's list to the next; ``times`` are its links of each.
     """
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
-    schema = _BLOCKS.format(aligned.schema["doc_id"].dataType.simpleString())
+    schema = _BLOCKS.format(docs.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, b = remembered(vocabulary, model).a, remembered(vocabulary, model).b
-        decimal = list(map(str, range(max(len(a.bytes), len(b.bytes)))))
-        barred = [d + "|" for d in decimal]
+        memory = remembered(vocabulary, model)
         block, held, pairs, n_pairs = TaskContext.get().partitionId() << 32, [], [], 0
 
-        def digest(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
-            p, r = np.r_[0, i[:-1]], np.r_[0, j[:-1]]
-            groups = list(map(add, map(barred.__getitem__, x[p].tolist()), map(decimal.__getitem__, y[r].tolist())))
-            joined = lambda ids: ",".join(map(decimal.__getitem__, ids.tolist()))
-            for g in np.nonzero((i - p > 1) | (j - r > 1))[0].tolist():
-                groups[g] = joined(x[p[g] : i[g]]) + "|" + joined(y[r[g] : j[g]])
-            return hashlib.sha256(";".join(groups).encode()).hexdigest()
-
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
@@ -242,29 +283,26 @@ def _blocks(aligned: DataFrame, vocabulary: str, model: str) -> DataFrame:
             n = len(held)
             longs = lambda v: pa.array([*v, None], pa.int64())
             columns = {
-                "block": pa.array(np.full(n + 1, block)), "doc_id": pa.array([*ids, None], aligned_id), "n_a": longs(n_a), "n_b": longs(n_b), "n_groups": longs(n_groups), "n_links": longs(n_links),
+                "block": pa.array(np.full(n + 1, block)), "doc_id": pa.array([*ids, None], id_type), "n_a": longs(n_a), "n_b": longs(n_b), "n_groups": longs(n_groups), "n_links": longs(n_links),
                 "groups_sha256": pa.array([*sha, None], pa.string()), "steps": _lists([*steps, distinct[:0]]), "times": _lists([*times, distinct[:0]]),
                 "pairs": _lists([*[distinct[:0]] * n, distinct], np.int64), "docs": _lists([*[distinct[:0]] * n, docs]),
             }
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
         for batch in batches:
-            aligned_id = batch.schema.field("doc_id").type
-            lists = {c: (batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in ("a", "b", "a_to", "b_to")}
-            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                x, y, i, j = (values[ends[k] : ends[k + 1]] for values, ends in lists.values())
-                left, right = expand_links(np.cumsum(a.sizes[x]), np.cumsum(b.sizes[y]), i, j)
-                own, times = np.unique(x[left].astype(np.int64) << 32 | y[right], return_counts=True)
-                if n_pairs and n_pairs + len(own) > BLOCK_PAIRS:
-                    yield from done()
-                    block, held, pairs, n_pairs = block + 1, [], [], 0
-                sha = digest(x, y, i, j) if len(x) else ""
-                held.append((doc_id, len(x), len(y), len(i), len(left), sha, times))
-                pairs.append(own)
-                n_pairs += len(own)
+            id_type, ids, texts = batch.schema.field("doc_id").type, batch.column("doc_id").to_pylist(), batch.column("text")
+            sizes = pc.utf8_length(texts).fill_null(0).to_pylist()
+            for i, j in slices_of(sizes, SLICE_CHARS):
+                for doc_id, (*numbers, own, times) in zip(ids[i:j], memory.counted(texts.slice(i, j - i).to_pylist()), strict=True):
+                    if n_pairs and n_pairs + len(own) > BLOCK_PAIRS:
+                        yield from done()
+                        block, held, pairs, n_pairs = block + 1, [], [], 0
+                    held.append((doc_id, *numbers, times))
+                    pairs.append(own)
+                    n_pairs += len(own)
         yield from done()
 
-    return aligned.select("doc_id", "a", "b", "a_to", "b_to").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -282,13 +320,12 @@ def _of_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def alignment_report(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
-    """The op11 contract, from the groups of :func:`align`: a row for each document, repeated rows (each counts as a document) included.
+    """The op11 contract, from the same groups as :func:`align`'s, in one pass over the texts: a row for each document, repeated rows (each counts as a document) included.
 
     Null and empty texts, and those that a tokenizer doesn't keep, have zeros and an empty digest. A null doc_id is
     an id like any other; a very long text is a block of its own; an empty table has no rows; other columns are ignored.
     """
-    aligned = align(docs.select("doc_id", "text"), vocabulary, model, out=("a", "b", "a_to", "b_to"))
-    blocks = stored(_blocks(aligned, vocabulary, model))
+    blocks = stored(_blocks(docs, vocabulary, model))
     texts = blocks.where("groups_sha256 is not null")
     counted = _of_blocks(blocks).join(pair_counts(blocks), "pair").select(F.col("block").alias("of_block"), "at", "count", "best")
     kind = docs.schema["doc_id"].dataType.simpleString()

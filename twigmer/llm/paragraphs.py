@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, quoted, stored
-from .links import bucket_links, jaccard, members_of
+from .links import bucket_links, jaccard
 
 SHINGLE_WORDS, SIMILAR = 5, 0.8
 #: The least length of a passage; any value from SEED_WORDS on is exact.
@@ -286,9 +286,9 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
 
     # lines of equal words are one node, which its first text stands for
     lines = scan.where("line is not null")
-    names = lines.groupBy("line").agg(F.min(F.struct("text_key", "number")).alias("one"), F.first("bands").alias("bands"))
+    names = lines.groupBy("line").agg(F.min(F.struct("text_key", "number")).alias("one"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     names = stored(names.withColumn("id", F.monotonically_increasing_id()))
-    members = stored(members_of(names.select("id", F.explode("bands").alias("key"))).select("id", "first").distinct())
+    members = stored(_line_members(names.select("id", F.explode("bands").alias("key"))).select("id", "first").distinct())
     compared = members.select("id").unionByName(members.select(F.col("first").alias("id"))).distinct()
     wanted = names.join(compared, "id").groupBy("one.text_key").agg(F.collect_list(F.struct("one.number", "id")).alias("lines"))
 
@@ -303,26 +303,36 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", min_words: int = MI
     picked = stored(picked.select("node", "text", F.coalesce("lines", none).alias("lines"), F.coalesce("seeds", F.array().cast("array<int>")).alias("seeds")))
 
     columns = ["text_key", "kind", "number", "start", "n_chars", "n_words", "component", "of", "removed"]
-    places = lines.select("text_key", "line", "number", "start", "n_chars", "n_words").distinct()
-    found = _line_places(places, names, members, picked, nodes).select(*columns)
+    found = _line_places(lines, names, members, picked, nodes).select(*columns)
     found = found.unionByName(_passages(_runs(picked.drop("lines"), min_words), nodes, min_words).select(*columns))
     chars = docs.groupBy(key).agg(F.first(F.length(t)).cast("long").alias("n_chars"))
     whole = nodes.where((F.col("first") < F.col("last")) & (F.col("n_words") >= min_words)).join(chars, "text_key")
     whole = whole.select("text_key", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(0).cast("long").alias("start"), "n_chars", "n_words", F.hex("text_key").alias("component"), F.col("first").alias("of"), F.lit(False).alias("removed"))
-    found = stored(found.unionByName(whole.select(*columns)))
-    long = found.where(F.col("n_words") >= min_words).select("text_key").distinct().withColumn("long_repeat", F.lit(True))
-    found = found.join(long, "text_key", "left").withColumn("long_repeat", F.coalesce("long_repeat", F.lit(False)))
+    found = found.unionByName(whole.select(*columns))
+    # a partition is the places of one text, which the join below needs together too
+    found = found.withColumn("long_repeat", F.max(F.col("n_words") >= min_words).over(Window.partitionBy("text_key")))
     of = F.when(F.col("of") != F.lit(-(1 << 63)), F.col("of"))
     rows = found.join(ids, "text_key").withColumn("removed", F.col("removed") | (doc != F.col("of")))
     return rows.select("doc_id", "kind", "number", "start", "n_chars", "n_words", "component", of.alias("component_id"), "removed", "long_repeat")
 
 
-def _line_places(places: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:
+def _line_members(buckets: DataFrame) -> DataFrame:
+    """As :func:`.links.members_of`, of ids that have each key once: a bucket's size is told by a count, which takes less room than its last id."""
+    ends = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    return buckets.join(ends, "key").where("id <> first")
+
+
+def _line_places(lines: DataFrame, names: DataFrame, members: DataFrame, picked: DataFrame, nodes: DataFrame) -> DataFrame:
     """The places of lines whose component two documents have."""
     sets = stored(_shingle_sets(picked.select("text", "lines")))
     roots = connected_components(bucket_links(members, _check_sets(sets), lambda ids: sets, near_sets))
-    named = names.select("line", "id").join(roots, "id", "left").select("line", F.coalesce("root", "id").alias("root"))
-    places = stored(places.join(named, "line").drop("line").join(nodes.select("text_key", "node", "first", "last"), "text_key"))
+    near = (F.col("n") > 1) | F.col("root").isNotNull()
+    named = names.select("line", "id", "n").join(roots, "id", "left").select("line", F.coalesce("root", "id").alias("root"), near.alias("near"))
+    # other lines only stand in one document, unless the whole text is copied
+    rows = lines.select("text_key", "line", "number", "start", "n_chars", "n_words")
+    copied = rows.join(nodes.where("first < last").select("text_key"), "text_key", "left_semi").join(named.where("not near"), "line")
+    places = rows.join(named.where("near"), "line").unionByName(copied).drop("line", "near").distinct()
+    places = stored(places.join(nodes.select("text_key", "node", "first", "last"), "text_key"))
     # nodes are numbered by their first document
     groups = places.groupBy("root").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.col("first") < F.col("last")).alias("copied"))
     groups = groups.where("low < high or copied").select("root", "low")

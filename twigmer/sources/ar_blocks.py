@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 from urllib.parse import unquote, urlsplit
 
 import numpy as np

@@ -538,3 +538,18 @@ def test_long_texts_are_learnt_from(spark):
     docs, labels = spark.createDataFrame([*rows, (7, "zzz"), (7, "zzz")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = toxicity.toxicity_report(docs, labels).where("doc_id <> 7").collect()
     assert sum(r.predicted == r.doc_id % 2 for r in got) > 0.95 * len(got)
+
+
+def test_sample_is_learnt_from_in_a_task(spark, monkeypatch):
+    """The driver meets no text to learn from, and the model is that of all texts at once."""
+    texts, marks = _toxic(random.Random(6), 120)
+    seen = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.train([texts[i] for i in seen], [marks[i] for i in seen])
+
+    def refuse(*_):
+        raise AssertionError("trained in the driver")
+
+    for name in ("train", "learn"):
+        monkeypatch.setattr(toxicity, name, refuse, raising=False)
+    got = toxicity.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"))
+    assert np.array_equal(got.weights, want.weights) and got.bias == want.bias

@@ -6,14 +6,16 @@ passage of a few words is the average of its words; a softmax over it tells toxi
 text's score is the softmax's probability for its worst passage. Training alternates between choosing
 each text's passages and gradient steps on table and softmax together; texts held back for it then set
 the softmax's temperature and bias. Being linear, the trained model is one number for each place of the
-table (the difference of its two logits) and that bias, which is what tasks get.
+table (the difference of its two logits) and that bias, which is what tasks get. The sample is learnt from
+in a task, so that the driver meets no text, only the model.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ LEAST_TEXTS = 4
 #: PIECE_CHARS of their texts. Texts of any length are drawn; longer ones have more pieces. Scoring has no bound.
 MOST_TOXIC, MOST_CLEAN, PIECE_CHARS = 2000, 4000, 20_000
 FOLDS = 5
+#: Words whose n-grams are looked up together in training, which bounds what they take.
+WORDS_AT_ONCE = 20_000
 _EDGES = ".,;:!?\"'()[]{}<>|*#%&$-_/\\+=~^`@…“”„«»’"
 
 
@@ -89,21 +93,32 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, seed: int = 7) -> Model:
     """Fit on labelled texts. A fifth of them only sets the softmax's temperature and bias."""
+    return learn(zip(texts, labels, strict=True), dim, rounds, seed)
+
+
+def learn(rows: Iterable[tuple[str, int]], dim: int = 8, rounds: int = 14, seed: int = 7) -> Model:
+    """Fit on texts and their labels, each of which is met once: only the numbers of its words are kept."""
     rng = np.random.default_rng(seed)
+    vocab: dict[str, int] = {}
+    docs, labels = [], []
+    for t, label in rows:
+        d = np.array([vocab.setdefault(w.strip(_EDGES) or w, len(vocab)) for w in split(t)], dtype=np.int32)
+        docs.append(d[np.concatenate([[True], d[1:] != d[:-1]])] if len(d) else d)
+        labels.append(label)
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:  # nothing to tell apart: the score is the one label there is
         return Model(np.zeros(1 << BUCKET_BITS), 0.0 if not labels else (9.0 if labels[0] else -9.0))
-    vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w.strip(_EDGES) or w, len(vocab)) for w in split(t)], dtype=np.int64) for t in texts]
-    docs = [d[np.concatenate([[True], d[1:] != d[:-1]])] if len(d) else d for d in docs]
     names, made, sizes_of = list(vocab), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for i in range(0, len(names), 20_000):
-        part, owners = subwords(names[i : i + 20_000])
+    n_words = len(names)
+    del vocab
+    for i in range(0, n_words, WORDS_AT_ONCE):
+        part, owners = subwords(names[i : i + WORDS_AT_ONCE])
         made.append(part[np.argsort(owners, kind="stable")].astype(np.int32))
         sizes_of.append(np.bincount(owners))
     places, counts = np.concatenate(made), np.concatenate(sizes_of)
     begins = np.r_[0, np.cumsum(counts)]
     del names, made, sizes_of
+    blocks = [(i, min(i + WORDS_AT_ONCE, n_words)) for i in range(0, n_words, WORDS_AT_ONCE)]
     table = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -113,15 +128,23 @@ def train(texts: list[str], labels: list[int], dim: int = 8, rounds: int = 14, s
         held[:] = False
     # In how many toxic and clean texts a word is: what few texts have would only be learnt by heart, and
     # the words that toxic texts have too often say which passages to begin with.
-    within = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, h, t in zip(docs, held, y, strict=True) if not h and t == c)]), minlength=len(vocab)) for c in (0, 1)]
+    within = np.zeros((2, n_words), np.int64)
+    for d, h, t in zip(docs, held, y, strict=True):
+        if not h:
+            within[t, np.unique(d)] += 1
     total = [max(1, int((y[~held] == c).sum())) for c in (0, 1)]
     rate = (within[0] + within[1]) / sum(total)
     excess = (within[1] / total[1] - within[0] / total[0]) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / total[0] + 1 / total[1]))
-    common = np.bincount(places, np.repeat(within[0] + within[1], counts), 1 << BUCKET_BITS) >= LEAST_TEXTS
+    common = np.zeros(1 << BUCKET_BITS)
+    for i, j in blocks:
+        common += np.bincount(places[begins[i] : begins[j]], np.repeat(within[0, i:j] + within[1, i:j], counts[i:j]), 1 << BUCKET_BITS)
+    common = common >= LEAST_TEXTS
     table[~common] = 0
 
     def scores_of(weights: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(weights.astype(np.float32)[places], begins[:-1]) / counts if len(vocab) else np.zeros(0)
+        small = weights.astype(np.float32)
+        sums = [np.add.reduceat(small[places[begins[i] : begins[j]]], begins[i:j] - begins[i]) for i, j in blocks]
+        return np.concatenate(sums) / counts if sums else np.zeros(0)
 
     def passages(round_: int, scores: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
         rows, own = [], []
@@ -194,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Of documents that repeat an id, the least text is taken; null texts count as empty. Texts are drawn whatever their
     length, in pieces; of the pieces, as many of each class as rows are taken by their hash, so that a very long text
-    has part in the sample without making it longer. The pieces of a text are one text to learn from.
+    has part in the sample without making it longer. The pieces of a text are one text to learn from. One task learns
+    from the sample, text by text, and returns the model (1 MB), which alone comes to the driver.
     """
     train_rows = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -204,12 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     cut = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0)))
     pieces = picked.select("doc_id", "toxic", F.posexplode(cut).alias("at", "piece"))
     drawn = [F.xxhash64("doc_id", "at"), "doc_id", "at"]
-    rows = pieces.where("toxic = 1").orderBy(*drawn).limit(MOST_TOXIC).unionByName(pieces.where("toxic = 0").orderBy(*drawn).limit(MOST_CLEAN)).collect()  # 6 000 pieces of 20 000 characters at most
-    texts: dict = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.at)):
-        texts.setdefault((r.doc_id, r.toxic), []).append(r.piece)
-    order_of = sorted(texts, key=lambda k: (k[0], texts[k], k[1]))
-    return train(["\n".join(texts[k]) for k in order_of], [int(k[1]) for k in order_of])
+    both = pieces.where("toxic = 1").orderBy(*drawn).limit(MOST_TOXIC).unionByName(pieces.where("toxic = 0").orderBy(*drawn).limit(MOST_CLEAN))  # 6 000 pieces of 20 000 characters at most
+    parts = both.repartition(1).sortWithinPartitions("doc_id", "toxic", "at").select(F.struct("doc_id", "toxic").alias("own"), F.col("toxic").cast("int").alias("label"), "piece")
+    made = parts.mapInArrow(_learnt, "weights binary, bias double").collect()
+    return Model(np.frombuffer(made[0].weights), made[0].bias) if made else learn([])
+
+
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the pieces of all texts, those of a text in their order and next to each other."""
+    pieces = ((own.as_py(), label.as_py(), piece.as_py()) for batch in batches for own, label, piece in zip(*batch.columns, strict=True))
+    model = learn(("\n".join(p for _, _, p in text), label) for (_, label), text in groupby(pieces, lambda x: x[:2]))
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([float(model.bias)], pa.float64())], ["weights", "bias"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", words_kept: int = 400_000) -> DataFrame:

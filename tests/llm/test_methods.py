@@ -38,6 +38,18 @@ def test_long_texts_take_the_tree_and_equal_the_library(spark):
     assert all(r.ids == want[r.text] for r in got)
 
 
+def test_leaves_take_ids_and_their_row_along(spark):
+    """Texts aren't dealt out again with their ids, nor joined with their rows, whose columns of any type stay."""
+    texts = ["word next é " * 3000, "<|endoftext|>".join(["ab 12 " * 900] * 6), "short", None, "word next é " * 3000]
+    docs = spark.createDataFrame([(i if i % 3 else None, t, {"k": i} if i % 2 else None, [(i, None)], None) for i, t in enumerate(texts)], "doc_id long, text string, m map<string,int>, a array<struct<x:int,y:string>>, z binary")
+    made = bpe.encode(docs, vocabulary("byte_bpe_50k.json"))
+    assert sorted(str((r.doc_id, r.text, r.m, r.a, r.z)) for r in made.collect()) == sorted(str((r.doc_id, r.text or "", r.m, r.a, r.z)) for r in docs.collect())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    report = bpe.roundtrip(docs, vocabulary("byte_bpe_50k.json"))._jdf.queryExecution().optimizedPlan().toString()
+    assert report.count("MapInArrow") == 4  # short texts take one Python worker, not one to encode and one to decode
+    assert "Join" not in plan and not [x for x in plan.split("\n") if "collect_list" in x and "part#" in x]
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
 def test_archives_are_in_utc_in_any_session(spark, tmp_path, zone):
     before = spark.conf.get("spark.sql.session.timeZone")

@@ -4,7 +4,8 @@ Texts of up to two leaves are encoded where they are. A longer text is cut at th
 tokens, and each piece in halves down to leaves, which are rows of their own, spread over all tasks and
 encoded in parallel; neighbouring results then join up a tree: a growing window around each join is
 encoded again until it meets token boundaries that both sides share (see :func:`join_halves` for why
-that is exact).
+that is exact). Leaves travel to their tree as ids alone, which spell their text; the first leaf of a
+text brings the row's other columns along.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ class ByteEncoder:
             raise ValueError("ids don't follow the order of the merges")
         self.bytes = token_bytes(self.library)
         self.sizes = np.array([len(x) for x in self.bytes])
+        self.packed = "<u2" if len(self.bytes) <= 1 << 16 else "<u4"
         added = self.library.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
             raise ValueError("added tokens have to be spelled as they are")
@@ -69,6 +71,10 @@ class ByteEncoder:
         made = [np.array([self.specials[p]], np.uint32) if p in self.specials else self.fast.encode_to_numpy(p, disallowed_special=()) for p in self.pieces(text)]
         return made[0] if len(made) == 1 else np.concatenate([np.zeros(0, np.uint32), *made])
 
+    def spelled(self, ids: np.ndarray) -> str:
+        """The text of these ids, special tokens included; broken UTF-8 becomes U+FFFD."""
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
 
 _encoders: dict[str, ByteEncoder] = {}
 
@@ -179,39 +185,46 @@ def leaves_of(enc: ByteEncoder, text: str, leaf_chars: int) -> Iterator[tuple[in
             yield i, j, piece[cuts[j] : cuts[j + 1]]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF_CHARS, decoded: str | None = None) -> DataFrame:
     """Add ``out``, the ids (``array<int>``) of every whole text under a byte-level BPE vocabulary file.
 
     As the tokenizers library encodes with ``add_special_tokens=False`` and no truncation or
     padding. Null texts count as empty and have no ids; repeated rows are encoded alike; an empty table
-    has no rows; other columns, of any name and type, pass through. Texts of more than two leaves take the tree.
+    has no rows; other columns, of any name and type, pass through. Texts of more than two leaves take the tree. With ``decoded``, a
+    column of that name has what :func:`decode` makes of the ids, by the same Python worker.
     """
     rest = [c for c in docs.columns if c not in (text, out)]
     packed = docs.select(F.struct(*[quoted(c) for c in rest]).alias("rest") if rest else F.lit(None).cast("int").alias("rest"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     tall = F.length("text") > 2 * leaf_chars
 
+    def made(enc: ByteEncoder, rests: pa.Array, texts: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        back = [pa.array(map(enc.spelled, ids), pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([rests, texts, _ids_array(ids), *back], ["rest", "text", "ids", "decoded"][: 3 + len(back)])
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _slices(texts):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _ids_array([enc.whole(t) for t in texts[a:b]])], ["rest", "text", "ids"])
+                yield made(enc, part.column(0), part.column(1), [enc.whole(t) for t in texts[a:b]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for row, t in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            for i, (row, t) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text"), strict=True)):
                 pieces, leaf, parts = zip(*leaves_of(enc, t.as_py(), leaf_chars), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts)), pa.array(pieces, pa.int32()), pa.array(leaf, pa.int32()), pa.array(parts, pa.string())], ["row", "piece", "leaf", "part"])
+                own = batch.column("rest").slice(i, 1)
+                own = pa.concat_arrays([own, pa.nulls(len(parts) - 1, own.type)])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts)), pa.array(pieces, pa.int32()), pa.array(leaf, pa.int32()), own, pa.array(parts, pa.string())], ["row", "piece", "leaf", "rest", "part"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("part").to_pylist()
             for a, b in _slices(texts):
-                ids = [enc.whole(t).tobytes() for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(ids, pa.binary())], ["row", "piece", "leaf", "part", "ids"])
+                ids = [enc.whole(t).astype(enc.packed).tobytes() for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:4], pa.array(ids, pa.binary())], ["row", "piece", "leaf", "rest", "ids"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -219,22 +232,27 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids
             for i in range(batch.num_rows):
                 pieces: dict[int, list] = {}
                 for p in batch.column("parts")[i].as_py():
-                    pieces.setdefault(p["piece"], []).append((p["part"], np.frombuffer(p["ids"], "<u4")))
+                    ids = np.frombuffer(p["ids"], enc.packed).astype("<u4")
+                    pieces.setdefault(p["piece"], []).append((enc.spelled(ids), ids))
                 ids = np.concatenate([join_tree(enc, parts) for parts in pieces.values()])
-                made = "".join(p for parts in pieces.values() for p, _ in parts)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), pa.array([made], pa.string()), _ids_array([ids])], ["row", "text", "ids"])
+                whole = "".join(p for parts in pieces.values() for p, _ in parts)
+                yield made(enc, batch.column("rest").slice(i, 1), pa.array([whole], pa.string()), [ids])
 
-    done = packed.where(~tall).mapInArrow(short, _schema(packed.schema, "rest", "text"))
+    from pyspark.sql import types as T
+
+    back = [T.StructField("decoded", T.StringType())] if decoded else []
+    keys = [T.StructField("row", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("leaf", T.IntegerType()), T.StructField("rest", packed.schema["rest"].dataType)]
+    done = packed.where(~tall).mapInArrow(short, T.StructType([*_schema(packed.schema, "rest", "text"), *back]))
     long = stored(packed.where(tall).withColumn("row", F.monotonically_increasing_id()))  # written once, so that row numbers stay
-    rows = long.select("row", "text").mapInArrow(cut, "row long, piece int, leaf int, part string").repartition("row", "piece", "leaf")
+    rows = long.mapInArrow(cut, T.StructType([*keys, T.StructField("part", T.StringType())])).repartition("row", "piece", "leaf")
     joined = (
-        rows.mapInArrow(leaves, "row long, piece int, leaf int, part string, ids binary")
+        rows.mapInArrow(leaves, T.StructType([*keys, T.StructField("ids", T.BinaryType())]))
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("piece", "leaf", "part", "ids"))).alias("parts"))
-        .mapInArrow(trees, "row long, text string, ids array<int>")
+        .agg(F.first("rest", ignorenulls=True).alias("rest"), F.sort_array(F.collect_list(F.struct("piece", "leaf", "ids"))).alias("parts"))
+        .mapInArrow(trees, T.StructType([*_schema(long.schema, "rest", "text"), *back]))
     )
-    both = done.unionByName(joined.join(long.select("row", "rest"), "row").select("rest", "text", "ids"))
-    return both.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("text").alias(text), F.col("ids").alias(out))
+    both = done.unionByName(joined)
+    return both.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("text").alias(text), F.col("ids").alias(out), *[F.col("decoded").alias(decoded) for _ in back])
 
 
 def _schema(schema, *names):
@@ -247,11 +265,11 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
     """Add ``out``, the text of the ids, special tokens included, as the library decodes them (broken UTF-8 becomes U+FFFD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(vocabulary).bytes
+        enc = encoder(vocabulary)
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
             values, ends = col.values.to_numpy(), col.offsets.to_numpy()
-            texts = [b"".join(map(table.__getitem__, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = [enc.spelled(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     from pyspark.sql import types as T
@@ -261,7 +279,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
 
 def roundtrip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The digest columns of the op8 contract; null and empty texts have no token, an empty table has no row."""
-    back = decode(encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
+    back = encode(docs.select("doc_id", "text"), vocabulary, decoded="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -188,6 +188,52 @@ def test_near_copies_equal_brute_force(spark, docs, monkeypatch):
     assert near_copies.keep_one(more.limit(0)).count() == 0
 
 
+def test_members_that_meet_no_other_component_are_not_dealt_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 8)
+    rng = random.Random(23)
+    bits, dealt = near_copies.SEGMENT_BITS, []
+    prints = lambda: [rng.randrange(1 << bits) for _ in range(near_copies.SEGMENTS)]
+    weak = [1 << i for _ in range(near_copies.SEGMENTS) for i in range(near_copies.WEAK_BITS)]
+    compared = links._compared
+
+    def spy(rows, near, ids_only):
+        cells = rows.selectExpr("id", "inline(cells)").selectExpr("sum(n) + sum(if(fails, m, 0)) as dealt", "count(*) as members").first()
+        dealt.append((cells.dealt, cells.members))
+        return compared(rows, near, ids_only)
+
+    def linked(rows):
+        dealt.clear()
+        nodes = spark.createDataFrame([(i, b"%d" % i, i, segments, weak) for i, segments, _ in rows], "id long, one binary, doc long, segments array<int>, weak array<int>")
+        texts = spark.createDataFrame([(b"%d" % i, i, text) for i, _, text in rows], "text_key binary, doc long, text string")
+        return [tuple(r) for r in near_copies._links(nodes, texts).collect()]
+
+    monkeypatch.setattr(links, "_compared", spy)
+    other = lambda: " ".join(f"o{rng.randrange(10**9)}" for _ in range(100))
+    # each meets the first by chance in a bucket of its own
+    head = prints()
+    rows = [(0, head, other())]
+    for i in range(33):
+        rows.append((1 + i, [*(p := prints())[:i], head[i], *p[i + 1 :]], other()))
+    assert linked(rows) == [] and dealt == []
+    # near copies meet an unlike first in one bucket, and then one more text, too, of which one is a copy
+    base, words = prints(), [f"w{i}" for i in range(100)]
+    copy = lambda: " ".join([*words[: (p := rng.randrange(100))], "new", *words[p + 1 :]])
+    rows = [(0, [base[0], *prints()[1:]], other())] + [(1 + i, base, copy()) for i in range(40)]
+    roots = components(range(41), linked(rows))
+    assert len({roots[i] for i in range(1, 41)}) == 1 and roots[0] != roots[1] and dealt == []
+    rows.append((41, [base[0], *prints()[1:]], other()))
+    roots = components(range(42), linked(rows))
+    assert len({roots[i] for i in range(1, 41)}) == 1 and len(set(roots.values())) == 3
+    assert len(dealt) == 1 and dealt[0][1] == 41 and dealt[0][0] <= 2 * 41
+    # its link with some of them isn't lost: it is near those alone that aren't the first
+    far = [b ^ (0xFF if i else 0) for i, b in enumerate(base)]
+    mid = [b ^ (0xF if i else 0) for i, b in enumerate(base)]
+    last = words[:4] + [f"m{i}" for i in range(6)] + words[10:]
+    end = last[:90] + [f"e{i}" for i in range(6)] + last[96:]
+    rows = rows[:41] + [(50, mid, " ".join(last)), (51, far, " ".join(end))]
+    assert len(set(components([r[0] for r in rows], linked(rows)).values())) == 2
+
+
 def test_copies_that_differ_in_other_columns_leave_the_least(spark):
     rows = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "y"), (2, "A b", "x")], "doc_id long, text string, `o.k` string")
     assert [tuple(r) for r in near_copies.keep_one(rows).collect()] == [(1, "a b", "y")]
